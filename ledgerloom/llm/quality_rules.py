@@ -117,19 +117,28 @@ RULES = (
     Rule("lines", good="n_dup_lines = 0", bad="3 * n_dup_lines >= n_lines AND n_dup_lines >= 2"),
     Rule("endings", good="2 * n_ended_lines >= n_lines", bad="10 * n_ended_lines < n_lines AND n_lines >= 3"),
     Rule("word_length", good="word_chars BETWEEN 3 * n_words AND 9 * n_words", bad="word_chars < 2 * n_words OR word_chars > 15 * n_words"),
+    Rule("marked_up", good="100 * n_symbols <= word_chars", bad="25 * n_symbols >= word_chars AND n_symbols >= 5"),
     Rule("variety", good="5 * n_distinct >= 2 * n_words OR n_distinct >= 300", bad="8 * n_distinct < n_words AND n_distinct < 300"),
 )
 
 
-def fit_em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[float, np.ndarray]:
+#: Where EM starts: a junk text trips few of the rules, a good one hardly any.
+START_RIGHT = (0.3, 0.98)
+START_PRIOR = 0.8
+
+
+def fit_em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[float, np.ndarray]:
     """Prior of the good class and rule accuracies [class, rule] from vote patterns.
 
-    Accuracies start at 0.8 and priors carry a Beta(8, 2) of a few thousandths
-    of the corpus, which keeps "good" the class that good votes point to and
-    keeps a rule that never votes at its starting point.
+    ``right[0, j]`` is how often rule j says bad of a bad document when it
+    votes, ``right[1, j]`` how often it says good of a good one.  Both and the
+    prior start at fixed values and carry them as pseudo-counts (a few
+    thousandths of the corpus), which keeps "good" the class that good votes
+    point to and keeps a rule that never votes where it started.
     """
     k = patterns.shape[1]
-    prior, right = 0.8, np.full((2, k), 0.8)
+    start = np.repeat(np.array(START_RIGHT)[:, None], k, axis=1)
+    prior, right = START_PRIOR, start
     total = counts.sum()
     if not total:
         return prior, right
@@ -140,8 +149,8 @@ def fit_em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple
         share = np.stack([(1 - good) * counts, good * counts])
         votes = np.stack([share[0] @ (patterns != 0), share[1] @ (patterns != 0)])
         hits = np.stack([share[0] @ (patterns == -1), share[1] @ (patterns == 1)])
-        right = (hits + 0.8 * weight) / (votes + weight)
-        prior = float((share[1].sum() + 0.8 * weight) / (total + weight))
+        right = (hits + start * weight) / (votes + weight)
+        prior = float((share[1].sum() + START_PRIOR * weight) / (total + weight))
         if np.abs(right - was).max() < 1e-9:
             break
     return prior, right
