@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ngram_jaccard import ngram_jaccard
 from .quality_classifier import quality_classifier
 from .quality_rules import quality_rules
 from .shared import read_table
@@ -21,6 +22,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard(read_table(spark, sf_dir, "documents"))
+
+
 def held_out() -> Column:
     """Rows whose labels are never learned from."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
@@ -34,6 +39,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
