@@ -11,6 +11,7 @@ from .ngram_jaccard import ngram_jaccard
 from .quality_classifier import quality_classifier
 from .quality_rules import quality_rules
 from .shared import read_table
+from .substring_dedup import substring_dedup
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +23,13 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup(read_table(spark, sf_dir, "documents"))
+    # the kept text has the kept words with the white space they stood in
+    joined = F.regexp_replace(F.regexp_replace("kept_text", r"[\x20\x09-\x0D]+", " "), "^ | $", "")
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(joined, 256).alias("kept_sha256"))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard(read_table(spark, sf_dir, "documents"))
 
@@ -39,6 +47,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_substring_dedup": op3_substring_dedup,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op10_quality_classifier": op10_quality_classifier,
 }
