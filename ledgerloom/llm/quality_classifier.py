@@ -29,8 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import list_array, rows_of, texts_of
-from .shared import write_table
+from .arrow import list_array, texts_of
 from .words import chunks, mix, split_words
 
 BUCKETS = 1 << 15
@@ -199,8 +198,18 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def quality_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """One row per document: id and ``score``, the calibrated probability of label 1.
+class Model:
+    """What scoring needs, on the executors: word vectors and the network."""
+
+    def __init__(self, vectors, net: Network):
+        self.vectors, self.net = vectors, net
+
+    def score(self, texts: list[bytes]) -> np.ndarray:
+        return self.net.score(pooled(texts, self.vectors.value).astype(np.float64))
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
+    """Word vectors from all of ``docs``, the network from labelled rows.
 
     ``labels`` (id, label) must hold only rows that may be learned from.
     """
@@ -209,26 +218,42 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id
     length = np.linalg.norm(sums, axis=1, keepdims=True)
     vectors = np.concatenate([sums / np.maximum(length, 1e-9), _index_matrix()], axis=1).astype(np.float32)
     sent = docs.sparkSession.sparkContext.broadcast(vectors)  # BUCKETS x 2 DIM floats, one size always
-    id_type = docs.schema[id_col].dataType.simpleString()
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = pooled(texts_of(batch.column(1)), sent.value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), list_array(x.ravel(), np.arange(len(x) + 1) * FEATURES, pa.float32())], names=["id", "x"])
-
-    table = write_table(own.mapInArrow(featurise, f"id {id_type}, x array<float>"), "quality-features")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), list_array(x.ravel(), np.arange(len(x) + 1) * FEATURES, pa.float32())], names=["id", "y", "x"])
 
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1)")
     chosen = known.orderBy(F.xxhash64("id"), "id", "y").limit(MAX_TRAIN)  # the documented sample of the fit
-    train = table.join(F.broadcast(chosen), "id").orderBy(F.xxhash64("id"), "id", "y", "x").limit(2 * MAX_TRAIN).toArrow().combine_chunks()
-    x = train["x"].combine_chunks().flatten().to_numpy().astype(np.float64).reshape(train.num_rows, FEATURES)
-    net = Network().fit(x, train["y"].to_numpy().astype(np.float64))
+    rows = own.join(F.broadcast(chosen), "id").select("id", "text", "y")
+    id_type = docs.schema[id_col].dataType.simpleString()
+    found = rows.mapInArrow(featurise, f"id {id_type}, y int, x array<float>")
+    train = found.orderBy(F.xxhash64("id"), "id", "y", "x").limit(2 * MAX_TRAIN).toArrow().combine_chunks()
+    x = pa.concat_arrays([c.flatten() for c in train["x"].chunks] or [pa.array([], pa.float32())]).to_numpy(zero_copy_only=False).astype(np.float64)
+    return Model(sent, Network().fit(x.reshape(train.num_rows, FEATURES), train["y"].to_numpy().astype(np.float64)))
+
+
+def quality_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """One row per document: id and ``score``, the calibrated probability of label 1."""
+    model = fit(docs, labels, id_col, text_col, label_col)
+    id_type = docs.schema[id_col].dataType.simpleString()
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values, _ = rows_of(batch.column(1), np.float64)
-            score = net.score(values.reshape(batch.num_rows, FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64())], names=["id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(texts_of(batch.column(1))), pa.float64())], names=["id", "score"])
+
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return own.mapInArrow(judge, f"id {id_type}, score double").withColumnRenamed("id", id_col)
+
 
-    return table.mapInArrow(judge, f"id {id_type}, score double").select(F.col("id").alias(id_col), "score")
+def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is at least ``threshold``; no shuffle of texts."""
+    model = fit(docs, labels, id_col, text_col, label_col)
+    text_at = docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(model.score(texts_of(batch.column(text_at))) >= threshold))
 
+    return docs.mapInArrow(keep, docs.schema)

@@ -42,6 +42,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .arrow import texts_of
 from .shared import write_table
@@ -168,9 +169,13 @@ def cut(text: bytes, spans: list[int]) -> tuple[int, int, bytes]:
     return n, int(gone.sum()), b"".join(parts)
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, ``n_words``, ``n_removed``, ``kept_text`` (the text without the removed words)."""
-    own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: id, ``n_words``, ``n_removed``, ``kept_text`` (the text without the removed words).
+
+    ``carry`` names further columns to pass through.
+    """
+    carried = [f"carried_{i}" for i in range(len(carry))]
+    own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(n) for c, n in zip(carry, carried, strict=True)))
     mark = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND((1 << 31) - 1)  # tells texts of one id apart
     own = own.withColumn("mark", mark)
 
@@ -256,11 +261,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             texts, spans = texts_of(batch.column(1)), batch.column(2)
             cuts = [cut(t, s.values.to_numpy()) if s.is_valid else (len(t.split()), 0, t) for t, s in zip(texts, spans, strict=True)]
             kept = pa.array([c[2] for c in cuts], pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c[0] for c in cuts], pa.int64()), pa.array([c[1] for c in cuts], pa.int64()), kept], names=["id", "n_words", "n_removed", "kept_text"])
-
-    return (
-        own.join(spans.hint("shuffle_hash"), ["id", "mark"], "left")
-        .select("id", "text", "spans")
-        .mapInArrow(trim, "id bigint, n_words bigint, n_removed bigint, kept_text string")
-        .withColumnRenamed("id", id_col)
-    )
+            rest = [batch.column(3 + k) for k in range(len(carry))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c[0] for c in cuts], pa.int64()), pa.array([c[1] for c in cuts], pa.int64()), kept, *rest], names=["id", "n_words", "n_removed", "kept_text", *carried])
+
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
+    for name, column in zip(carried, carry, strict=True):
+        schema = schema.add(name, docs.schema[column].dataType)
+    joined = own.join(spans.hint("shuffle_hash"), ["id", "mark"], "left").select("id", "text", "spans", *carried)
+    return joined.mapInArrow(trim, schema).toDF(id_col, "n_words", "n_removed", "kept_text", *carry)

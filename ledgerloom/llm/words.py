@@ -122,3 +122,15 @@ def whole(offsets: np.ndarray, k: int) -> np.ndarray:
         return np.empty(0, dtype=np.int64)
     first = np.repeat(offsets[:-1] - np.concatenate(([0], np.cumsum(counts)[:-1])), counts)
     return first + np.arange(total)
+
+
+def count_words(texts: list[bytes]) -> np.ndarray:
+    """Number of words of each text."""
+    out = []
+    for a, b in chunks([len(t) for t in texts]):
+        raw = np.frombuffer(b"\n" + b"\n".join(texts[a:b]) + b"\n", dtype=np.uint8)
+        sep = _IS_SEPARATOR[raw]
+        starts = np.flatnonzero(sep[:-1] & ~sep[1:])
+        at = np.cumsum([0] + [len(t) + 1 for t in texts[a:b]])
+        out.append(np.diff(np.searchsorted(starts, at)))
+    return np.concatenate(out).astype(np.int64) if out else np.empty(0, dtype=np.int64)
