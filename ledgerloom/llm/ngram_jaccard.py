@@ -287,3 +287,13 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(
         F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce(F.col("class_id") == F.col("id"), F.lit(True)).alias("kept")
     )
+
+
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
+    """The rows of ``docs``, all columns, but for members of a class that don't name it.
+
+    Rows that repeat an id stand or fall together.
+    """
+    lost = ngram_jaccard(docs, id_col, text_col, threshold).where("NOT kept").select(F.col(id_col).alias("lost_id")).distinct()
+    row = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("own_id"))
+    return row.join(lost.hint("shuffle_hash"), row["own_id"] == lost["lost_id"], "left_anti").select("row.*")

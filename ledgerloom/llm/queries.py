@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+import zlib
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .arrow import rows_of, texts_of
 from .mixing import mix
 from .ngram_jaccard import ngram_jaccard
 from .quality_classifier import quality_classifier
 from .quality_rules import quality_rules
+from .sentencepiece_model import decode_pieces, encode_pieces
 from .shared import read_table
 from .substring_dedup import substring_dedup
 
@@ -31,6 +37,28 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(joined, 256).alias("kept_sha256"))
 
 
+def piece_model_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode every whole text, decode the ids again, and report both."""
+    path = piece_model_path()
+    back = decode_pieces(encode_pieces(read_table(spark, sf_dir, "documents"), path), path)
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            values, offsets = rows_of(lists, np.uint32)
+            sums = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            texts = [hashlib.sha256(t).hexdigest() for t in texts_of(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(sums, pa.int64()), pa.array(texts)], names=["doc_id", "n_ids", "ids_crc32", "decoded_sha256"])
+
+    return back.mapInArrow(digest, "doc_id bigint, n_ids bigint, ids_crc32 bigint, decoded_sha256 string")
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(read_table(spark, sf_dir, "documents"), weights=(5, 2, 1), cap=3.0)
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
@@ -54,6 +82,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_sentencepiece": op4_sentencepiece,
     "op7_mix_sources": op7_mix_sources,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op10_quality_classifier": op10_quality_classifier,
