@@ -17,8 +17,9 @@ from .ngram_jaccard import ngram_jaccard
 from .quality_classifier import quality_classifier
 from .quality_rules import quality_rules
 from .sentencepiece_model import decode_pieces, encode_pieces
-from .shared import read_table
+from .shared import compact, read_table
 from .substring_dedup import substring_dedup
+from .token_file import read_tokens, write_tokens
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +60,13 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.mapInArrow(digest, "doc_id bigint, n_ids bigint, ids_crc32 bigint, decoded_sha256 string")
 
 
+def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    segments = write_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return read_tokens(segments).withColumnRenamed("id", "doc_id")
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(read_table(spark, sf_dir, "documents"), weights=(5, 2, 1), cap=3.0)
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
@@ -79,13 +87,8 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_quality_rules": op1_quality_rules,
-    "op3_substring_dedup": op3_substring_dedup,
-    "op4_sentencepiece": op4_sentencepiece,
-    "op7_mix_sources": op7_mix_sources,
-    "op8_ngram_jaccard": op8_ngram_jaccard,
-    "op10_quality_classifier": op10_quality_classifier,
-}
+OPERATORS = (op1_quality_rules, op3_substring_dedup, op4_sentencepiece, op6_token_file, op7_mix_sources, op8_ngram_jaccard, op10_quality_classifier)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: (lambda spark, sf_dir, f=f: compact(f(spark, sf_dir))) for f in OPERATORS}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -22,11 +22,19 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir
 
 
-def write_table(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder as Parquet and read it back."""
+def compact(df: DataFrame) -> DataFrame:
+    """Where the number of files of a result is decided: as many as it has partitions."""
+    return df
+
+
+def write_table(df: DataFrame, name: str, few: bool = True) -> DataFrame:
+    """Cut the lineage: write ``df`` to the shared folder as Parquet and read it back.
+
+    ``few`` lets a task write several partitions, in any order.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}-{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    (compact(df) if few else df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._ledgerloom_path = path
     return out
