@@ -8,6 +8,7 @@ shared folder every round, so a lost executor costs a re-read.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,3 +55,29 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             root = short
     far = np.flatnonzero(root != np.arange(len(nodes)))
     return nodes[far], nodes[root[far]]
+
+
+def linked_state(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, class_id, n_links) of ``nodes(key, min_id, mult)``.
+
+    ``found(a, b, links)`` holds edges (links null) and counts of rows linked to
+    a node (b null); a node's own copies link to each other.  ``class_id`` is
+    the least ``min_id`` of a component.
+    """
+    links = found.where("b IS NULL").groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
+    joined = components(found.where("b IS NOT NULL").select("a", "b")).select(F.col("id").alias("key"), "component")
+    named = nodes.select("key", "min_id", "mult").join(joined, "key", "left").join(links, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    least = named.groupBy("component").agg(F.min("min_id").alias("class_id"))
+    return named.join(least, "component").select("key", "class_id", (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+
+
+def link_rows(counted: list[tuple[np.ndarray, np.ndarray]], edges: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """A batch of ``found`` rows from (keys, links) and (a, b) arrays."""
+    keys = np.concatenate([k for k, _ in counted] or [np.empty(0, np.int64)])
+    links = np.concatenate([n for _, n in counted] or [np.empty(0, np.int64)])
+    a = np.concatenate([x for x, _ in edges] or [np.empty(0, np.int64)])
+    b = np.concatenate([x for _, x in edges] or [np.empty(0, np.int64)])
+    none = lambda x: pa.nulls(len(x), pa.int64())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.concatenate((keys, a)), pa.int64()), pa.concat_arrays([none(keys), pa.array(b, pa.int64())]), pa.concat_arrays([pa.array(links.astype(np.int64)), none(a)])], names=["a", "b", "links"]
+    )

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import list_array, texts_of
-from .components import components, forest
+from .components import components, forest, link_rows, linked_state
 from .groups import runs, with_blocks
 from .shared import drop_table, write_table
 from .words import chunks, mix, split_words, whole, window_names
@@ -243,7 +243,7 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, bounds in runs(batches, 3):
-            keys, links, aa, bb = [], [], [], []
+            counted, edges = [], []
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                 group = rows.slice(a, b - a)
                 lo, hi, block, key, mult = (_numbers(group.column(k)) for k in (1, 2, 3, 4, 5))
@@ -264,25 +264,14 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 i, j = i[linked], j[linked]
                 if len(i):
                     n = np.bincount(i, weights=mult[j], minlength=len(key)) + np.bincount(j, weights=mult[i], minlength=len(key))
-                    keys.append(key[n > 0])
-                    links.append(n[n > 0].astype(np.int64))
-                    p, q = forest(key[i], key[j])
-                    aa.append(p)
-                    bb.append(q)
-            if keys:
-                k, p = np.concatenate(keys), np.concatenate(aa)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate((k, p))), pa.concat_arrays([pa.nulls(len(k), pa.int64()), pa.array(np.concatenate(bb))]), pa.concat_arrays([pa.array(np.concatenate(links)), pa.nulls(len(p), pa.int64())])],
-                    names=["a", "b", "links"],
-                )
+                    counted.append((key[n > 0], n[n > 0]))
+                    edges.append(forest(key[i], key[j]))
+            if counted:
+                yield link_rows(counted, edges)
 
     found = write_table(dealt.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi").mapInArrow(verify, "a bigint, b bigint, links bigint"), "jaccard-links")
-    links = found.where("b IS NULL").groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
-    joined = components(found.where("b IS NOT NULL").select("a", "b")).select(F.col("id").alias("key"), "component")
+    state = linked_state(nodes, found)
     drop_table(clusters)
-    named = nodes.select("key", "min_id", "mult").join(joined, "key", "left").join(links, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    least_id = named.groupBy("component").agg(F.min("min_id").alias("class_id"))
-    state = named.join(least_id, "component").select("key", "class_id", (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     out = signed.select("id", F.when(F.col("n") > 0, F.col("key")).alias("key")).join(state, "key", "left")
     return out.select(
         F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce(F.col("class_id") == F.col("id"), F.lit(True)).alias("kept")

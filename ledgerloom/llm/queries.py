@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow import rows_of, texts_of
+from .embedding_dedup import embedding_dedup
 from .mixing import mix
 from .ngram_jaccard import ngram_jaccard
 from .quality_classifier import quality_classifier
@@ -31,6 +32,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(read_table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup(read_table(spark, sf_dir, "documents"))
     # the kept text has the kept words with the white space they stood in
@@ -87,7 +92,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-OPERATORS = (op1_quality_rules, op3_substring_dedup, op4_sentencepiece, op6_token_file, op7_mix_sources, op8_ngram_jaccard, op10_quality_classifier)
+OPERATORS = (op1_quality_rules, op2_embedding_dedup, op3_substring_dedup, op4_sentencepiece, op6_token_file, op7_mix_sources, op8_ngram_jaccard, op10_quality_classifier)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: (lambda spark, sf_dir, f=f: compact(f(spark, sf_dir))) for f in OPERATORS}
 
