@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .arrow import rows_of, texts_of
 from .embedding_dedup import embedding_dedup
+from .html_extraction import extract_pages
 from .mixing import mix
 from .ngram_jaccard import ngram_jaccard
 from .quality_classifier import quality_classifier
@@ -81,6 +82,10 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard(read_table(spark, sf_dir, "documents"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(read_table(spark, sf_dir, "pages"))
+
+
 def held_out() -> Column:
     """Rows whose labels are never learned from."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
@@ -92,7 +97,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-OPERATORS = (op1_quality_rules, op2_embedding_dedup, op3_substring_dedup, op4_sentencepiece, op6_token_file, op7_mix_sources, op8_ngram_jaccard, op10_quality_classifier)
+OPERATORS = (op1_quality_rules, op2_embedding_dedup, op3_substring_dedup, op4_sentencepiece, op6_token_file, op7_mix_sources, op8_ngram_jaccard, op9_html_extraction, op10_quality_classifier)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: (lambda spark, sf_dir, f=f: compact(f(spark, sf_dir))) for f in OPERATORS}
 
