@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow import rows_of, texts_of
+from .chat_format import format_chats
 from .embedding_dedup import embedding_dedup
 from .html_extraction import extract_pages
 from .mixing import mix
@@ -66,6 +67,10 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.mapInArrow(digest, "doc_id bigint, n_ids bigint, ids_crc32 bigint, decoded_sha256 string")
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(read_table(spark, sf_dir, "conversations"))
+
+
 def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -97,8 +102,34 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-OPERATORS = (op1_quality_rules, op2_embedding_dedup, op3_substring_dedup, op4_sentencepiece, op6_token_file, op7_mix_sources, op8_ngram_jaccard, op9_html_extraction, op10_quality_classifier)
+OPERATORS = (op1_quality_rules, op2_embedding_dedup, op3_substring_dedup, op4_sentencepiece, op5_chat_format, op6_token_file, op7_mix_sources, op8_ngram_jaccard, op9_html_extraction, op10_quality_classifier)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: (lambda spark, sf_dir, f=f: compact(f(spark, sf_dir))) for f in OPERATORS}
 
-ORACLE_SQL: dict[str, str] = {}
+#: Messages in order, calls counted and linked; the JSON of a message that calls nothing.
+_CHAT_SQL = r"""
+WITH said AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+calls AS (
+  SELECT conv_id, turn, role, text, unnest(regexp_extract_all(text, '(?s)<tool_call>(.*?)</tool_call>', 1)) AS block
+  FROM said WHERE role = 'assistant'),
+named AS (SELECT conv_id, turn, text, json_extract_string(block, '$.id') AS id FROM calls),
+results AS (
+  SELECT conv_id, turn, text, CASE WHEN json_valid(text) THEN json_extract_string(text, '$.tool_call_id') END AS id
+  FROM said WHERE role = 'tool'),
+counted AS (
+  SELECT n.conv_id, n.turn, n.text, count(*) AS n_calls, count(r.id) AS n_linked
+  FROM named n LEFT JOIN (SELECT DISTINCT conv_id, id FROM results) r ON r.conv_id = n.conv_id AND r.id = n.id
+  GROUP BY ALL),
+owner AS (SELECT conv_id, id, min(turn) AS turn FROM named GROUP BY ALL)
+SELECT s.conv_id,
+  row_number() OVER (PARTITION BY s.conv_id ORDER BY coalesce(o.turn, s.turn), CASE WHEN o.turn IS NULL THEN 0 ELSE 1 END, s.turn, s.role, s.text) AS position,
+  s.turn, s.role, coalesce(c.n_calls, 0) AS n_calls, coalesce(c.n_linked, 0) AS n_linked,
+  CASE WHEN s.role = 'tool' AND o.turn IS NULL THEN 'result without call' ELSE '' END AS problems,
+  '{"content":' || CAST(to_json(s.text) AS VARCHAR) || ',"role":' || CAST(to_json(s.role) AS VARCHAR) || '}' AS message
+FROM said s
+LEFT JOIN counted c ON s.role = 'assistant' AND c.conv_id = s.conv_id AND c.turn = s.turn AND c.text = s.text
+LEFT JOIN results r ON s.role = 'tool' AND r.conv_id = s.conv_id AND r.turn = s.turn AND r.text = s.text
+LEFT JOIN owner o ON o.conv_id = r.conv_id AND o.id = r.id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_chat_format": _CHAT_SQL}
