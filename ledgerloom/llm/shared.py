@@ -23,8 +23,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def compact(df: DataFrame) -> DataFrame:
-    """Where the number of files of a result is decided: as many as it has partitions."""
-    return df
+    """Few files: at most four tasks for each core, each working through its partitions in turn.
+
+    Partitions keep their size (and so a task its memory); only files and
+    task starts become fewer where a shuffle has far more partitions than cores.
+    """
+    return df.coalesce(4 * max(2, df.sparkSession.sparkContext.defaultParallelism))
 
 
 def write_table(df: DataFrame, name: str, few: bool = True) -> DataFrame:
