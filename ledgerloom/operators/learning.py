@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import ESCALATED, Config
 from ..functions.calendar import calendar, with_lag
-from ..functions.predicates import PredicateError, Rule, parse
+from ..functions.predicates import REFUND_CONDITION, PredicateError, Rule, parse
 from .matching import pairs_of
 from .rules import as_table, cycles, ordered, overlaps, verdict
 
@@ -199,18 +199,36 @@ Proposer = Callable[[DataFrame], list[tuple[str, float]]]
 
 
 def statistical_proposer(orders: DataFrame, settlements: DataFrame, config: Config) -> list[tuple[str, float]]:
-    """Fee rules read off the observed schedule, timing rules off the commonest lag of each instrument."""
+    """Rules read off independent parts of a batch, each part proposing for itself.
+
+    Fees come from each part's observed schedule, timing from the commonest lag
+    of each instrument, and the refund pattern from parts in which partly
+    refunded orders settle for less than charged amounts explain.
+    """
     import json
 
     from .audit import observed_schedule
 
+    part = F.pmod(F.xxhash64("order_id_claimed"), F.lit(config.discovery_samples)).alias("part")
+    schedules, lags, refunds = [], [], []
+    days = calendar(orders.sparkSession, config)
+    for i in range(config.discovery_samples):
+        own = settlements.where(part == i)
+        schedules.append(observed_schedule(orders, own, config, config.discovery_least))
+        lagged = with_lag(pairs_of(orders, own), days, "o_date", "s_date")
+        lags.append(lagged.where("o_status = 'captured'").groupBy("batch_id", "s_instrument").agg(F.mode("lag_days", True).alias("lag"), F.count("*").alias("n")))
+        refunds.append(lagged.where("o_status = 'refunded_partial' AND s_net < s_gross").agg(F.count("*").alias("n")))
+    together = lambda dfs: [r for df in dfs for r in df.collect()]  # noqa: E731  parts x batches x instruments rows
     out = []
-    for r in observed_schedule(orders, settlements, config).orderBy("batch_id", "instrument").collect():  # batches x instruments
+    for r in sorted(together(schedules), key=str):
         params = {"gst": float(config.gst)} | ({"flat_paise": r["flat_paise"]} if r["flat_paise"] is not None else {"rate": r["rate"]})
         out.append((json.dumps({"type": "fee_formula", "instrument": r["instrument"], "params": params, "tolerance_paise": 2}), 0.9))
-    lagged = with_lag(pairs_of(orders, settlements).where("o_status = 'captured'"), calendar(orders.sparkSession, config), "o_date", "s_date")
-    for r in lagged.groupBy("batch_id", "s_instrument").agg(F.mode("lag_days", True).alias("lag")).orderBy("batch_id", "s_instrument").collect():
-        out.append((json.dumps({"type": "timing_window", "instrument": r["s_instrument"], "min_working_days": r["lag"], "max_working_days": r["lag"]}), 0.9))
+    for r in sorted(together(lags), key=str):
+        if r["n"] >= config.discovery_least:
+            out.append((json.dumps({"type": "timing_window", "instrument": r["s_instrument"], "min_working_days": r["lag"], "max_working_days": r["lag"]}), 0.9))
+    for r in together(refunds):
+        if r["n"] >= config.discovery_least:
+            out.append((json.dumps({"type": "refund_pattern", "condition": REFUND_CONDITION}), 0.9))
     return out
 
 

@@ -153,15 +153,24 @@ def subset_sums(amounts: Sequence[int], target: int, delta: int, most: int) -> F
     half = len(amounts) // 2
     if len(amounts) - half > LARGEST_HALF:
         return Found("intractable", [])
-    sums = lambda part: sorted((sum(amounts[part[0] + k] for k in range(len(part)) if m >> k & 1), m) for m in range(1 << len(part)))
-    left, right = sums(range(half)), sums(range(half, len(amounts)))
-    keys = np.array([s for s, _ in right], dtype=object)
-    hits = []
-    for s, m in left:
-        a, b = np.searchsorted(keys, target - delta - s, "left"), np.searchsorted(keys, target + delta - s, "right")
-        hits += [(abs(s + t - target), s + t, m | k << half) for t, k in right[a:b] if m | k << half]
-    hits.sort()
-    return Found("meet_in_the_middle", [tuple(i for i in range(len(amounts)) if m >> i & 1) for _, _, m in hits[:most]], len(hits) > most)
+
+    def sums(part: Sequence[int]) -> np.ndarray:
+        """Sum of every subset, at its bit mask."""
+        out = np.zeros(1, dtype=np.int64)
+        for x in part:
+            out = np.concatenate((out, out + x))
+        return out
+
+    left, right = sums(amounts[:half]), sums(amounts[half:])
+    order = np.argsort(right, kind="stable")
+    first = np.searchsorted(right[order], target - delta - left, "left")
+    count = np.searchsorted(right[order], target + delta - left, "right") - first
+    mask = np.repeat(np.arange(len(left)), count)
+    other = order[np.repeat(first - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(int(count.sum()))]
+    chosen, total = mask | other << half, left[mask] + right[other]
+    chosen, total = chosen[chosen > 0], total[chosen > 0]
+    best = np.lexsort((chosen, total, np.abs(total - target)))
+    return Found("meet_in_the_middle", [tuple(i for i in range(len(amounts)) if int(m) >> i & 1) for m in chosen[best[:most]]], len(chosen) > most)
 
 
 def disambiguate(found: Found, groups: Sequence[str], days: Sequence) -> tuple[tuple[int, ...] | None, float, str]:
