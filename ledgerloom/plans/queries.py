@@ -629,3 +629,32 @@ def learned_rules(spark, sf_dir):
 def exception_activity(spark, sf_dir):
     rows = recon(spark, sf_dir).exceptions(assigned=False, bank=False).groupBy("batch_id", "reason_code").agg(F.count("*").alias("events"), F.sum("money_at_risk_paise").alias("money"))
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("batch_id").orderBy(F.desc("events"), "reason_code")))
+
+
+@query(f"SELECT decision AS event, count(*) AS events FROM ({ORACLE_SQL['promotion_gate']}) GROUP BY decision", base=False)
+def rule_activity(spark, sf_dir):
+    """Audit events by kind, from the gate's decisions."""
+    return QUERIES["promotion_gate"](spark, sf_dir).groupBy(F.col("decision").alias("event")).agg(F.count("*").alias("events"))
+
+
+@query(ORACLE_SQL["score_batch"].removeprefix(BASE).replace("SELECT t.batch_id, CASE", "SELECT t.batch_id, row_number() OVER (ORDER BY CAST(t.batch_id AS INTEGER)) AS place, CASE"))
+def learning_curve(spark, sf_dir):
+    """Scores of the numbered batches in order."""
+    curve = scoring.learning_curve(QUERIES["score_batch"](spark, sf_dir))
+    return curve.withColumn("place", F.row_number().over(Window.orderBy(F.col("batch_id").cast("int"))))  # a row for each batch
+
+
+@query(OUTCOMES + """, wrong AS (SELECT m.s_id FROM order_matches m JOIN keyed k ON k.order_id = m.o_order_id WHERE k.k % 50 = 20)
+SELECT t.case_type, count(*) AS false_positives FROM wrong w LEFT JOIN (SELECT DISTINCT settlement_txn_id, case_type FROM truth) t ON t.settlement_txn_id = w.s_id GROUP BY t.case_type""")
+def false_positives_by_case(spark, sf_dir):
+    """Wrong links planted on every fiftieth order, counted by what they really are."""
+    r = recon(spark, sf_dir)
+    k = F.regexp_extract("o_order_id", r"\d+", 0).try_cast("bigint")
+    planted = r.order_matches(assigned=False).where(k % 50 == 20).select("batch_id", F.lit("order").alias("kind"), F.lit("ORD-none").alias("left_id"), F.col("s_id").alias("right_id"))
+    return scoring.false_positives_by_case(planted, derive(spark, sf_dir).truth)
+
+
+@query(" SELECT batch_id, min(order_date) AS first_order, max(order_date) AS last_order, count(DISTINCT instrument) AS instruments FROM ledger GROUP BY batch_id")
+def order_ranges(spark, sf_dir):
+    rows = derive(spark, sf_dir).orders
+    return rows.groupBy("batch_id").agg(F.min("order_date").alias("first_order"), F.max("order_date").alias("last_order"), F.count_distinct("instrument").alias("instruments"))
