@@ -26,7 +26,6 @@ hash; an empty table makes no segments.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -45,6 +44,8 @@ BLOCK_BITS = 512
 SEGMENT_TOKENS = 1 << 20
 #: Space-separated chunks a worker remembers before it starts afresh.
 MEMO = 250_000
+#: White space but the space itself.
+WHITE = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
 
 
 def pack_segment(ids: np.ndarray, doc_ids: list[int | None], first: np.ndarray) -> bytes:
@@ -131,10 +132,13 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.uneven = re.compile(r" \s|\s |^ | $")
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def uneven(self, text: str) -> bool:
+        """Whether a space stands at an end or next to other white space."""
+        return "  " in text or text[:1] == " " or text[-1:] == " " or any(w in text and (w + " " in text or " " + w in text) for w in WHITE)
+
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -144,7 +148,7 @@ class ChunkEncoder:
         cut: list[tuple[int, list[str]]] = []
         whole: list[int] = []
         for i, text in enumerate(texts):
-            if self.uneven.search(text) or any(s in text for s in self.special):
+            if self.uneven(text) or any(s in text for s in self.special):
                 whole.append(i)
             else:
                 first, *rest = text.split(" ")
