@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import rows_of
+
 SPACE = "▁"
 #: Segments a worker remembers before it starts afresh.
 MEMO = 250_000
@@ -292,7 +294,8 @@ def decode_pieces(encoded: DataFrame, model_path: str, id_col: str = "doc_id", i
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
                 part = batch.slice(first, 500)
-                texts = [model.decode(i or []) for i in part.column(1).to_pylist()]
+                values, offsets = rows_of(part.column(1), np.int32)
+                texts = [model.decode(values[a:b].tolist()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(texts, pa.string())], names=["id", "ids", "text"])
 
     own = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
