@@ -11,9 +11,9 @@ least ``threshold`` is a distance of at most tau = sqrt(2 - 2 * threshold).
 3. *Sufficient probes.*  If y is within tau of x, then x is within tau of the
    side of y's cell: x probes exactly the cells whose bisector with its own is
    at most tau away.  No pair is lost, whatever the data.
-4. *Asymmetric distances.*  For each query and list, tables hold the distances
-   of the query's residual to all codewords; a member's approximate distance is
-   a sum of table entries.  It differs from the true one by what the member's
+4. *Asymmetric distances.*  A query's tables hold its products with all
+   codewords; with what a cell's centroid and a member's codes add, a member's
+   approximate distance from the query's residual is a sum of table entries.  It differs from the true one by what the member's
    codes miss at most, so a member stays if the approximate distance minus that
    is at most tau.  Again no pair is lost.
 5. The rest is reranked by exact cosine in double precision.
@@ -73,6 +73,8 @@ class Quantiser:
     def __init__(self, sample: np.ndarray, cells: int):
         width = sample.shape[1]
         self.coarse = kmeans(sample, cells, 10) if len(sample) else np.zeros((1, width))
+        norms = (self.coarse**2).sum(axis=1)
+        self.apart = np.sqrt(np.maximum(norms[:, None] + norms[None] - 2 * self.coarse @ self.coarse.T, 0))
         parts = min(SUBSPACES, width)
         self.cuts = np.linspace(0, width, parts + 1).astype(int)
         left = sample - self.coarse[nearest(sample, self.coarse)] if len(sample) else np.zeros((1, width))
@@ -92,26 +94,38 @@ class Quantiser:
     def probes(self, x: np.ndarray, cell: np.ndarray, tau: float) -> np.ndarray:
         """Which cells may hold a vector within tau: [vectors, cells]."""
         far = ((self.coarse**2).sum(axis=1) - 2 * x @ self.coarse.T) + (x**2).sum(axis=1)[:, None]
-        apart = np.sqrt(np.maximum(((self.coarse[cell][:, None] - self.coarse[None]) ** 2).sum(axis=2), 0))
-        return far - far[np.arange(len(x)), cell][:, None] <= 2 * (tau + 1e-6) * apart + 1e-9
+        return far - far[np.arange(len(x)), cell][:, None] <= 2 * (tau + 1e-6) * self.apart[cell] + 1e-9
 
-    def distances(self, queries: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
-        """Approximate distances [queries, members] to members of a cell, from lookup tables."""
-        left = queries - self.coarse[cell]
-        total = np.zeros((len(queries), len(codes)), dtype=np.float32)
+    def tables(self, queries: np.ndarray) -> list[np.ndarray]:
+        """For each subspace, twice the product of the queries with all codewords; good for every cell."""
+        return [(2 * queries[:, a:b] @ self.books[k].T).astype(np.float32) for k, (a, b) in enumerate(zip(self.cuts[:-1], self.cuts[1:], strict=True))]
+
+    def lengths(self, cell: int, codes: np.ndarray) -> np.ndarray:
+        """What codes add to a squared distance from a cell's centroid whatever the query."""
+        out = np.zeros(len(codes))
         for k, (a, b) in enumerate(zip(self.cuts[:-1], self.cuts[1:], strict=True)):
-            table = ((left[:, None, a:b] - self.books[k][None]) ** 2).sum(axis=2).astype(np.float32)
-            total += table[:, codes[:, k]]
-        return np.sqrt(total)
+            book = self.books[k]
+            out += ((book**2).sum(axis=1) + 2 * book @ self.coarse[cell, a:b])[codes[:, k]]
+        return out
+
+    def distances(self, queries: np.ndarray, tables: list[np.ndarray], cell: int, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Approximate distances [queries, members] to members of a cell: table sums by code."""
+        far = ((queries - self.coarse[cell]) ** 2).sum(axis=1)
+        total = (far[:, None] + lengths[None]).astype(np.float32)
+        for k, table in enumerate(tables):
+            total -= table.take(codes[:, k], axis=1)
+        return np.sqrt(np.maximum(total, 0))
 
 
 def unit(packed: list[bytes], width: int) -> np.ndarray:
     """Unit vectors from packed doubles, padded with zeros."""
-    out = np.zeros((len(packed), width))
-    for i, p in enumerate(packed):
-        v = np.frombuffer(p, dtype="<f8")
-        out[i, : len(v)] = v
-    out /= np.abs(out).max(axis=1, keepdims=True, initial=1e-300)
+    if all(len(p) == 8 * width for p in packed):
+        out = np.frombuffer(b"".join(packed), dtype="<f8").reshape(len(packed), width)
+    else:
+        out = np.zeros((len(packed), width))
+        for i, p in enumerate(packed):
+            out[i, : len(p) // 8] = np.frombuffer(p, dtype="<f8")
+    out = out / np.abs(out).max(axis=1, keepdims=True, initial=1e-300)
     return out / np.linalg.norm(out, axis=1, keepdims=True)
 
 
@@ -178,11 +192,12 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                 codes = np.frombuffer(b"".join(group.column(7).take(pa.array(at)).to_pylist()), dtype=np.uint8).reshape(len(at), -1)
                 missed = group.column(8).take(pa.array(at)).to_numpy()
                 x = unit(group.column(9).take(pa.array(at)).to_pylist(), width)
+                lengths = q.lengths(cell, codes)
                 ii, jj = [], []
                 for first in range(0, len(ask), _QUERIES_AT_ONCE):
                     some = ask[first : first + _QUERIES_AT_ONCE]
                     y = unit(group.column(9).take(pa.array(some)).to_pylist(), width)
-                    close = q.distances(y, cell, codes) - missed[None] <= tau + 1e-4
+                    close = q.distances(y, q.tables(y), cell, codes, lengths) - missed[None] <= tau + 1e-4
                     close &= (own_cell[some] < cell)[:, None] | (key[some][:, None] < key[at][None])
                     i, j = np.nonzero(close)
                     if len(i) > close.size // 16:
