@@ -17,8 +17,9 @@ equal substrings have the same boundaries but for their outermost ``LOSS`` words
 *Reveal.*  Every window has an anchor: of the boundaries within its consistent
 interior, the one whose phrase (``PHRASE`` words from there on) has the least
 name.  The anchor depends on the window's words only, so two equal windows meet
-at the phrase's name.  Consecutive windows with one anchor are one row: about
-one row for 12 words of text, shuffled once by the phrase's name.
+at the phrase's name.  Consecutive windows with one phrase are one row (a passage
+that repeats a few words over and over is one, too): about one row for 12 words
+of text, shuffled once by the phrase's name.
 
 *Verify.*  Rows that meet compare their windows' names; the smallest id having
 each window decides.  A phrase of more than ``CROWD`` rows is not compared in
@@ -54,8 +55,9 @@ LONG = 4
 #: Words from a window's edge within which boundaries may depend on what is outside.
 LOSS = (LONG - 1) * (ROUNDS + 1)
 PHRASE = 16
-#: Rows of one phrase that a task compares in memory.
+#: Rows of one phrase that a task compares at once, and windows that it remembers of a phrase with more.
 CROWD = 1 << 16
+CROWD_WINDOWS = 1 << 21
 
 _U = np.uint64
 _FAR = _U(0xFFFFFFFFFFFFFFFF)
@@ -115,7 +117,7 @@ def anchored_rows(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray,
         key = np.where(anchor >= 0, phrases[np.maximum(anchor, 0)], windows)
         own = doc[starts]
         new = np.ones(len(starts), dtype=bool)
-        new[1:] = (anchor[1:] != anchor[:-1]) | (anchor[1:] < 0) | (own[1:] != own[:-1])
+        new[1:] = (key[1:] != key[:-1]) | (own[1:] != own[:-1])
         first = np.flatnonzero(new)
         yield a + own[first], key[first], starts[first] - w.offsets[own[first]], np.diff(np.append(first, len(starts))), (windows >> _U(32)).astype(np.uint32)
 
@@ -204,20 +206,39 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 n = len(row)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(at[row] >> 32), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), none(n, pa.int64()), none(n, pa.int64())], names=names)
 
-        def passed_on(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        def crowd(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            """More rows of a crowded phrase: compare with the windows seen so far, ids ascending."""
+            nonlocal seen, seen_ids
             key, ids, at = (batch.column(k).to_numpy() for k in range(3))
             counts, windows = unpacked(batch.column(3))
             row = np.repeat(np.arange(len(key)), counts)
-            first = (at & 0xFFFFFFFF)[row] + np.arange(len(row)) - np.repeat(np.concatenate(([0], np.cumsum(counts)[:-1])), counts)
-            same = pa.array(first.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(at[row] >> 32), same, same, pa.array(key[row]), pa.array(windows.astype(np.int64))], names=names)
+            place = np.minimum(np.searchsorted(seen, windows), max(len(seen) - 1, 0))
+            known = seen[place] == windows if len(seen) else np.zeros(len(windows), dtype=bool)
+            removed = np.zeros(len(windows), dtype=bool)
+            removed[known] = ids[row[known]] > seen_ids[place[known]]
+            rest = np.flatnonzero(~known)
+            new, first_at, which = np.unique(windows[rest], return_index=True, return_inverse=True)
+            new_ids = ids[row[rest]][first_at]
+            if len(seen) + len(new) <= CROWD_WINDOWS:
+                removed[rest] = ids[row[rest]] > new_ids[which]
+                order = np.argsort(merged := np.concatenate((seen, new)), kind="stable")
+                seen, seen_ids, rest = merged[order], np.concatenate((seen_ids, new_ids))[order], rest[:0]
+            where, first, last = spans_of(at & 0xFFFFFFFF, counts, removed)
+            n, m = len(where), len(rest)
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array(ids[where]), pa.array(at[where] >> 32), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), none(n, pa.int64()), none(n, pa.int64())], names=names)
+            if m:  # no room for them: each window on its own, all its occurrences alike
+                own = (at & 0xFFFFFFFF)[row] + np.arange(len(row)) - np.repeat(np.concatenate(([0], np.cumsum(counts)[:-1])), counts)
+                same = pa.array(own[rest].astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row[rest]]), pa.array(at[row[rest]] >> 32), same, same, pa.array(key[row[rest]]), pa.array(windows[rest].astype(np.int64))], names=names)
 
         def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             packed = column.to_pylist()
             return np.array([len(x) // 4 for x in packed], dtype=np.int64), np.frombuffer(b"".join(packed), dtype=np.uint32)
 
         held: list[pa.RecordBatch] = []  # the last key's rows so far
-        crowded = False  # they were more than CROWD and went on
+        crowded = False  # they were more than CROWD: only their windows are remembered
+        seen, seen_ids = np.empty(0, dtype=np.uint32), np.empty(0, dtype=np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -227,7 +248,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 upto = int(np.searchsorted(key, now, side="right"))
                 if upto:
                     if crowded:
-                        yield from passed_on(batch.slice(0, upto))
+                        yield from crowd(batch.slice(0, upto))
                     else:
                         held.append(batch.slice(0, upto))
                 if upto < len(key):
@@ -243,8 +264,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 held = [batch.slice(last)]
             now = key[-1]
             if sum(b.num_rows for b in held) > CROWD:
+                seen, seen_ids = seen[:0], seen_ids[:0]
                 for part in held:
-                    yield from passed_on(part)
+                    yield from crowd(part)
                 held, crowded = [], True
         if held:
             yield from compared(held)
