@@ -25,9 +25,9 @@ of text, shuffled once by the phrase's name.
 each window decides.  A phrase of more than ``CROWD`` rows is not compared in
 one place: its windows go on to a grouped minimum and a join instead.
 
-Names are 64-bit (a window's name is held to 32 bits besides the 64 of its
-phrase); two different sequences are taken for equal with a chance below 1e-9
-for each row, the only way a result can differ from a word-for-word comparison.
+Names are 64-bit and the words themselves are not compared again: a phrase with
+N distinct windows has about N^2 / 2^65 false equalities (1e-5 at 20 million),
+the only way a result can differ from a word-for-word comparison.
 
 Defined results: null or blank text has no words; a text shorter than a window
 keeps all; rows that repeat an id never remove from each other; a null id
@@ -119,7 +119,7 @@ def anchored_rows(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray,
         new = np.ones(len(starts), dtype=bool)
         new[1:] = (key[1:] != key[:-1]) | (own[1:] != own[:-1])
         first = np.flatnonzero(new)
-        yield a + own[first], key[first], starts[first] - w.offsets[own[first]], np.diff(np.append(first, len(starts))), (windows >> _U(32)).astype(np.uint32)
+        yield a + own[first], key[first], starts[first] - w.offsets[own[first]], np.diff(np.append(first, len(starts))), windows
 
 
 def removed_windows(key: np.ndarray, ids: np.ndarray, counts: np.ndarray, windows: np.ndarray) -> np.ndarray:
@@ -133,15 +133,100 @@ def removed_windows(key: np.ndarray, ids: np.ndarray, counts: np.ndarray, window
         return out
     at = np.flatnonzero(met)
     row = np.repeat(np.arange(len(key)), counts)[at]
-    both = (group[row].astype(np.uint64) << _U(32)) | windows[at]
+    name = windows[at]
+    both = (group[row].astype(np.uint64) << _U(32)) | (name >> _U(32))
     order = np.argsort(both, kind="stable")
     head = np.ones(len(order), dtype=bool)
     head[1:] = both[order][1:] != both[order][:-1]
+    if (~head[1:] & (name[order][1:] != name[order][:-1])).any():  # half a name isn't enough here
+        order = np.lexsort((name, group[row]))
+        head[1:] = (group[row[order]][1:] != group[row[order]][:-1]) | (name[order][1:] != name[order][:-1])
     least = ids[row[order]][head][np.cumsum(head) - 1]
     out[at[order]] = ids[row[order]] > least
     return out
 
 
+def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows to remove, from rows sorted by (key, id); those of a crowd that find no room come with their key and name."""
+    names = ["id", "mark", "first", "last", "key", "window"]
+    none = pa.nulls
+
+    def compared(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batch = pa.concat_batches(parts) if len(parts) > 1 else parts[0]
+        key, ids, at = (batch.column(k).to_numpy() for k in range(3))
+        counts, windows = unpacked(batch.column(3))
+        removed = removed_windows(key, ids, counts, windows)
+        row, first, last = spans_of(at & 0xFFFFFFFF, counts, removed)
+        if len(row):
+            n = len(row)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(at[row] >> 32), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), none(n, pa.int64()), none(n, pa.int64())], names=names)
+
+    def crowd(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """More rows of a crowded phrase: compare with the windows seen so far, ids ascending."""
+        nonlocal seen, seen_ids
+        key, ids, at = (batch.column(k).to_numpy() for k in range(3))
+        counts, windows = unpacked(batch.column(3))
+        row = np.repeat(np.arange(len(key)), counts)
+        place = np.minimum(np.searchsorted(seen, windows), max(len(seen) - 1, 0))
+        known = seen[place] == windows if len(seen) else np.zeros(len(windows), dtype=bool)
+        removed = np.zeros(len(windows), dtype=bool)
+        removed[known] = ids[row[known]] > seen_ids[place[known]]
+        rest = np.flatnonzero(~known)
+        new, first_at, which = np.unique(windows[rest], return_index=True, return_inverse=True)
+        new_ids = ids[row[rest]][first_at]
+        if len(seen) + len(new) <= CROWD_WINDOWS:
+            removed[rest] = ids[row[rest]] > new_ids[which]
+            order = np.argsort(merged := np.concatenate((seen, new)), kind="stable")
+            seen, seen_ids, rest = merged[order], np.concatenate((seen_ids, new_ids))[order], rest[:0]
+        where, first, last = spans_of(at & 0xFFFFFFFF, counts, removed)
+        n, m = len(where), len(rest)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(ids[where]), pa.array(at[where] >> 32), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), none(n, pa.int64()), none(n, pa.int64())], names=names)
+        if m:  # no room for them: each window on its own, all its occurrences alike
+            own = (at & 0xFFFFFFFF)[row] + np.arange(len(row)) - np.repeat(np.concatenate(([0], np.cumsum(counts)[:-1])), counts)
+            same = pa.array(own[rest].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[row[rest]]), pa.array(at[row[rest]] >> 32), same, same, pa.array(key[row[rest]]), pa.array(windows[rest].view(np.int64))], names=names)
+
+    def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        packed = column.to_pylist()
+        return np.array([len(x) // 8 for x in packed], dtype=np.int64), np.frombuffer(b"".join(packed), dtype=np.uint64)
+
+    held: list[pa.RecordBatch] = []  # the last key's rows so far
+    crowded = False  # they were more than CROWD: only their windows are remembered
+    seen, seen_ids = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(0).to_numpy()
+        last = int(np.searchsorted(key, key[-1]))
+        if held or crowded:
+            upto = int(np.searchsorted(key, now, side="right"))
+            if upto:
+                if crowded:
+                    yield from crowd(batch.slice(0, upto))
+                else:
+                    held.append(batch.slice(0, upto))
+            if upto < len(key):
+                if held:
+                    yield from compared(held)
+                held, crowded = [], False
+                if last > upto:
+                    yield from compared([batch.slice(upto, last - upto)])
+                held = [batch.slice(last)]
+        else:
+            if last:
+                yield from compared([batch.slice(0, last)])
+            held = [batch.slice(last)]
+        now = key[-1]
+        if sum(b.num_rows for b in held) > CROWD:
+            seen, seen_ids = seen[:0], seen_ids[:0]
+            for part in held:
+                yield from crowd(part)
+            held, crowded = [], True
+    if held:
+        yield from compared(held)
+
+
 def spans_of(first: np.ndarray, counts: np.ndarray, removed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of removed windows: (row, first window, last window)."""
     row = np.repeat(np.arange(len(first)), counts)
@@ -185,92 +270,13 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for batch in batches:
             ids, marks = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
             for at, key, first, counts, windows in anchored_rows(texts_of(batch.column(1))):
-                ends = np.cumsum(counts).astype(np.int64) * 4
+                ends = np.cumsum(counts).astype(np.int64) * 8
                 named = pa.Array.from_buffers(pa.binary(), len(key), [None, pa.py_buffer(np.concatenate(([0], ends)).astype(np.int32)), pa.py_buffer(windows.tobytes())])
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[at]), pa.array((marks[at] << 32) | first), named], names=["key", "id", "at", "windows"])
 
     rows = own.where("id IS NOT NULL").select("id", "text", "mark").mapInArrow(anchor, "key bigint, id bigint, at bigint, windows binary")
     rows = rows.repartition("key").sortWithinPartitions("key", "id")
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "mark", "first", "last", "key", "window"]
-        none = pa.nulls
-
-        def compared(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            batch = pa.concat_batches(parts) if len(parts) > 1 else parts[0]
-            key, ids, at = (batch.column(k).to_numpy() for k in range(3))
-            counts, windows = unpacked(batch.column(3))
-            removed = removed_windows(key, ids, counts, windows)
-            row, first, last = spans_of(at & 0xFFFFFFFF, counts, removed)
-            if len(row):
-                n = len(row)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(at[row] >> 32), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), none(n, pa.int64()), none(n, pa.int64())], names=names)
-
-        def crowd(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            """More rows of a crowded phrase: compare with the windows seen so far, ids ascending."""
-            nonlocal seen, seen_ids
-            key, ids, at = (batch.column(k).to_numpy() for k in range(3))
-            counts, windows = unpacked(batch.column(3))
-            row = np.repeat(np.arange(len(key)), counts)
-            place = np.minimum(np.searchsorted(seen, windows), max(len(seen) - 1, 0))
-            known = seen[place] == windows if len(seen) else np.zeros(len(windows), dtype=bool)
-            removed = np.zeros(len(windows), dtype=bool)
-            removed[known] = ids[row[known]] > seen_ids[place[known]]
-            rest = np.flatnonzero(~known)
-            new, first_at, which = np.unique(windows[rest], return_index=True, return_inverse=True)
-            new_ids = ids[row[rest]][first_at]
-            if len(seen) + len(new) <= CROWD_WINDOWS:
-                removed[rest] = ids[row[rest]] > new_ids[which]
-                order = np.argsort(merged := np.concatenate((seen, new)), kind="stable")
-                seen, seen_ids, rest = merged[order], np.concatenate((seen_ids, new_ids))[order], rest[:0]
-            where, first, last = spans_of(at & 0xFFFFFFFF, counts, removed)
-            n, m = len(where), len(rest)
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array(ids[where]), pa.array(at[where] >> 32), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), none(n, pa.int64()), none(n, pa.int64())], names=names)
-            if m:  # no room for them: each window on its own, all its occurrences alike
-                own = (at & 0xFFFFFFFF)[row] + np.arange(len(row)) - np.repeat(np.concatenate(([0], np.cumsum(counts)[:-1])), counts)
-                same = pa.array(own[rest].astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row[rest]]), pa.array(at[row[rest]] >> 32), same, same, pa.array(key[row[rest]]), pa.array(windows[rest].astype(np.int64))], names=names)
-
-        def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-            packed = column.to_pylist()
-            return np.array([len(x) // 4 for x in packed], dtype=np.int64), np.frombuffer(b"".join(packed), dtype=np.uint32)
-
-        held: list[pa.RecordBatch] = []  # the last key's rows so far
-        crowded = False  # they were more than CROWD: only their windows are remembered
-        seen, seen_ids = np.empty(0, dtype=np.uint32), np.empty(0, dtype=np.int64)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = batch.column(0).to_numpy()
-            last = int(np.searchsorted(key, key[-1]))
-            if held or crowded:
-                upto = int(np.searchsorted(key, now, side="right"))
-                if upto:
-                    if crowded:
-                        yield from crowd(batch.slice(0, upto))
-                    else:
-                        held.append(batch.slice(0, upto))
-                if upto < len(key):
-                    if held:
-                        yield from compared(held)
-                    held, crowded = [], False
-                    if last > upto:
-                        yield from compared([batch.slice(upto, last - upto)])
-                    held = [batch.slice(last)]
-            else:
-                if last:
-                    yield from compared([batch.slice(0, last)])
-                held = [batch.slice(last)]
-            now = key[-1]
-            if sum(b.num_rows for b in held) > CROWD:
-                seen, seen_ids = seen[:0], seen_ids[:0]
-                for part in held:
-                    yield from crowd(part)
-                held, crowded = [], True
-        if held:
-            yield from compared(held)
-
     met = write_table(rows.mapInArrow(meet, "id bigint, mark bigint, first int, last int, key bigint, window bigint"), "substring-spans")
     crowd = met.where("key IS NOT NULL")
     least = crowd.groupBy("key", "window").agg(F.min("id").alias("least"))

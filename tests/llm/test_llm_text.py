@@ -7,6 +7,7 @@ from collections import Counter
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ledgerloom.llm import substring_dedup as SD
@@ -172,6 +173,22 @@ def test_substrings_equal_brute_force(docs, rows, monkeypatch, crowd, windows):
     assert {r["key"] for r in got} == {"k"}
 
 
+def met(batches):
+    """What ``meet`` removes or sends on: rows (id, first, last, key, window), from lists of (key, id, first, window names)."""
+    rows = lambda b: [pa.array([r[k] for r in b], pa.int64()) for k in range(3)] + [pa.array([np.array(r[3], dtype=np.uint64).tobytes() for r in b], pa.binary())]
+    out = SD.meet(pa.RecordBatch.from_arrays(rows(b), names=["key", "id", "at", "windows"]) for b in batches)
+    return [(r["id"], r["first"], r["last"], r["key"], r["window"]) for part in out for r in part.to_pylist()]
+
+
+@pytest.mark.parametrize("crowd", [1 << 16, 1])
+def test_windows_that_share_half_a_name_differ(monkeypatch, crowd):
+    """Windows of one phrase are told apart by all 64 bits of their names."""
+    monkeypatch.setattr(SD, "CROWD", crowd)
+    a, b = (7 << 32) + 1, (7 << 32) + 2
+    assert met([[(5, 1, 0, [a]), (5, 2, 0, [b]), (5, 3, 4, [b, a]), (6, 4, 0, [a])]]) == [(3, 4, 5, None, None)]
+    assert met([[(5, 1, 0, [a])], [(5, 2, 0, [b]), (5, 3, 4, [b, a])]]) == [(3, 4, 5, None, None)]
+
+
 def test_boundaries_depend_on_near_words_only():
     """Equal substrings have equal symbol boundaries but for their outermost words, runs included."""
     draw = np.random.default_rng(3)
