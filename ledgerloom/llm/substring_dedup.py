@@ -163,7 +163,7 @@ def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def crowd(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         """More rows of a crowded phrase: compare with the windows seen so far, ids ascending."""
-        nonlocal seen, seen_ids
+        nonlocal seen, seen_ids, full
         key, ids, at = (batch.column(k).to_numpy() for k in range(3))
         counts, windows = unpacked(batch.column(3))
         row = np.repeat(np.arange(len(key)), counts)
@@ -174,7 +174,8 @@ def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = np.flatnonzero(~known)
         new, first_at, which = np.unique(windows[rest], return_index=True, return_inverse=True)
         new_ids = ids[row[rest]][first_at]
-        if len(seen) + len(new) <= CROWD_WINDOWS:
+        full = full or len(seen) + len(new) > CROWD_WINDOWS
+        if not full:
             removed[rest] = ids[row[rest]] > new_ids[which]
             order = np.argsort(merged := np.concatenate((seen, new)), kind="stable")
             seen, seen_ids, rest = merged[order], np.concatenate((seen_ids, new_ids))[order], rest[:0]
@@ -194,6 +195,7 @@ def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[pa.RecordBatch] = []  # the last key's rows so far
     crowded = False  # they were more than CROWD: only their windows are remembered
     seen, seen_ids = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+    full = False  # some windows of this crowd found no room: no more are taken in
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -219,7 +221,7 @@ def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = [batch.slice(last)]
         now = key[-1]
         if sum(b.num_rows for b in held) > CROWD:
-            seen, seen_ids = seen[:0], seen_ids[:0]
+            seen, seen_ids, full = seen[:0], seen_ids[:0], False
             for part in held:
                 yield from crowd(part)
             held, crowded = [], True

@@ -189,6 +189,16 @@ def test_windows_that_share_half_a_name_differ(monkeypatch, crowd):
     assert met([[(5, 1, 0, [a])], [(5, 2, 0, [b]), (5, 3, 4, [b, a])]]) == [(3, 4, 5, None, None)]
 
 
+def test_a_window_sent_on_is_never_remembered_later(monkeypatch):
+    """Once a crowd's windows found no room, later and smaller batches of it don't take theirs in."""
+    monkeypatch.setattr(SD, "CROWD", 1)
+    monkeypatch.setattr(SD, "CROWD_WINDOWS", 3)
+    batches = [[(5, 1, 0, [10, 11]), (5, 2, 0, [10])], [(5, 3, 0, [20, 21, 22])], [(5, 4, 0, [20]), (5, 5, 0, [11])], [(5, 6, 0, [20])], [(6, 7, 0, [30]), (6, 8, 0, [30])]]
+    got = met(batches)
+    assert [r[:3] for r in got if r[3] is None] == [(2, 0, 0), (5, 0, 0), (8, 0, 0)]
+    assert [(r[0], r[4]) for r in got if r[3] is not None] == [(3, 20), (3, 21), (3, 22), (4, 20), (6, 20)]
+
+
 def test_boundaries_depend_on_near_words_only():
     """Equal substrings have equal symbol boundaries but for their outermost words, runs included."""
     draw = np.random.default_rng(3)
