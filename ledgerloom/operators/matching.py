@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import Config
 from ..functions.calendar import calendar, with_lag
 from ..functions.predicates import Rule
 from .rules import explaining_rule, timing_verdict
+from .solvers import subset_sums
 
 #: Members of a leg list or a pool whose subsets are enumerated inside the engine.
 ENUMERATED = 12
@@ -60,17 +63,35 @@ def split_payouts(orders: DataFrame, settlements: DataFrame, rules: Sequence[Rul
     """Legs of orders that two or more settlements claim and one subset of them pays exactly.
 
     Each leg must be explained by a fee rule on its own gross.  Orders with more
-    than ``ENUMERATED`` claims are left for the solver.
+    than ``ENUMERATED`` claims go to the solver, for which a single leg that pays
+    the whole order is one more way, so that the order stays open.
     """
     pairs = pairs_of(orders, settlements)
     fee_rules = [r for r in rules if r.rule_type == "fee_formula"]
     leg_ok = pairs.withColumn("o_real", F.col("o_gross")).withColumn("o_gross", F.col("s_gross")).withColumn("rule_id", explaining_rule(fee_rules)).withColumn("o_gross", F.col("o_real")).drop("o_real")
     leg = F.struct("s_id", "s_gross", F.col("rule_id").isNotNull().alias("ok"), "rule_id")
-    grouped = leg_ok.groupBy("batch_id", "o_order_id", "o_gross").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(leg)).alias("legs")).where(F.col("n").between(2, ENUMERATED))
+    grouped = leg_ok.groupBy("batch_id", "o_order_id", "o_gross").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(leg)).alias("legs"))
+    few, many = grouped.where(F.col("n").between(2, ENUMERATED)), grouped.where(F.col("n") > ENUMERATED)
     total = lambda s: F.aggregate(s, F.lit(0).cast("bigint"), lambda a, x: a + x["s_gross"])
-    exact = grouped.withColumn("found", F.filter(subsets(F.col("legs"), F.col("n").cast("int"), 2), lambda s: total(s) == F.col("o_gross")))
+    exact = few.withColumn("found", F.filter(subsets(F.col("legs"), F.col("n").cast("int"), 2), lambda s: total(s) == F.col("o_gross")))
     unique = exact.where((F.size("found") == 1) & F.forall(F.element_at("found", 1), lambda x: x["ok"]))
-    return unique.select("batch_id", "o_order_id", F.explode(F.element_at("found", 1)).alias("leg")).select("batch_id", "o_order_id", "leg.s_id", "leg.s_gross", "leg.rule_id")
+    chosen = unique.select("batch_id", "o_order_id", F.get("found", F.lit(0)).alias("chosen")).unionByName(solved_splits(many))
+    return chosen.select("batch_id", "o_order_id", F.explode("chosen").alias("leg")).select("batch_id", "o_order_id", "leg.s_id", "leg.s_gross", "leg.rule_id")
+
+
+def solved_splits(grouped: DataFrame) -> DataFrame:
+    """The legs of each order whose only subset that pays it exactly has two or more, all of them explained."""
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, (gross, legs) in enumerate(zip(batch.column("o_gross").to_pylist(), batch.column("legs").to_pylist(), strict=True)):
+                found = subset_sums([x["s_gross"] for x in legs], gross, 0, 1)
+                if found.solutions and not found.truncated and len(found.solutions[0]) > 1 and all(legs[i]["ok"] for i in found.solutions[0]):
+                    chosen = pa.array([[legs[i] for i in found.solutions[0]]], batch.schema.field("legs").type)
+                    yield pa.RecordBatch.from_arrays([*batch.select(["batch_id", "o_order_id"]).slice(k, 1).columns, chosen], names=["batch_id", "o_order_id", "chosen"])
+
+    schema = T.StructType([grouped.schema["batch_id"], grouped.schema["o_order_id"], T.StructField("chosen", grouped.schema["legs"].dataType)])
+    return grouped.select("batch_id", "o_order_id", "o_gross", "legs").mapInArrow(solve, schema)
 
 
 def candidate_pairs(orders: DataFrame, settlements: DataFrame, config: Config) -> DataFrame:

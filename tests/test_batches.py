@@ -137,6 +137,21 @@ def test_range_join_equals_the_nested_loop(spark, ledgers):
     assert fast == slow
 
 
+def test_an_order_paid_in_many_legs_is_split(spark):
+    """Leg lists beyond the enumerated ones: one exact subset pays, an ambiguous or unexplained one doesn't."""
+    day = dt.date(1995, 1, 3)
+    legs = {"whole": [2**k for k in range(13)], "part": [*(2**k for k in range(13)), 9000], "two ways": [1] * 14, "no fee": [2**k for k in range(13)], "few": [5, 7], "one": [*range(1, 14), 5000]}
+    gross = {"whole": 8191, "part": 8190, "two ways": 13, "no fee": 8191, "few": 12, "one": 5000}
+    orders = spark.createDataFrame([("1", k, day, g, "UPI", "captured") for k, g in gross.items()], "batch_id string, order_id string, order_date date, gross_amount_paise bigint, instrument string, status string")
+    rows = [("1", f"{k} {i:02d}", k, day, g, g - 50 * (k == "no fee" and i == 3), "UPI") for k, x in legs.items() for i, g in enumerate(x)]
+    settled = spark.createDataFrame(rows, "batch_id string, settlement_txn_id string, order_id_claimed string, settled_date date, gross_amount_paise bigint, net_amount_paise bigint, instrument string")
+    got = {}
+    for r in matching.split_payouts(orders, settled, LIBRARY).collect():
+        assert (r.batch_id, r.rule_id) == ("1", 2) and legs[r.o_order_id][int(r.s_id[-2:])] == r.s_gross
+        got.setdefault(r.o_order_id, set()).add(int(r.s_id[-2:]))
+    assert got == {"whole": set(range(13)), "part": set(range(1, 13)), "few": {0, 1}}
+
+
 def test_only_scoring_reads_truth():
     root = pathlib.Path(__file__).parent.parent / "ledgerloom"
     for path in [*(root / "operators").glob("*.py"), root / "plans" / "batch.py", root / "plans" / "run.py"]:
