@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from heapq import heappop, heappush
+from math import isqrt
 
 import numpy as np
 
@@ -118,22 +119,51 @@ class Found:
 
 
 def subset_sums(amounts: Sequence[int], target: int, delta: int, most: int) -> Found:
-    """Non-empty subsets whose sum is within ``delta`` of the target: exact first, then nearest, then the smaller sum."""
+    """Non-empty subsets whose sum is within ``delta`` of the target: exact first, then nearest, then the smaller sum.
+
+    With no negative amount, sums above the target don't matter: larger amounts
+    are left out and the bitset ends there, however large the pool's total is.
+    Every few bitsets one is kept and those between are made again when needed.
+    """
     low, high = sum(a for a in amounts if a < 0), sum(a for a in amounts if a > 0)
     if target + delta < low or target - delta > high:
         return Found("unreachable", [])
+    if low == 0 and max(amounts, default=0) > target + delta:
+        at = [i for i, a in enumerate(amounts) if a <= target + delta]
+        found = subset_sums([amounts[i] for i in at], target, delta, most)
+        return Found(found.method, [tuple(at[i] for i in s) for s in found.solutions], found.truncated)
+    top = high if low else min(high, target + delta)
     wanted = sorted((s for s in range(max(low, target - delta), min(high, target + delta) + 1)), key=lambda s: (abs(s - target), s))
-    if high - low <= WIDEST_BITSET:
-        reach = [1]
-        for a in amounts:
-            last = reach[-1]
-            reach.append(last | (last << a) if a >= 0 else (last << -a) | last)
+    if top - low <= WIDEST_BITSET:
+        mask = (1 << top - low + 1) - 1
+        step = isqrt(len(amounts)) + 1
+
+        def grown(bits: int, a: int) -> int:
+            return (bits | bits << abs(a)) & mask
+
+        kept, bits = [1], 1
+        for i, a in enumerate(amounts, 1):
+            bits = grown(bits, a)
+            if i % step == 0:
+                kept.append(bits)
+        made: tuple[int, list[int]] = (-1, [])
+
+        def reach(i: int) -> int:
+            """Sums of the first i amounts."""
+            nonlocal made
+            if made[0] != i // step:
+                row = [kept[i // step]]
+                for a in amounts[i - i % step : i - i % step + step - 1]:
+                    row.append(grown(row[-1], a))
+                made = i // step, row
+            return made[1][i % step]
+
         base = [0]
         for a in amounts:
             base.append(base[-1] + min(a, 0))
         out: list[tuple[int, ...]] = []
         for total in wanted:
-            if not reach[-1] >> (total - low) & 1:
+            if not bits >> (total - low) & 1:
                 continue
             open_ = [(len(amounts), total, ())]
             while open_:
@@ -147,7 +177,7 @@ def subset_sums(amounts: Sequence[int], target: int, delta: int, most: int) -> F
                 a = amounts[i - 1]
                 for nxt, taken in ((left - a, (i - 1, *chosen)), (left, chosen)):
                     at = nxt - base[i - 1]
-                    if at >= 0 and reach[i - 1] >> at & 1:
+                    if at >= 0 and reach(i - 1) >> at & 1:
                         open_.append((i - 1, nxt, taken))
         return Found("bitset", out)
     half = len(amounts) // 2

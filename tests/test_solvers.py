@@ -70,6 +70,21 @@ def test_exact_hits_come_first_and_the_cap_is_told():
     assert subset_sums([1], 1000, 3, 5).method == "unreachable"
 
 
+def test_a_small_target_in_a_large_pool_is_found():
+    """The target bounds the bitset when no amount is negative, whatever the pool adds up to."""
+    pool = [1_000_003 + 2_000_000 * k for k in range(60)] + [50, 70]
+    assert sum(pool) > 40_000_000
+    assert set(subset_sums(pool, 4_000_126, 0, 5).solutions) == {(0, 1, 60, 61)}
+    assert set(subset_sums(pool, 3_000_003, 3, 5).solutions) == {(1,)}
+    assert subset_sums([-1, *pool], 4_000_126, 0, 5).method == "intractable"
+
+
+@given(st.lists(st.integers(0, 60), min_size=1, max_size=9), st.integers(-5, 200), st.integers(0, 5))
+@settings(max_examples=100, deadline=None)
+def test_positive_sums_match_brute_force(amounts, target, delta):
+    assert set(subset_sums(amounts, target, delta, 10**6).solutions) == brute(amounts, target, delta)
+
+
 DAY = dt.datetime(2025, 1, 1)
 
 
