@@ -154,6 +154,16 @@ def test_template_leaves_and_content_stays(spark):
     assert host_of("HTTPS://u:p@WWW.X.example:8080/a") == "x.example" and host_of("nothing") is None
 
 
+def test_template_is_what_pages_agree_on(spark):
+    """The least page's own wording at a node doesn't hide the others' notice, and short articles lose a long notice, too."""
+    notice = "This long notice stands below each and every article of the host and says nothing at all about it."
+    page = lambda i: f"<body><div><p>story {i}</p><p>{'Welcome to the new site' if i == 0 else notice}</p></div></body>"
+    rows = [(i, f"http://a.example/{i}", page(i)) for i in range(12)] + [(12, "http://a.example/12", f"<body><div><p></p><p>{notice}</p></div></body>")]
+    got = {r["page_id"]: r["text"] for r in extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert [got[i] for i in range(1, 12)] == [f"story {i}" for i in range(1, 12)]
+    assert got[0] == "story 0\n\nWelcome to the new site" and got[12] == notice
+
+
 def test_tool_calls_are_linked_ordered_and_checked(spark):
     tools = '<tools>[{"name":"get","parameters":{"properties":{"city":{"type":"string"},"days":{"type":"integer"}},"required":["city"]}}]</tools>'
     call = lambda **x: f"<tool_call>{json.dumps(x)}</tool_call>"
