@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -52,19 +53,19 @@ def identity_outcomes(pairs: DataFrame, rules: Sequence[Rule], config: Config) -
     return judged.withColumn("outcome", outcome)
 
 
-def subsets(items: Column, size: Column, least: int = 1) -> Column:
-    """All subsets of an array of up to ``ENUMERATED`` structs, as arrays, by bit mask."""
+def subsets(items: Column, size: Column) -> Column:
+    """All non-empty subsets of an array of up to ``ENUMERATED`` structs, as arrays, by bit mask."""
     masks = F.sequence(F.lit(1), F.pow(F.lit(2), size).cast("int") - 1)
-    chosen = lambda m: F.filter(items, lambda x, i: F.getbit(m, i) == 1)
-    return F.filter(F.transform(masks, chosen), lambda s: F.size(s) >= least)
+    return F.transform(masks, lambda m: F.filter(items, lambda x, i: F.getbit(m, i) == 1))
 
 
 def split_payouts(orders: DataFrame, settlements: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Legs of orders that two or more settlements claim and one subset of them pays exactly.
+    """Legs of orders that two or more settlements claim and exactly one subset of them pays.
 
-    Each leg must be explained by a fee rule on its own gross.  Orders with more
-    than ``ENUMERATED`` claims go to the solver, for which a single leg that pays
-    the whole order is one more way, so that the order stays open.
+    A single leg that pays the whole order is a way of its own, so an order that
+    could also be paid in parts stays open.  The subset must have two legs or
+    more, each explained by a fee rule on its own gross.  Orders with more than
+    ``ENUMERATED`` claims go to the solver.
     """
     pairs = pairs_of(orders, settlements)
     fee_rules = [r for r in rules if r.rule_type == "fee_formula"]
@@ -73,9 +74,10 @@ def split_payouts(orders: DataFrame, settlements: DataFrame, rules: Sequence[Rul
     grouped = leg_ok.groupBy("batch_id", "o_order_id", "o_gross").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(leg)).alias("legs"))
     few, many = grouped.where(F.col("n").between(2, ENUMERATED)), grouped.where(F.col("n") > ENUMERATED)
     total = lambda s: F.aggregate(s, F.lit(0).cast("bigint"), lambda a, x: a + x["s_gross"])
-    exact = few.withColumn("found", F.filter(subsets(F.col("legs"), F.col("n").cast("int"), 2), lambda s: total(s) == F.col("o_gross")))
-    unique = exact.where((F.size("found") == 1) & F.forall(F.element_at("found", 1), lambda x: x["ok"]))
-    chosen = unique.select("batch_id", "o_order_id", F.get("found", F.lit(0)).alias("chosen")).unionByName(solved_splits(many))
+    exact = few.withColumn("found", F.filter(subsets(F.col("legs"), F.col("n").cast("int")), lambda s: total(s) == F.col("o_gross")))
+    unique = exact.where(F.size("found") == 1).select("batch_id", "o_order_id", F.get("found", F.lit(0)).alias("chosen"))
+    unique = unique.where((F.size("chosen") > 1) & F.forall("chosen", lambda x: x["ok"]))
+    chosen = unique.unionByName(solved_splits(many))
     return chosen.select("batch_id", "o_order_id", F.explode("chosen").alias("leg")).select("batch_id", "o_order_id", "leg.s_id", "leg.s_gross", "leg.rule_id")
 
 
@@ -85,8 +87,8 @@ def solved_splits(grouped: DataFrame) -> DataFrame:
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, (gross, legs) in enumerate(zip(batch.column("o_gross").to_pylist(), batch.column("legs").to_pylist(), strict=True)):
-                found = subset_sums([x["s_gross"] for x in legs], gross, 0, 1)
-                if found.solutions and not found.truncated and len(found.solutions[0]) > 1 and all(legs[i]["ok"] for i in found.solutions[0]):
+                found = subset_sums([x["s_gross"] for x in legs], gross, 0, 2)
+                if len(found.solutions) == 1 and len(found.solutions[0]) > 1 and all(legs[i]["ok"] for i in found.solutions[0]):
                     chosen = pa.array([[legs[i] for i in found.solutions[0]]], batch.schema.field("legs").type)
                     yield pa.RecordBatch.from_arrays([*batch.select(["batch_id", "o_order_id"]).slice(k, 1).columns, chosen], names=["batch_id", "o_order_id", "chosen"])
 
@@ -97,8 +99,9 @@ def solved_splits(grouped: DataFrame) -> DataFrame:
 def candidate_pairs(orders: DataFrame, settlements: DataFrame, config: Config) -> DataFrame:
     """Amount and date range join of leftovers.
 
-    Settlements go to each order date their window can reach, so the join is an
-    equi-join on (batch, date) with the amount band as a residual filter.
+    Settlements go to each order date their window can reach, orders to each
+    power of 2.5 that their amount band touches (three at most), so the join is
+    an equi-join on (batch, date, power) with the exact band as a residual filter.
     """
     days = calendar(orders.sparkSession, config)
     reach = 2 + config.window_days + 2 * (config.window_days // 5 + 1)  # calendar days that a window of working days may span
@@ -106,7 +109,9 @@ def candidate_pairs(orders: DataFrame, settlements: DataFrame, config: Config) -
     s = named(settlements).withColumn("o_date", F.explode(F.sequence(F.date_sub("s_date", reach), F.col("s_date")))).withColumnRenamed("s_batch", "batch_id")
     slack = F.expr(f"(abs(o_gross) * {config.amount_slack_percent}) div 100")
     low, high = F.col("o_gross") - slack - config.amount_tolerance, F.col("o_gross") + config.amount_tolerance
-    near = o.join(s, ["batch_id", "o_date"]).where(F.col("s_net").between(F.least(low, high), F.greatest(low, high)))
+    power = lambda x: F.when(x <= 1, 0).otherwise(F.floor(F.ln(x) / F.lit(math.log(2.5)))).cast("int")
+    o = o.withColumn("power", F.explode(F.sequence(power(F.least(low, high)), power(F.greatest(low, high)))))
+    near = o.join(s.withColumn("power", power(F.col("s_net"))), ["batch_id", "o_date", "power"]).drop("power").where(F.col("s_net").between(F.least(low, high), F.greatest(low, high)))
     return with_lag(near, days, "o_date", "s_date").where(F.col("lag_days").between(0, config.window_days))
 
 

@@ -123,6 +123,7 @@ def subset_sums(amounts: Sequence[int], target: int, delta: int, most: int) -> F
 
     With no negative amount, sums above the target don't matter: larger amounts
     are left out and the bitset ends there, however large the pool's total is.
+    ``truncated`` is told as soon as ``most`` solutions are found: there may be more.
     Every few bitsets one is kept and those between are made again when needed.
     """
     low, high = sum(a for a in amounts if a < 0), sum(a for a in amounts if a > 0)
@@ -170,9 +171,9 @@ def subset_sums(amounts: Sequence[int], target: int, delta: int, most: int) -> F
                 i, left, chosen = open_.pop()
                 if i == 0:
                     if left == 0 and chosen:
-                        if len(out) == most:
-                            return Found("bitset", out, True)
                         out.append(chosen)
+                        if len(out) >= most:
+                            return Found("bitset", out, True)
                     continue
                 a = amounts[i - 1]
                 for nxt, taken in ((left - a, (i - 1, *chosen)), (left, chosen)):
@@ -200,7 +201,7 @@ def subset_sums(amounts: Sequence[int], target: int, delta: int, most: int) -> F
     chosen, total = mask | other << half, left[mask] + right[other]
     chosen, total = chosen[chosen > 0], total[chosen > 0]
     best = np.lexsort((chosen, total, np.abs(total - target)))
-    return Found("meet_in_the_middle", [tuple(i for i in range(len(amounts)) if int(m) >> i & 1) for m in chosen[best[:most]]], len(chosen) > most)
+    return Found("meet_in_the_middle", [tuple(i for i in range(len(amounts)) if int(m) >> i & 1) for m in chosen[best[:most]]], len(chosen) >= most)
 
 
 def disambiguate(found: Found, groups: Sequence[str], days: Sequence) -> tuple[tuple[int, ...] | None, float, str]:

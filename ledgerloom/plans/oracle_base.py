@@ -26,7 +26,8 @@ WITH keyed AS (
 ledger AS (SELECT order_id, batch_id, customer_name, order_date, gross_amount_paise, instrument, status FROM keyed),
 legged AS (
   SELECT *, 'A' AS leg, (2 * gross_amount_paise) // 5 AS g, 0 AS extra, 1 AS sgn FROM keyed WHERE c BETWEEN 11 AND 14
-  UNION ALL SELECT *, 'B', gross_amount_paise - (2 * gross_amount_paise) // 5, 7, 1 FROM keyed WHERE c BETWEEN 11 AND 14
+  UNION ALL SELECT *, 'B', CASE WHEN c = 14 THEN gross_amount_paise // 4 ELSE gross_amount_paise - (2 * gross_amount_paise) // 5 END, 7, 1 FROM keyed WHERE c BETWEEN 11 AND 14
+  UNION ALL SELECT *, 'C', gross_amount_paise - (2 * gross_amount_paise) // 5 - gross_amount_paise // 4, 14, 1 FROM keyed WHERE c = 14
   UNION ALL SELECT *, 'O', gross_amount_paise, CASE WHEN c = 19 THEN 7 ELSE 0 END, 1 FROM keyed WHERE c BETWEEN 7 AND 10 OR c > 14
   UNION ALL SELECT *, 'CB', gross_amount_paise, 14, -1 FROM keyed WHERE c = 17),
 charged AS (

@@ -1,7 +1,7 @@
 """Order ledger, settlement report, bank credits and truth out of the star-schema test tables.
 
 The recipe is integer arithmetic on the order key, so that an SQL engine gets
-the same rows (``plans/oracle.py`` holds the same recipe as SQL).
+the same rows (``plans/oracle_base.py`` holds the same recipe as SQL).
 """
 
 from __future__ import annotations
@@ -64,11 +64,12 @@ def derive(spark: SparkSession, sf_dir: str) -> Ledgers:
     slow = F.when(weekday <= 2, 2).when(weekday <= 5, 4).otherwise(3)
     lag = F.when(F.col("instrument") == "UPI", F.when(weekday <= 3, 1).when(weekday <= 5, 3).otherwise(2)).otherwise(slow)
     split = F.col("c").between(11, 14)
-    first_leg = F.expr("(2 * gross_amount_paise) div 5")
+    first_leg, second_leg = F.expr("(2 * gross_amount_paise) div 5"), F.expr("gross_amount_paise div 4")
     leg = lambda name, gross, extra, sign: F.struct(F.lit(name).alias("leg"), gross.cast("bigint").alias("gross"), F.lit(extra).alias("extra"), F.lit(sign).alias("sign"))
     whole = F.col("gross_amount_paise")
     legs = (
-        F.when(split, F.array(leg("A", first_leg, 0, 1), leg("B", whole - first_leg, 7, 1)))
+        F.when(F.col("c") == 14, F.array(leg("A", first_leg, 0, 1), leg("B", second_leg, 7, 1), leg("C", whole - first_leg - second_leg, 14, 1)))
+        .when(split, F.array(leg("A", first_leg, 0, 1), leg("B", whole - first_leg, 7, 1)))
         .when(F.col("c") == 17, F.array(leg("O", whole, 0, 1), leg("CB", whole, 14, -1)))
         .when(F.col("c") == 19, F.array(leg("O", whole, 7, 1)))
         .otherwise(F.array(leg("O", whole, 0, 1)))

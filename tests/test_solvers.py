@@ -66,6 +66,8 @@ def test_wide_sums_meet_in_the_middle(amounts, data):
 def test_exact_hits_come_first_and_the_cap_is_told():
     found = subset_sums([5, 5, 5, 5], 5, 0, 3)
     assert found.truncated and len(found.solutions) == 3
+    assert subset_sums([5, 5, 5], 5, 0, 3).truncated and not subset_sums([5, 5], 5, 0, 3).truncated
+    assert subset_sums([10**9, 10**9, -1], 10**9, 0, 2).truncated
     assert subset_sums([10, 11], 10, 1, 5).solutions == [(0,), (1,)]
     assert subset_sums([1], 1000, 3, 5).method == "unreachable"
 
