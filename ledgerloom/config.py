@@ -64,9 +64,21 @@ class Config:
         return Decimal(self.gst)
 
 
-def load(path: str | None = None, environ: dict | None = None) -> Config:
-    """Defaults, then a YAML file of field names, then LEDGERLOOM_<FIELD> variables."""
+def read_env(path: str) -> dict[str, str]:
+    """KEY=VALUE lines of a file; blank lines, comments and other lines are passed over, quotes around a value go."""
+    told = {}
+    with open(path, encoding="utf-8") as f:
+        for line in f:
+            key, equals, value = line.strip().partition("=")
+            if equals and key and not key.startswith("#"):
+                told[key.strip()] = value.strip().strip("'\"")
+    return told
+
+
+def load(path: str | None = None, environ: dict | None = None, env_file: str | None = None) -> Config:
+    """Defaults, then a YAML file of field names, then LEDGERLOOM_<FIELD> variables: of a file, then of the environment."""
     config = Config()
+    environ = (read_env(env_file) if env_file else {}) | dict(os.environ if environ is None else environ)
     kinds = {f.name: type(getattr(config, f.name)) for f in fields(Config)}
     told: dict = {}
     if path:
@@ -75,7 +87,7 @@ def load(path: str | None = None, environ: dict | None = None) -> Config:
         with open(path) as f:
             told |= yaml.safe_load(f) or {}
     for name in kinds:
-        value = (os.environ if environ is None else environ).get(f"LEDGERLOOM_{name.upper()}")
+        value = environ.get(f"LEDGERLOOM_{name.upper()}")
         if value is not None:
             told[name] = value
     if unknown := set(told) - set(kinds):

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import ast
 import json
+import math
 import operator
 from dataclasses import dataclass
 from decimal import Decimal
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,8 +17,19 @@ from .money import expected_net, rate_literal
 
 TYPES = ("exact_id", "fee_formula", "timing_window", "refund_pattern")
 REFUND_CONDITION = "net < expected_net"
-# The two fee templates a predicate may name.
-TEMPLATES = ("net = gross - round(gross * {rate}) - round(round(gross * {rate}) * {gst})", "net = gross - {flat_paise} - round({flat_paise} * {gst})")
+# The fee template that a predicate may name, by what its parameters hold.
+TEMPLATES = {"rate": "net = gross - round(gross * {rate}) - round(round(gross * {rate}) * {gst})", "flat_paise": "net = gross - {flat_paise} - round({flat_paise} * {gst})"}
+#: Numbers of each rule type: field, least, most, and whether it must be there.
+_TOLERANCE = ("tolerance_paise", 0, None, False)
+_GST = ("params.gst", 0, 1, False)
+FIELDS = {
+    "exact_id": [_TOLERANCE],
+    "fee_formula": [_TOLERANCE, _GST],
+    "timing_window": [_TOLERANCE, ("min_working_days", 0, None, True), ("max_working_days", 0, None, True)],
+    "refund_pattern": [_TOLERANCE],
+}
+#: A fee's own amount: a flat one wins over a rate, which isn't looked at then.
+FEES = {"flat_paise": ("params.flat_paise", 0, None, True), "rate": ("params.rate", 0, 1, True)}
 
 
 class PredicateError(ValueError):
@@ -51,14 +64,6 @@ class Rule:
         return json.dumps({k: v for k, v in told.items() if v is not None}, sort_keys=True, separators=(",", ":"))
 
 
-def _number(value, name: str, low, high=None):
-    if isinstance(value, bool) or not isinstance(value, int | float | Decimal):
-        raise PredicateError(f"{name} isn't a number")
-    if value < low or (high is not None and value > high):
-        raise PredicateError(f"{name} is out of range")
-    return value
-
-
 def parse(predicate: str | dict, rule_id: int = -1, priority: int = 100) -> Rule:
     """A checked rule, or PredicateError."""
     try:
@@ -67,40 +72,82 @@ def parse(predicate: str | dict, rule_id: int = -1, priority: int = 100) -> Rule
         raise PredicateError("not JSON") from e
     if not isinstance(told, dict) or told.get("type") not in TYPES:
         raise PredicateError("unknown rule type")
-    kind, scope = told["type"], told.get("instrument", "ALL")
+    kind, params = told["type"], told.get("params")
+    fields, fee = list(FIELDS[kind]), None
     if kind == "fee_formula":
-        params = told.get("params")
-        if not isinstance(params, dict) or not ({"rate", "flat_paise"} & set(params)):
+        fee = next((f for f in FEES if isinstance(params, dict) and f in params), None)
+        if fee is None:
             raise PredicateError("a fee needs a rate or a flat amount")
-        if told.get("expr") not in (None, *TEMPLATES):
-            raise PredicateError("the expression isn't a template")
-        flat = int(_number(params["flat_paise"], "flat_paise", 0)) if "flat_paise" in params else None
-        rate = str(_number(params["rate"], "rate", 0, 1)) if "rate" in params else None
-        gst = str(_number(params.get("gst", 0), "gst", 0, 1))
-        return Rule(rule_id, kind, scope, priority, rate, gst, flat, int(_number(told.get("tolerance_paise", 0), "tolerance_paise", 0)))
-    if kind == "timing_window":
-        low = int(_number(told.get("min_working_days"), "min_working_days", 0))
-        return Rule(rule_id, kind, scope, priority, min_days=low, max_days=int(_number(told.get("max_working_days"), "max_working_days", low)))
+        if told.get("expr") not in (None, TEMPLATES[fee]):
+            raise PredicateError("the expression isn't the template of its parameters")
+        fields.append(FEES[fee])
+    flat = told | {f"params.{k}": v for k, v in params.items()} if isinstance(params, dict) else told
+    numbers = {}
+    for name, least, most, needed in fields:
+        if name in flat or needed:
+            value = flat.get(name)
+            if type(value) not in (int, float, Decimal) or not least <= value <= (math.inf if most is None else most):
+                raise PredicateError(f"{name} must be a number from {least}" + ("" if most is None else f" to {most}"))
+            numbers[name.removeprefix("params.")] = value
+    if kind == "timing_window" and numbers["max_working_days"] < numbers["min_working_days"]:
+        raise PredicateError("the window ends before it begins")
     if kind == "refund_pattern" and told.get("condition") != REFUND_CONDITION:
         raise PredicateError("unknown refund condition")
-    return Rule(rule_id, kind, scope, priority)
+    days = [int(numbers[k]) if k in numbers else None for k in ("min_working_days", "max_working_days")]
+    rate, own = (str(numbers["rate"]) if fee == "rate" else None), (int(numbers["flat_paise"]) if fee == "flat_paise" else None)
+    return Rule(rule_id, kind, told.get("instrument", "ALL"), priority, rate, str(numbers.get("gst", 0)), own, int(numbers.get("tolerance_paise", 0)), *days)
+
+
+def cleaned(sketch: dict | None) -> dict | None:
+    """A proposer's rule sketch (type, instrument, params, tolerance_paise) as a predicate, or None where it can't be one.
+
+    Without a tolerance it gets 2 paise; a refund pattern gets its condition and
+    what its shortfall is explained by.
+    """
+    if not isinstance(sketch, dict) or not sketch.get("type"):
+        return None
+    given = sketch.get("params") if isinstance(sketch.get("params"), dict) else {}
+    extra = {
+        "fee_formula": {"params": given},
+        "timing_window": {k: given.get(k) for k in ("min_working_days", "max_working_days")},
+        "refund_pattern": {"condition": REFUND_CONDITION, "residual_explained_by": "partial_refund"},
+    }
+    out = {"type": sketch["type"], "instrument": sketch.get("instrument", "ALL"), "tolerance_paise": sketch.get("tolerance_paise", 2)} | extra.get(sketch["type"], {})
+    try:
+        parse(out)
+    except PredicateError:
+        return None
+    return out
 
 
 def valid_predicate(text: Column) -> Column:
     """Whether a column of predicate JSON is within the vocabulary, in the engine's own functions."""
     value = F.try_parse_json(text)
-    get = lambda path, kind: F.try_variant_get(value, path, kind)
-    kind = get("$.type", "string")
-    is_number = lambda path: F.coalesce(F.regexp_extract(F.schema_of_variant(get(path, "variant")), r"^\w+", 0).isin("BIGINT", "DOUBLE", "DECIMAL"), F.lit(False))
-    given = lambda path: get(path, "variant").isNotNull()
-    between = lambda path, low, high: F.coalesce(is_number(path) & (get(path, "double") >= low) & (get(path, "double") <= high), F.lit(False))
-    optional = lambda path, low, high: ~given(path) | between(path, low, high)
-    big = float(1 << 62)
-    fee = (given("$.params.rate") | given("$.params.flat_paise")) & optional("$.params.rate", 0, 1) & optional("$.params.flat_paise", 0, big) & optional("$.params.gst", 0, 1) & optional("$.tolerance_paise", 0, big)
-    fee &= F.coalesce(get("$.expr", "string").isin(*TEMPLATES), ~given("$.expr"))
-    timing = between("$.min_working_days", 0, big) & between("$.max_working_days", 0, big) & F.coalesce(get("$.max_working_days", "double") >= get("$.min_working_days", "double"), F.lit(False))
-    refund = F.coalesce(get("$.condition", "string") == REFUND_CONDITION, F.lit(False))
-    return F.coalesce(F.when(kind == "exact_id", True).when(kind == "fee_formula", fee).when(kind == "timing_window", timing).when(kind == "refund_pattern", refund), F.lit(False))
+    get = lambda name, kind: F.try_variant_get(value, f"$.{name}", kind)
+    given = lambda name: get(name, "variant").isNotNull()
+
+    def sound(field: tuple) -> Column:
+        name, least, most, needed = field
+        number = F.regexp_extract(F.schema_of_variant(get(name, "variant")), r"^\w+", 0).isin("BIGINT", "DOUBLE", "DECIMAL")
+        fits = number & (get(name, "double") >= least) & (F.lit(True) if most is None else get(name, "double") <= most)
+        fits = F.coalesce(fits, F.lit(False))
+        return fits if needed else ~given(name) | fits
+
+    every = lambda fields: reduce(operator.and_, map(sound, fields))
+    template = lambda fee: ~given("expr") | F.coalesce(get("expr", "string") == TEMPLATES[fee], F.lit(False))
+    fee = F.lit(False)
+    for name, field in reversed(FEES.items()):
+        fee = F.when(given(field[0]), sound(field) & template(name)).otherwise(fee)
+    more = {
+        "exact_id": F.lit(True),
+        "fee_formula": fee,
+        "timing_window": F.coalesce(get("max_working_days", "double") >= get("min_working_days", "double"), F.lit(False)),
+        "refund_pattern": F.coalesce(get("condition", "string") == REFUND_CONDITION, F.lit(False)),
+    }
+    out = F.lit(False)
+    for kind in TYPES:
+        out = F.when(get("type", "string") == kind, every(FIELDS[kind]) & more[kind]).otherwise(out)
+    return out
 
 
 def plain_english(rule: Rule) -> str:

@@ -14,6 +14,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.money import expected_net as expected_net_of
 from ..functions.predicates import Rule
 
 
@@ -34,26 +35,16 @@ def cycles(rules: Sequence[Rule]) -> list[tuple[int, int]]:
     return sorted((s.rule_id, a.rule_id) for s in live for a in live if s.scope != "ALL" and a.scope == "ALL" and s.rule_type == a.rule_type and s.priority > a.priority)
 
 
-def overlaps(rules: Sequence[Rule], at: int = 1_000_000) -> list[tuple[int, int]]:
-    """Pairs of one type and scope that can both explain the same money."""
-    from decimal import ROUND_HALF_EVEN, Decimal
-
-    def net(r: Rule) -> int:
-        part = lambda x, rate: int((Decimal(x) * Decimal(rate)).quantize(Decimal(1), ROUND_HALF_EVEN))
-        fee = r.flat_paise if r.flat_paise is not None else part(at, r.rate or "0")
-        return at - fee - part(fee, r.gst)
-
-    out = []
-    live = sorted((r for r in rules if r.status == "active"), key=lambda r: r.rule_id)
-    for i, a in enumerate(live):
-        for b in live[i + 1 :]:
-            if a.rule_type != b.rule_type or a.scope != b.scope:
-                continue
-            fee = a.rule_type == "fee_formula" and abs(net(a) - net(b)) <= a.tolerance + b.tolerance
-            timing = a.rule_type == "timing_window" and a.min_days <= b.max_days and b.min_days <= a.max_days
-            if fee or timing:
-                out.append((a.rule_id, b.rule_id))
-    return out
+def overlaps(spark: SparkSession, rules: Sequence[Rule], at: int = 1_000_000) -> list[tuple[int, int]]:
+    """Pairs of one type and scope that can both explain the same money: a self-join of the library's few rows."""
+    rows = as_table(spark, [r for r in rules if r.status == "active"]).where(F.col("rule_type").isin("fee_formula", "timing_window"))
+    rows = rows.withColumn("net", expected_net_of(F.lit(at).cast("bigint"), F.coalesce("rate", F.lit("0")), F.col("gst"), F.col("flat_paise")))
+    a, b = rows.alias("a"), rows.alias("b")
+    pairs = a.join(b, (F.col("a.rule_id") < F.col("b.rule_id")) & (F.col("a.rule_type") == F.col("b.rule_type")) & (F.col("a.scope_instrument") == F.col("b.scope_instrument")))
+    money = F.abs(F.col("a.net") - F.col("b.net")) <= F.col("a.tolerance_paise") + F.col("b.tolerance_paise")
+    days = (F.col("a.min_days") <= F.col("b.max_days")) & (F.col("b.min_days") <= F.col("a.max_days"))
+    found = pairs.where(F.when(F.col("a.rule_type") == "fee_formula", money).otherwise(days))
+    return sorted(tuple(r) for r in found.select("a.rule_id", "b.rule_id").collect())
 
 
 def expected_net(rules: Sequence[Rule], gross: Column, instrument: Column) -> Column:

@@ -1,4 +1,5 @@
 import datetime as dt
+import json
 from decimal import ROUND_HALF_EVEN, Decimal
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerloom import config
 from ledgerloom.functions import money as M
 from ledgerloom.functions.calendar import add_working_days, calendar, in_range, with_lag
-from ledgerloom.functions.predicates import PredicateError, Rule, parse, plain_english, safe_calculate
+from ledgerloom.functions.predicates import TEMPLATES, PredicateError, Rule, cleaned, parse, plain_english, safe_calculate, valid_predicate
 
 C = config.Config()
 
@@ -81,11 +82,29 @@ def test_outside_the_calendar_is_an_error(spark):
 
 @pytest.mark.parametrize(
     "bad",
-    ['{"type": "magic"}', "nonsense", '{"type": "fee_formula"}', '{"type": "fee_formula", "params": {"rate": 2}}', '{"type": "fee_formula", "params": {"rate": true}}', '{"type": "timing_window", "min_working_days": 2, "max_working_days": 1}', '{"type": "refund_pattern"}'],
+    ['{"type": "magic"}', "nonsense", '{"type": "fee_formula"}', '{"type": "fee_formula", "params": {"rate": 2}}', '{"type": "fee_formula", "params": {"rate": true}}', '{"type": "timing_window", "min_working_days": 2, "max_working_days": 1}', '{"type": "refund_pattern"}', '{"type": "exact_id", "tolerance_paise": -1}', '{"type": "timing_window", "min_working_days": 1, "max_working_days": 2, "tolerance_paise": -2}']
+    + [json.dumps({"type": "fee_formula", "params": {"rate": 0.1}, "expr": TEMPLATES["flat_paise"]}), json.dumps({"type": "fee_formula", "params": {"flat_paise": 1, "gst": 2}})],
 )
-def test_bad_predicates(bad):
+def test_bad_predicates(spark, bad):
     with pytest.raises(PredicateError):
         parse(bad)
+    assert col(spark, [bad], valid_predicate(F.col("x")), "string") == [False]
+
+
+@pytest.mark.parametrize(
+    "good",
+    ['{"type": "exact_id", "tolerance_paise": 0}', '{"type": "fee_formula", "params": {"flat_paise": 5, "rate": 7}}', '{"type": "refund_pattern", "condition": "net < expected_net", "tolerance_paise": 3}', '{"type": "timing_window", "min_working_days": 0, "max_working_days": 1.5}']
+    + [json.dumps({"type": "fee_formula", "params": {k: 0}, "expr": t}) for k, t in TEMPLATES.items()],
+)
+def test_good_predicates(spark, good):
+    assert parse(good).tolerance == json.loads(good).get("tolerance_paise", 0)
+    assert col(spark, [good], valid_predicate(F.col("x")), "string") == [True]
+
+
+def test_a_proposers_sketch_becomes_a_predicate_or_nothing():
+    assert cleaned({"type": "timing_window", "params": {"min_working_days": 1, "max_working_days": 2}}) == {"type": "timing_window", "instrument": "ALL", "tolerance_paise": 2, "min_working_days": 1, "max_working_days": 2}
+    assert cleaned({"type": "refund_pattern", "instrument": "UPI"})["residual_explained_by"] == "partial_refund"
+    assert cleaned({"type": "fee_formula", "params": {}}) is None and cleaned(None) is None and cleaned({"type": "magic"}) is None
 
 
 def test_fingerprint_ignores_the_tolerance():
@@ -105,10 +124,13 @@ def test_calculator_refuses_the_rest(bad):
         safe_calculate(bad)
 
 
-def test_config_from_the_environment_and_its_invariant():
+def test_config_from_the_environment_and_its_invariant(tmp_path):
     assert config.load(environ={"LEDGERLOOM_WINDOW_DAYS": "9"}).window_days == 9
     with pytest.raises(ValueError):
         config.Config(unexplained_cost=10.0)
+    (tmp_path / ".env").write_text("# a comment\n\nLEDGERLOOM_WINDOW_DAYS = '4'\nLEDGERLOOM_SUBSET_DELTA=7\nOTHER\n")
+    told = config.load(environ={"LEDGERLOOM_SUBSET_DELTA": "9"}, env_file=str(tmp_path / ".env"))
+    assert (told.window_days, told.subset_delta) == (4, 9)
     with pytest.raises(ValueError):
         config.Config(sink_cost=1000.0)
 
