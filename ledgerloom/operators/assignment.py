@@ -2,50 +2,75 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import Config
 from ..functions.predicates import Rule
+from ..sources.sinks import drop_kept, kept
 from .rules import expected_net, expected_window, explaining_rule
-from .solvers import solve_component
+from .solvers import disambiguate, solve_component, subset_sums
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint where the session names a folder, else with a local table."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        import tempfile
+#: Edges that one task joins up in memory (16 bytes each); beyond that rounds over tables do the same.
+ONE_TASK = 2_000_000
 
-        folder = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
-    path = f"{folder.rstrip('/')}/components-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+def _least_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All edges of a task as (node, root) pairs, the root being the least node that they connect."""
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for batch in batches:
+        a.append(batch.column(0).to_numpy())
+        b.append(batch.column(1).to_numpy())
+    nodes, at = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+    x, y = np.split(at, 2)
+    root = np.arange(len(nodes))
+    while len(x):
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+        x, y = root[x], root[y]
+        x, y = x[x != y], y[x != y]
+    far = root != np.arange(len(nodes))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(nodes[root[far]])], names=["a", "b"])
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of the nodes of ``edges(a, b)``: the least node reachable.
+    """(node, component) of the nodes of ``edges(a, b)``, strings: the least node reachable.
 
-    Minimum labels spread along edges, then along labels (which halves the way
-    that is left), until nothing changes; one number a round goes to the driver.
+    Nodes become 64-bit names.  Each task first joins up the edges it has; a
+    counted remainder of at most ``ONE_TASK`` edges is joined up in one task,
+    a larger one in rounds of stars: every node is linked to the least of its
+    neighbours until only stars are left (one number a round goes to the driver).
     """
-    both = _kept(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node")
-    labels = _kept(labels)
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near")).withColumnRenamed("a", "node")
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("jump"))
-        after = labels.join(near, "node").join(jump, "label", "left").select("node", F.least("label", "near", F.coalesce("jump", "label")).alias("label"), (F.least("near", F.coalesce("jump", "label")) < F.col("label")).alias("changed"))
-        after = _kept(after)
-        if not after.where("changed").limit(1).count():
-            return after.select("node", F.col("label").alias("component"))
-        labels = after.select("node", "label")
+    named = kept(edges.select("a", "b", F.xxhash64("a").alias("x"), F.xxhash64("b").alias("y")), "named-edges")
+    star = kept(named.where("x <> y").select("x", "y").mapInArrow(_least_roots, "a bigint, b bigint"), "stars")
+    if star.count() <= ONE_TASK:
+        star = star.coalesce(1).mapInArrow(_least_roots, "a bigint, b bigint")
+    else:
+        star, was = star.distinct(), None
+        while True:
+            both = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+            large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+            least = large.groupBy("a").agg(F.min("b").alias("m"))
+            small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+            star, old = kept(small, "stars"), star
+            state = star.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+            drop_kept(old)
+            if state == was:
+                break
+            was = state
+    nodes = named.select(F.col("a").alias("node"), F.col("x").alias("name")).unionByName(named.select(F.col("b").alias("node"), F.col("y").alias("name"))).distinct()
+    rooted = nodes.join(star.select(F.col("a").alias("name"), F.col("b").alias("root")), "name", "left").withColumn("root", F.coalesce("root", "name"))
+    # the least name isn't the least node: each component takes the least of its nodes
+    return rooted.join(rooted.groupBy("root").agg(F.min("node").alias("component")), "root").select("node", "component")
 
 
 def component_members(orders: DataFrame, settlements: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -115,10 +140,22 @@ def solved_bindings(pairs: DataFrame, config: Config) -> DataFrame:
     return pairs.select("component", "o_order_id", "s_id", "cost").groupBy("component").applyInPandas(solve, "component string, o_order_id string, s_id string, cost double, method string")
 
 
+def solved_subsets(rows: DataFrame, keys: Sequence[str], target: str, amount: str, delta: int, most: int) -> DataFrame:
+    """Each group's subsets of ``amount`` that reach its ``target``: how many (``most`` at most), the fewest members, and by which method."""
+    lists = rows.groupBy(*keys, F.col(target).alias("target")).agg(F.array_sort(F.collect_list(amount)).alias("amounts"))
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [subset_sums(a, t, delta, most) for t, a in zip(batch.column("target").to_pylist(), batch.column("amounts").to_pylist(), strict=True)]
+            columns = [pa.array([len(f.solutions) for f in found], pa.int64()), pa.array([min(map(len, f.solutions), default=None) for f in found], pa.int64()), pa.array([f.truncated for f in found]), pa.array([f.method for f in found])]
+            yield pa.RecordBatch.from_arrays([*batch.select(list(keys)).columns, *columns], names=[*keys, "solutions", "fewest", "truncated", "method"])
+
+    schema = T.StructType([rows.schema[k] for k in keys] + [T.StructField("solutions", T.LongType()), T.StructField("fewest", T.LongType()), T.StructField("truncated", T.BooleanType()), T.StructField("method", T.StringType())])
+    return lists.mapInArrow(solve, schema)
+
+
 def bank_subsets(pool: DataFrame, config: Config) -> DataFrame:
     """Subset-sum matches of credits that no payout group explains: members or the reason why not."""
-    from .solvers import disambiguate, subset_sums
-
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("s_id")
         ids = rows["s_id"].tolist()

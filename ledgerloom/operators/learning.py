@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import ESCALATED, Config
@@ -28,18 +29,26 @@ class Proposal:
         return self.rule.fingerprint()
 
 
-def intake(known: Sequence[Proposal], new: Sequence[tuple[str, float]], active: Sequence[Rule], config: Config) -> list[Proposal]:
-    """Merge proposed predicates: repeats count up, confidence is a running mean, tolerance is capped on merging."""
+def intake(known: Sequence[Proposal], new: Sequence[tuple[str, float]], active: Sequence[Rule], config: Config, audit: list[tuple[str, str, str]] | None = None) -> list[Proposal]:
+    """Merge proposed predicates: repeats count up, confidence is a running mean, tolerance is capped on merging.
+
+    ``audit`` gets a row for each: proposed, or rejected as unreadable or as a
+    duplicate of an active rule.
+    """
+    audit = [] if audit is None else audit
     out = {p.fingerprint: p for p in known}
-    taken = {r.fingerprint() for r in active if r.status == "active"}
+    taken = {r.fingerprint(): r.rule_id for r in active if r.status == "active"}
     for text, confidence in new:
         try:
             rule = parse(text)
-        except PredicateError:
+        except PredicateError as e:
+            audit.append(("rejected", "", json.dumps({"gate": "schema", "error": str(e), "predicate": text})))
             continue
         key = rule.fingerprint()
         if key in taken:
+            audit.append(("rejected", key, json.dumps({"gate": "duplicate", "of_rule": taken[key]})))
             continue
+        audit.append(("proposed", key, json.dumps({"predicate": text, "confidence": confidence})))
         old = out.get(key)
         if old is None:
             out[key] = Proposal(rule, confidence)
@@ -58,27 +67,43 @@ def intake_table(proposals: DataFrame, config: Config) -> DataFrame:
 
 
 def evidence(orders: DataFrame, settlements: DataFrame, order_matches: DataFrame, bank_matched: DataFrame, config: Config) -> DataFrame:
-    """Pairs that recorded matches or the bank vouch for, without orders paid in parts."""
-    pairs = pairs_of(orders, settlements)
-    by_match = pairs.join(order_matches.select("o_order_id", "s_id").distinct(), ["o_order_id", "s_id"], "left_semi")
-    by_bank = pairs.join(bank_matched.select("s_id").distinct(), "s_id", "left_semi")
-    both = by_match.unionByName(by_bank).distinct()
-    parts = settlements.where("gross_amount_paise > 0").groupBy("batch_id", F.col("order_id_claimed").alias("o_order_id")).agg(F.count("*").alias("n")).where("n > 1")
-    whole = both.join(parts, ["batch_id", "o_order_id"], "left_anti")
-    return with_lag(whole, calendar(orders.sparkSession, config), "o_date", "s_date")
+    """Pairs that recorded matches or the bank vouch for.
+
+    ``in_parts`` marks orders with more than one settlement row, be it a leg or a
+    reversal: no rule is judged on them.  Both kinds of voucher are one list of
+    (order or null, settlement), so the pairs are joined once.
+    """
+    pairs = pairs_of(orders, settlements).withColumn("claims", F.count("*").over(Window.partitionBy("batch_id", "o_order_id")))
+    vouched = order_matches.select("s_id", "o_order_id").unionByName(bank_matched.select("s_id", F.lit(None).cast("string").alias("o_order_id")))
+    vouched = vouched.groupBy("s_id").agg(F.collect_set("o_order_id").alias("bound"), F.count_if(F.col("o_order_id").isNull()).alias("by_bank"))
+    both = pairs.join(vouched, "s_id").where((F.col("by_bank") > 0) | F.array_contains("bound", F.col("o_order_id"))).drop("bound", "by_bank")
+    marked = both.withColumn("in_parts", F.col("claims") > 1).drop("claims")
+    return with_lag(marked, calendar(orders.sparkSession, config), "o_date", "s_date")
+
+
+def judged_by(rule: Rule, rules: Sequence[Rule]) -> tuple[Column, Column]:
+    """What a candidate says of an evidence row, and whether that counts."""
+    says = verdict(rule, rules)
+    return says, ~F.col("in_parts") & says.isNotNull() & ((F.col("o_status") == "captured") | F.lit(rule.rule_type == "refund_pattern"))
+
+
+def counterexamples(rows: DataFrame, rule: Rule, rules: Sequence[Rule], most: int = 5) -> DataFrame:
+    """The first ``most`` evidence rows, by order and settlement, that contradict a candidate (a report, not a measure)."""
+    says, usable = judged_by(rule, rules)
+    off = F.abs(F.col("s_net") - rule.net_of(F.col("s_gross"))) if rule.rule_type == "fee_formula" else F.lit(None).cast("bigint")
+    return rows.where(usable & ~says).orderBy("o_order_id", "s_id").limit(most).select("o_order_id", "s_id", "s_gross", "s_net", off.alias("deviation"))
 
 
 def backtest(rows: DataFrame, candidates: Sequence[Rule], rules: Sequence[Rule]) -> DataFrame:
-    """Support, correct, wrong, precision and largest deviation of all candidates, in one pass over the evidence."""
+    """Support, correct, wrong, skipped, precision and largest deviation of all candidates, in one pass over the evidence."""
     measures = []
     for r in candidates:
-        says = verdict(r, rules)
-        usable = says.isNotNull() & ((F.col("o_status") == "captured") | F.lit(r.rule_type == "refund_pattern"))
+        says, usable = judged_by(r, rules)
         off = F.abs(F.col("s_net") - r.net_of(F.col("s_gross"))) if r.rule_type == "fee_formula" else F.lit(0).cast("bigint")
         wrong = usable & ~says
         measures.append(
             F.struct(
-                F.lit(r.rule_id).alias("rule_id"), F.count_if(usable).alias("support"), F.count_if(usable & says).alias("correct"), F.count_if(wrong).alias("wrong"),
+                F.lit(r.rule_id).alias("rule_id"), F.count_if(usable).alias("support"), F.count_if(usable & says).alias("correct"), F.count_if(wrong).alias("wrong"), F.count_if(~usable).alias("skipped"),
                 F.coalesce(F.max(F.when(usable, off)), F.lit(0)).cast("bigint").alias("max_deviation"), F.coalesce(F.sum(F.when(wrong, F.abs("s_net"))), F.lit(0)).cast("bigint").alias("wrong_money"),
             )
         )
@@ -109,35 +134,44 @@ def gate(proposals: DataFrame, config: Config) -> DataFrame:
     return proposals.withColumn("failed", failed).withColumn("decision", decision).withColumn("failed", F.array_join("failed", "+"))
 
 
-def conflicts_of(rule: Rule, rules: Sequence[Rule], config: Config) -> int:
+def most_frequent(proposals: DataFrame, most: int) -> DataFrame:
+    """The ``most`` proposals (a report's limit) that were made most often."""
+    return proposals.orderBy(F.desc("occurrences"), "fingerprint").limit(most)
+
+
+def conflicts_of(spark: SparkSession, rule: Rule, rules: Sequence[Rule], config: Config) -> int:
     """Contradictions and overlaps that the rule would bring to the library at its priority."""
     trial = replace(rule, rule_id=-1, status="active", priority=config.priority_all if rule.scope == "ALL" else config.priority_scoped)
     together = [r for r in rules if r.status == "active"] + [trial]
-    return sum(-1 in p for p in cycles(together)) + sum(-1 in p for p in overlaps(together))
+    return sum(-1 in p for p in cycles(together)) + sum(-1 in p for p in overlaps(spark, together))
 
 
 def review(proposals: Sequence[Proposal], rules: Sequence[Rule], rows: DataFrame, config: Config) -> tuple[list[Proposal], list[Rule], list[tuple[str, str, str]]]:
     """Gate pending proposals, most frequent first; a promotion counts for those after it.
 
-    Backtests of all proposals run in one job; only conflicts, which need no
-    data, are looked at one by one.
+    Only refund patterns consult the library's fee rules, so all other proposals
+    are backtested together in one job; a refund pattern is backtested when its
+    turn comes, against the library as promoted until then.
     """
     spark = rows.sparkSession
     rules, audit = list(rules), []
     pending = sorted((p for p in proposals if p.status == "pending"), key=lambda p: -p.occurrences)
     done = [p for p in proposals if p.status != "pending"]
-    if not pending:
-        return done, rules, audit
     numbered = [replace(p.rule, rule_id=i) for i, p in enumerate(pending)]
-    results = {r["rule_id"]: r for r in backtest(rows, numbered, [*ordered(rules), *[n for n in numbered if n.rule_type == "fee_formula"]]).collect()}
+    alone = [r for r in numbered if r.rule_type != "refund_pattern"]
+    results = {r["rule_id"]: r for r in backtest(rows, alone, ()).collect()} if alone else {}
     for i, p in enumerate(pending):
-        r = results[i]
-        row = [(p.fingerprint, p.occurrences, p.confidence, r["support"], r["correct"], r["wrong"], r["max_deviation"], r["wrong_money"], conflicts_of(p.rule, rules, config))]
+        library = ordered(rules)
+        r = results[i] if i in results else backtest(rows, [numbered[i]], library).first()
+        row = [(p.fingerprint, p.occurrences, p.confidence, r["support"], r["correct"], r["wrong"], r["max_deviation"], r["wrong_money"], conflicts_of(spark, p.rule, rules, config))]
         got = gate(spark.createDataFrame(row, "fingerprint string, occurrences int, confidence double, support bigint, correct bigint, wrong bigint, max_deviation bigint, wrong_money bigint, conflicts int"), config).first()
         done.append(replace(p, status=got["decision"], reason=got["failed"]))
-        audit.append((got["decision"], p.fingerprint, got["failed"]))
+        against = [x.asDict() for x in counterexamples(rows, numbered[i], library).collect()] if r["wrong"] else []
+        report = {"gates_failed": got["failed"], "occurrences": p.occurrences, "confidence": p.confidence, "conflicts": row[0][-1], "backtest": r.asDict() | {"rule_id": None, "counterexamples": against}}
         if got["decision"] == "promoted":
             rules.append(replace(p.rule, rule_id=1 + max([0, *(x.rule_id for x in rules)]), priority=config.priority_all if p.rule.scope == "ALL" else config.priority_scoped, status="active"))
+            report["rule_id"] = rules[-1].rule_id
+        audit.append((got["decision"], p.fingerprint, json.dumps(report, sort_keys=True)))
     return done, rules, audit
 
 
@@ -158,16 +192,54 @@ def rule_stats(matches: DataFrame) -> DataFrame:
     return judged.where("rule_id IS NOT NULL").groupBy("rule_id").agg(F.count("*").alias("times_applied"), F.count_if(good).alias("times_correct"))
 
 
+def supporting_stats(order_matches: DataFrame, pairs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Times each timing rule in scope supported an exact match; nothing contests a supporting rule."""
+    matched = order_matches.where("match_kind = 'exact'").select("s_id").join(pairs.select("s_id", "s_instrument"), "s_id")
+    timing = [r for r in rules if r.rule_type == "timing_window" and r.status == "active"]
+    if not timing:
+        return matched.select(F.lit(0).alias("rule_id"), F.lit(0).cast("bigint").alias("times_applied"), F.lit(0).cast("bigint").alias("times_correct")).limit(0)
+    counts = matched.agg(*[F.count_if(r.covers(F.col("s_instrument"))).alias(f"r{r.rule_id}") for r in timing])
+    rows = counts.select(F.explode(F.array(*[F.struct(F.lit(r.rule_id).alias("rule_id"), F.col(f"r{r.rule_id}").alias("times_applied")) for r in timing])).alias("x")).select("x.*")
+    return rows.withColumn("times_correct", F.col("times_applied"))
+
+
 def retired(stats: DataFrame, config: Config) -> DataFrame:
     accuracy = F.col("times_correct") / F.col("times_applied")
     return stats.where((F.col("times_applied") >= config.retire_after) & (accuracy < config.retire_accuracy)).select("rule_id", "times_applied", "times_correct", F.round(accuracy, 6).alias("accuracy"))
 
 
-def reopened(matches: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Matches that stay, and the exceptions that retired rules' matches become."""
-    keep = matches.join(gone.select("rule_id"), "rule_id", "left_anti")
-    lost = matches.join(gone.select("rule_id"), "rule_id", "left_semi")
-    return keep, lost.select("batch_id", F.lit("settlement").alias("record_type"), F.col("s_id").alias("record_id"), F.lit("RULE_RETIRED").alias("reason_code"), F.abs("s_net").alias("money_at_risk_paise"))
+def reopened(matches: DataFrame, gone: DataFrame, settlements: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Matches that stay, and the exceptions that retired rules' matches become, with their settlement's money."""
+    gone = gone.select("rule_id")
+    keep = matches.join(gone, "rule_id", "left_anti")
+    money = settlements.select("batch_id", F.col("settlement_txn_id").alias("s_id"), F.abs("net_amount_paise").alias("money_at_risk_paise"))
+    lost = matches.join(gone, "rule_id", "left_semi").join(money, ["batch_id", "s_id"])
+    return keep.select(matches.columns), lost.select("batch_id", F.lit("settlement").alias("record_type"), F.col("s_id").alias("record_id"), F.lit("RULE_RETIRED").alias("reason_code"), "money_at_risk_paise")
+
+
+def build_cases(exceptions: DataFrame, orders: DataFrame, settlements: DataFrame, proposals: Sequence[Proposal], config: Config, most: int = 5) -> DataFrame:
+    """What a proposer is shown of each exception: the record, up to ``most`` candidate orders with their lags, and the ``most`` most frequent proposals.
+
+    Candidates of a settlement are the order that it claims and the orders of its
+    batch with its gross within its window, nearest date first; other records
+    have none.  Lists of ``most`` are the feature: a case is read by a person or a model.
+    """
+    days = calendar(orders.sparkSession, config)
+    e = exceptions.select("batch_id", "record_type", "record_id", "reason_code", "money_at_risk_paise")
+    s = settlements.select("batch_id", F.col("settlement_txn_id").alias("record_id"), F.col("order_id_claimed").alias("claimed"), F.col("settled_date").alias("s_date"), F.col("gross_amount_paise").alias("gross"), F.col("net_amount_paise").alias("net"), "instrument")
+    own = e.where("record_type = 'settlement'").join(s, ["batch_id", "record_id"])
+    o = orders.select("batch_id", "order_id", F.col("order_date").alias("o_date"), F.col("gross_amount_paise").alias("gross"))
+    claimed = own.join(o.drop("gross").withColumnRenamed("order_id", "claimed"), ["batch_id", "claimed"]).withColumn("order_id", F.col("claimed"))
+    equal = own.join(o, ["batch_id", "gross"]).where("order_id <> claimed AND o_date <= s_date")
+    columns = ["batch_id", "record_id", "order_id", "o_date", "s_date"]
+    near = with_lag(claimed.select(columns).unionByName(equal.select(columns)), days, "o_date", "s_date").where(F.col("lag_days").between(0, config.window_days))
+    place = F.row_number().over(Window.partitionBy("batch_id", "record_id").orderBy("lag_days", "order_id"))
+    listed = near.withColumn("place", place).where(F.col("place") <= most).groupBy("batch_id", "record_id").agg(F.array_sort(F.collect_list(F.struct("lag_days", "order_id"))).alias("candidates"))
+    prior = [f"{p.rule.rule_type}/{p.rule.scope}/{p.occurrences}/{p.status}" for p in sorted(proposals, key=lambda p: -p.occurrences)[:most]]
+    record = s.select("batch_id", "record_id", F.to_json(F.struct("claimed", "s_date", "gross", "net", "instrument")).alias("record"))
+    out = e.join(listed, ["batch_id", "record_id"], "left").join(record, ["batch_id", "record_id"], "left")
+    none = F.array().cast("array<struct<lag_days:bigint,order_id:string>>")
+    return out.withColumn("candidates", F.coalesce("candidates", none)).withColumn("prior_proposals", F.array(*map(F.lit, prior)).cast("array<string>"))
 
 
 def escalation_queue(exceptions: DataFrame) -> DataFrame:
@@ -191,7 +263,7 @@ def discovery_pool(pairs: DataFrame, config: Config) -> DataFrame:
 def confident(verdicts: DataFrame, config: Config) -> DataFrame:
     """A proposer's match below the floor is no match; its rule proposal survives."""
     low = (F.col("verdict") == "match") & (F.col("confidence") < config.confidence_floor)
-    return verdicts.withColumn("verdict", F.when(low, "insufficient_information").otherwise(F.col("verdict"))).withColumn("candidate", F.when(~low, F.col("candidate")))
+    return verdicts.withColumns({"verdict": F.when(low, "insufficient_information").otherwise(F.col("verdict")), "candidate": F.when(~low, F.col("candidate"))})
 
 
 #: A proposer reads cases of a batch and returns (predicate JSON, confidence); it never writes a match.
@@ -205,8 +277,6 @@ def statistical_proposer(orders: DataFrame, settlements: DataFrame, config: Conf
     of each instrument, and the refund pattern from parts in which partly
     refunded orders settle for less than charged amounts explain.
     """
-    import json
-
     from .audit import observed_schedule
 
     part = F.pmod(F.xxhash64("order_id_claimed"), F.lit(config.discovery_samples)).alias("part")
@@ -232,4 +302,4 @@ def statistical_proposer(orders: DataFrame, settlements: DataFrame, config: Conf
     return out
 
 
-__all__ = ["Proposal", "Proposer", "as_table", "backtest", "confident", "conflicts_of", "discovery_pool", "escalation_queue", "evidence", "gate", "intake", "intake_table", "overbound_orders", "reopened", "retired", "review", "rule_stats", "statistical_proposer"]
+__all__ = ["Proposal", "Proposer", "as_table", "backtest", "build_cases", "confident", "conflicts_of", "counterexamples", "discovery_pool", "escalation_queue", "evidence", "gate", "intake", "intake_table", "most_frequent", "overbound_orders", "reopened", "retired", "review", "rule_stats", "statistical_proposer", "supporting_stats"]

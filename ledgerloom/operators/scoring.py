@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
 
 
+TRUTH_SCHEMA = "order_id string, settlement_txn_id string, utr string, case_type string, trap_type string"
+
+
+def read_truth(spark: SparkSession, path: str, batch_id: str) -> DataFrame:
+    """A batch's truth file; empty fields are null."""
+    return spark.read.csv(path, schema=TRUTH_SCHEMA, header=True, mode="FAILFAST").withColumn("batch_id", F.lit(batch_id))
+
+
 def truth_pairs(truth: DataFrame) -> DataFrame:
     """(batch_id, kind, left, right) of true links: orders to settlements, credits to settlements."""
-    orders = truth.where("order_id NOT IN ('ORPHAN') AND settlement_txn_id <> 'UNSETTLED'").select("batch_id", F.lit("order").alias("kind"), F.col("order_id").alias("left_id"), F.col("settlement_txn_id").alias("right_id"))
-    bank = truth.where("utr IS NOT NULL AND settlement_txn_id <> 'UNSETTLED'").select("batch_id", F.lit("bank").alias("kind"), F.col("utr").alias("left_id"), F.col("settlement_txn_id").alias("right_id"))
+    orders = truth.where("order_id NOT IN ('ORPHAN', 'UNSETTLED') AND settlement_txn_id NOT IN ('ORPHAN', 'UNSETTLED')").select("batch_id", F.lit("order").alias("kind"), F.col("order_id").alias("left_id"), F.col("settlement_txn_id").alias("right_id"))
+    bank = truth.where("utr NOT IN ('', 'ORPHAN', 'UNSETTLED') AND utr <> settlement_txn_id AND settlement_txn_id NOT IN ('ORPHAN', 'UNSETTLED')").select("batch_id", F.lit("bank").alias("kind"), F.col("utr").alias("left_id"), F.col("settlement_txn_id").alias("right_id"))
     return orders.unionByName(bank).distinct()
 
 
@@ -45,6 +53,11 @@ def false_positives_by_case(matches: DataFrame, truth: DataFrame) -> DataFrame:
     return wrong.join(truth.select("settlement_txn_id", "case_type").distinct(), "settlement_txn_id", "left").groupBy("case_type").agg(F.count("*").alias("false_positives"))
 
 
+def latest_runs(runs: DataFrame) -> DataFrame:
+    """The last run (largest ``run_id``) of each batch."""
+    return runs.groupBy("batch_id").agg(F.max_by(F.struct("*"), "run_id").alias("run")).select("run.*")
+
+
 def learning_curve(scores: DataFrame) -> DataFrame:
     """Scores of numbered batches in their order; named ones (adversarial sets) aside."""
     return scores.where(F.col("batch_id").rlike("^[0-9]+$")).orderBy(F.col("batch_id").cast("int"))

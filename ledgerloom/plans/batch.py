@@ -13,6 +13,7 @@ from ..config import Config
 from ..functions.predicates import Rule
 from ..operators import assignment as A
 from ..operators import matching as M
+from ..sources.sinks import kept
 
 #: A library such as a few batches teach: identity, contract fees, usual timing, partial refunds.
 LIBRARY = (
@@ -30,7 +31,11 @@ SEED = (Rule(1, "exact_id", priority=0),)
 
 @dataclass
 class Reconciliation:
-    """Legs in order: split payouts, identity, assignment of what has no id, bank.  Each property is a plan."""
+    """Legs in order: split payouts, identity, assignment of what has no id, bank.
+
+    Links that several results read (split legs, identity outcomes, candidates,
+    bindings, bank hits) are written once to the shared folder; the other properties are plans.
+    """
 
     orders: DataFrame
     settlements: DataFrame
@@ -40,12 +45,12 @@ class Reconciliation:
 
     @cached_property
     def splits(self) -> DataFrame:
-        return M.split_payouts(self.orders, self.settlements, self.rules)
+        return kept(M.split_payouts(self.orders, self.settlements, self.rules), "splits")
 
     @cached_property
     def identity(self) -> DataFrame:
         pairs = M.pairs_of(self.orders, self.settlements).join(self.splits.select("s_id"), "s_id", "left_anti")
-        return M.identity_outcomes(pairs, self.rules, self.config)
+        return kept(M.identity_outcomes(pairs, self.rules, self.config), "identity")
 
     @cached_property
     def open_orders(self) -> DataFrame:
@@ -57,7 +62,7 @@ class Reconciliation:
 
     @cached_property
     def candidates(self) -> DataFrame:
-        return A.costed(M.candidate_pairs(self.open_orders, self.open_settlements, self.config), self.rules, self.config)
+        return kept(A.costed(M.candidate_pairs(self.open_orders, self.open_settlements, self.config), self.rules, self.config), "candidates")
 
     @cached_property
     def members(self) -> DataFrame:
@@ -65,20 +70,21 @@ class Reconciliation:
 
     @cached_property
     def assigned(self) -> DataFrame:
-        return A.solved_bindings(A.with_component(self.candidates, self.members), self.config)
+        return kept(A.solved_bindings(A.with_component(self.candidates, self.members), self.config), "assigned")
 
     @cached_property
     def bank_hits(self) -> DataFrame:
-        return M.bank_group_hits(self.settlements, self.credits, self.config)
+        return kept(M.bank_group_hits(self.settlements, self.credits, self.config), "bank-hits")
 
     @cached_property
     def bank_found(self) -> DataFrame:
-        return A.bank_subsets(M.bank_pool(M.bank_leftovers(self.credits, self.bank_hits), self.settlements, self.config), self.config)
+        return kept(A.bank_subsets(M.bank_pool(M.bank_leftovers(self.credits, self.bank_hits), self.settlements, self.config), self.config), "bank-subsets")
 
     def order_matches(self, assigned: bool = True) -> DataFrame:
         """(batch_id, o_order_id, s_id, rule_id, match_kind, resolved_by, confidence)."""
         row = lambda df, kind, by, conf: df.select("batch_id", "o_order_id", "s_id", "rule_id", F.lit(kind).alias("match_kind"), F.lit(by).alias("resolved_by"), F.lit(conf).alias("confidence"))
-        out = row(self.splits, "assignment", "subset_sum", 0.95).unionByName(row(self.identity.where("outcome = 'MATCH'"), "exact", "deterministic", 0.99))
+        legs = self.splits.withColumn("rule_id", F.lit(None).cast("int"))  # a sum proves the split; no rule is credited with it
+        out = row(legs, "assignment", "subset_sum", 0.95).unionByName(row(self.identity.where("outcome = 'MATCH'"), "exact", "deterministic", 0.99))
         if not assigned:
             return out
         batch = self.open_settlements.select("batch_id", F.col("settlement_txn_id").alias("s_id"))

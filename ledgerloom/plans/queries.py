@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -64,19 +65,24 @@ PAIRS = f""", pairs AS (
     s.settlement_txn_id AS s_id, s.order_id_claimed AS s_claimed, s.settled_date AS s_date, s.gross_amount_paise AS s_gross, s.net_amount_paise AS s_net, s.instrument AS s_instrument,
     {lag_sql("o.order_date", "s.settled_date")} AS lag_days
   FROM ledger o JOIN settlements s ON o.batch_id = s.batch_id AND o.order_id = s.order_id_claimed)"""
-#: Legs of split orders: the derived splits have two legs whose gross adds up, each explained by its own fee.
+#: Legs of split orders: exactly one subset of an order's claims pays it, and that one has two legs or more, each explained by its own fee.
 SPLITS = (
     PAIRS
     + f""", legs AS (SELECT *, {explain_sql("s_gross", "s_gross", "s_net", "s_instrument", "'captured'")} AS leg_rule FROM pairs),
-two AS (SELECT batch_id, o_order_id FROM legs GROUP BY batch_id, o_order_id, o_gross HAVING count(*) = 2 AND sum(s_gross) = o_gross AND count(leg_rule) = 2),
-splits AS (SELECT l.batch_id, l.o_order_id, l.s_id, l.s_gross, l.leg_rule AS rule_id FROM legs l JOIN two USING (batch_id, o_order_id))"""
+listed AS (SELECT batch_id, o_order_id, o_gross, list({{'s_id': s_id, 'g': s_gross, 'r': leg_rule}} ORDER BY s_id) AS all_legs FROM legs GROUP BY batch_id, o_order_id, o_gross HAVING count(*) BETWEEN 2 AND 12),
+masked AS (SELECT *, unnest(range(1, 1 << len(all_legs))) AS mask FROM listed),
+picked AS (SELECT batch_id, o_order_id, o_gross, list_filter(all_legs, lambda x, i: (mask >> (i - 1)) & 1 = 1) AS part_of FROM masked),
+paying AS (SELECT batch_id, o_order_id, part_of FROM picked WHERE list_sum(list_transform(part_of, lambda x: x.g)) = o_gross),
+only_way AS (SELECT batch_id, o_order_id, any_value(part_of) AS part_of FROM paying GROUP BY batch_id, o_order_id HAVING count(*) = 1),
+splits AS (SELECT batch_id, o_order_id, leg.s_id AS s_id, leg.g AS s_gross, leg.r AS rule_id FROM (
+  SELECT batch_id, o_order_id, unnest(part_of) AS leg FROM only_way WHERE len(part_of) >= 2 AND len(list_filter(part_of, lambda x: x.r IS NULL)) = 0))"""
 )
 OUTCOMES = (
     SPLITS
     + f""", explained AS (SELECT *, {explain_sql("o_gross", "s_gross", "s_net", "s_instrument", "o_status")} AS rule_id,
     CASE WHEN s_instrument = 'UPI' THEN lag_days = 1 ELSE lag_days = 2 END AS timing FROM pairs WHERE s_id NOT IN (SELECT s_id FROM splits)),
 outcomes AS (SELECT *, CASE WHEN rule_id IS NULL THEN 'FEE_UNEXPLAINED' WHEN NOT timing THEN 'TIMING_UNEXPLAINED' ELSE 'MATCH' END AS outcome FROM explained),
-order_matches AS (SELECT batch_id, o_order_id, s_id, rule_id, 'assignment' AS match_kind, 'subset_sum' AS resolved_by FROM splits
+order_matches AS (SELECT batch_id, o_order_id, s_id, CAST(NULL AS INTEGER) AS rule_id, 'assignment' AS match_kind, 'subset_sum' AS resolved_by FROM splits
   UNION ALL SELECT batch_id, o_order_id, s_id, rule_id, 'exact', 'deterministic' FROM outcomes WHERE outcome = 'MATCH'),
 groups AS (SELECT batch_id, settlement_batch_id, CAST(sum(net_amount_paise) AS BIGINT) AS net_total, min(settled_date) AS group_date, count(*) AS members FROM settlements GROUP BY ALL),
 hits AS (SELECT c.batch_id, c.utr, c.credit_amount_paise, g.settlement_batch_id, g.members, count(*) OVER (PARTITION BY c.utr) AS hits
@@ -148,16 +154,22 @@ def working_days_added(spark, sf_dir):
     return add_working_days(rows, calendar(spark, C), "order_date", "n", "due").select("order_id", "n", "due")
 
 
-_PREDICATES = [
-    ('{"type":"exact_id"}', True), ('{"type":"fee_formula","params":{"rate":0.02,"gst":0.18},"tolerance_paise":2}', True), ('{"type":"fee_formula","params":{"flat_paise":900}}', True), ('{"type":"fee_formula","params":{"rate":1.5}}', False),
-    ('{"type":"fee_formula","params":{"gst":0.18}}', False), ('{"type":"fee_formula","params":{"rate":true}}', False), ('{"type":"timing_window","min_working_days":1,"max_working_days":3}', True),
-    ('{"type":"timing_window","min_working_days":3,"max_working_days":1}', False), ('{"type":"refund_pattern","condition":"net < expected_net"}', True), ('{"type":"refund_pattern","condition":"net > 0"}', False), ('{"type":"magic"}', False), ("no json", False),
-]
+#: A predicate made of each order's key: types, fields and values that go in and out of the vocabulary.
+_MADE = """CASE k % 7
+    WHEN 0 THEN '{"type":"exact_id","tolerance_paise":' || (k % 5 - 1) || '}'
+    WHEN 1 THEN '{"type":"fee_formula","params":{"rate":' || (k % 13) || '.5,"gst":0.18},"tolerance_paise":2}'
+    WHEN 2 THEN '{"type":"fee_formula","params":{"flat_paise":' || ((k % 11 - 2) * 100) || ',"rate":7}}'
+    WHEN 3 THEN '{"type":"timing_window","min_working_days":' || (k % 4) || ',"max_working_days":' || (k % 5) || '}'
+    WHEN 4 THEN '{"type":"refund_pattern","condition":"net ' || CASE WHEN k % 3 = 0 THEN '<' ELSE '>' END || ' expected_net","tolerance_paise":' || (k % 5 - 2) || '}'
+    WHEN 5 THEN '{"type":"fee_formula","params":{"rate":0.0' || (k % 10) || ',"gst":' || (k % 3) || '},"expr":"net = gross - ' || CASE WHEN k % 2 = 0 THEN 'round(gross * {rate}) - round(round(gross * {rate}) * {gst})' ELSE '{flat_paise} - round({flat_paise} * {gst})' END || '"}'
+    ELSE CASE k % 4 WHEN 0 THEN '{"type":"magic"}' WHEN 1 THEN 'no json' WHEN 2 THEN '{"type":"fee_formula","params":{"gst":0.18}}' ELSE '{"type":"fee_formula","params":{"rate":true}}' END END"""
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{t}', {str(ok).lower()})" for t, ok in _PREDICATES) + ") AS v(predicate, valid)", base=False)
+@query(f""", made AS (SELECT order_id, k, {_MADE} AS predicate FROM keyed)
+SELECT order_id, predicate, CASE k % 7 WHEN 0 THEN k % 5 > 0 WHEN 1 THEN k % 13 = 0 WHEN 2 THEN k % 11 >= 2 WHEN 3 THEN k % 5 >= k % 4 WHEN 4 THEN k % 3 = 0 AND k % 5 >= 2 WHEN 5 THEN k % 2 = 0 AND k % 3 <= 1 ELSE false END AS valid FROM made""")
 def predicate_validate(spark, sf_dir):
-    return spark.createDataFrame([(t,) for t, _ in _PREDICATES], "predicate string").select("predicate", valid_predicate(F.col("predicate")).alias("valid"))
+    keyed = derive(spark, sf_dir).orders.select("order_id", F.expr("cast(substring(order_id, 5) as bigint)").alias("k"))
+    return keyed.select("order_id", F.expr(_MADE).alias("predicate")).withColumn("valid", valid_predicate(F.col("predicate")))
 
 
 # -- ingest: an export made of the derived settlements, folded back
@@ -268,9 +280,18 @@ def bank_group_match(spark, sf_dir):
     return recon(spark, sf_dir).bank_matches(subsets=False).select("batch_id", "utr", "s_id")
 
 
-@query(OUTCOMES + " SELECT DISTINCT batch_id, utr, hits FROM hits WHERE hits > 1")
+#: Every payout group of the 20th of a month gets a twin of the same sum and date.
+_TWINS = """, twinned AS (SELECT batch_id, settlement_batch_id, settled_date, net_amount_paise FROM settlements
+  UNION ALL SELECT batch_id, 'TW-' || settlement_batch_id, settled_date, net_amount_paise FROM settlements WHERE day(settled_date) = 20),
+twin_groups AS (SELECT batch_id, settlement_batch_id, CAST(sum(net_amount_paise) AS BIGINT) AS net_total, min(settled_date) AS group_date FROM twinned GROUP BY ALL)
+SELECT c.batch_id, c.utr, count(*) AS hits FROM credits c JOIN twin_groups g ON c.batch_id = g.batch_id AND c.credit_amount_paise = g.net_total AND abs(datediff('day', g.group_date, c.credit_date)) <= 1 GROUP BY ALL HAVING count(*) > 1"""
+
+
+@query(_TWINS)
 def bank_ambiguous(spark, sf_dir):
-    return recon(spark, sf_dir).bank_hits.where("hits > 1").select("batch_id", "utr", "hits").distinct()
+    found = derive(spark, sf_dir)
+    twins = found.settlements.where(F.dayofmonth("settled_date") == 20).withColumn("settlement_batch_id", F.concat(F.lit("TW-"), "settlement_batch_id"))
+    return matching.bank_group_hits(found.settlements.unionByName(twins), found.credits, C).where("hits > 1").select("batch_id", "utr", "hits").distinct()
 
 
 _POOL = """, pool AS (SELECT c.batch_id, c.utr, c.credit_amount_paise, s.settlement_txn_id AS s_id, s.net_amount_paise AS s_net, s.settlement_batch_id AS s_group FROM credits c
@@ -284,21 +305,22 @@ def bank_pool(spark, sf_dir):
     return pool.groupBy("batch_id", "utr").agg(F.count("*").alias("pool"), F.sum("s_net").alias("pool_net"))
 
 
-_SMALL_SUBSETS = (BASE + OUTCOMES + _POOL + """, small AS (SELECT *, row_number() OVER (PARTITION BY utr ORDER BY s_id) AS i, count(*) OVER (PARTITION BY utr) AS n FROM pool),
-grow AS (SELECT utr, credit_amount_paise, n, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS total, CAST(0 AS BIGINT) AS members FROM (SELECT DISTINCT utr, credit_amount_paise, n FROM small WHERE n <= 12)
-  UNION ALL SELECT g.utr, g.credit_amount_paise, g.n, s.i, CAST(g.total + t.take * s.s_net AS BIGINT), CAST(g.members + t.take AS BIGINT) FROM grow g JOIN small s ON s.utr = g.utr AND s.i = g.i + 1 CROSS JOIN (VALUES (0), (1)) t(take))
-SELECT utr, count(*) AS solutions, min(members) AS fewest FROM grow WHERE i = n AND members > 0 AND abs(total - credit_amount_paise) <= 300 GROUP BY utr""").replace("WITH keyed", "WITH RECURSIVE keyed", 1)
-ORACLE_SQL["subset_sum_small"] = _SMALL_SUBSETS
+@query(SPLITS + """, claims AS (SELECT batch_id, o_order_id, o_gross, list(s_gross ORDER BY s_id) AS gs FROM pairs GROUP BY ALL),
+tried AS (SELECT batch_id, o_order_id, o_gross, gs, unnest(range(1, 1 << len(gs))) AS mask FROM claims),
+sums AS (SELECT batch_id, o_order_id, o_gross, bit_count(mask) AS members, list_sum(list_filter(gs, lambda x, i: (mask >> (i - 1)) & 1 = 1)) AS total FROM tried)
+SELECT batch_id, o_order_id, least(count(*), 5) AS solutions, CAST(min(members) AS BIGINT) AS fewest FROM sums WHERE total = o_gross GROUP BY ALL""")
+def subset_sum_claims(spark, sf_dir):
+    """For every claimed order, by the solver: how many subsets of its claims pay it exactly, and the fewest members."""
+    found = derive(spark, sf_dir)
+    return A.solved_subsets(matching.pairs_of(found.orders, found.settlements), ["batch_id", "o_order_id"], "o_gross", "s_gross", 0, C.max_solutions).where("solutions > 0").select("batch_id", "o_order_id", "solutions", "fewest")
 
 
 @query()
-def subset_sum_small(spark, sf_dir):
-    """Pools of up to twelve settlements, all subsets enumerated inside the engine."""
+def subset_sum_pools(spark, sf_dir):
+    """For every credit without a payout group, whatever its pool's size, what the solver finds."""
     r = recon(spark, sf_dir)
     pool = matching.bank_pool(matching.bank_leftovers(r.credits, r.bank_hits), r.settlements, C)
-    lists = pool.groupBy("utr", "credit_amount_paise").agg(F.array_sort(F.collect_list(F.struct("s_id", "s_net"))).alias("items"), F.count("*").alias("n")).where(F.col("n") <= matching.ENUMERATED)
-    near = F.filter(matching.subsets(F.col("items"), F.col("n").cast("int")), lambda s: F.abs(F.aggregate(s, F.lit(0).cast("bigint"), lambda a, x: a + x["s_net"]) - F.col("credit_amount_paise")) <= C.subset_delta)
-    return lists.withColumn("near", near).where(F.size("near") > 0).select("utr", F.size("near").alias("solutions"), F.array_min(F.transform("near", lambda s: F.size(s))).alias("fewest"))
+    return A.solved_subsets(pool, ["batch_id", "utr"], "credit_amount_paise", "s_net", C.subset_delta, C.max_solutions)
 
 
 @query()
@@ -341,34 +363,44 @@ def identity_outcome(spark, sf_dir):
     return recon(spark, sf_dir).identity.select("batch_id", "s_id", "outcome")
 
 
-_RULES = (
-    "(VALUES "
-    + ", ".join(f"({r.rule_id}, '{r.rule_type}', '{r.scope}', {r.priority}, {r.min_days if r.min_days is not None else 'NULL'}, {r.max_days if r.max_days is not None else 'NULL'})" for r in [*LIBRARY, Rule(9, "timing_window", "UPI", 90, min_days=1, max_days=4)])
-    + ") AS r(rule_id, rule_type, scope, priority, lo, hi)"
-)
-_MORE = [*LIBRARY, Rule(9, "timing_window", "UPI", 90, min_days=1, max_days=4)]
+#: A rule for each supplier: type, scope, priority, window and tolerance out of the key.
+_RULED = """CAST(s_suppkey AS INT) AS rule_id, CASE WHEN s_suppkey % 3 = 0 THEN 'fee_formula' ELSE 'timing_window' END AS rule_type,
+  CASE s_suppkey % 5 WHEN 0 THEN 'UPI' WHEN 1 THEN 'CARD_DEBIT' WHEN 2 THEN 'CARD_CREDIT' WHEN 3 THEN 'NETBANKING' ELSE 'ALL' END AS scope,
+  CAST(CASE WHEN s_suppkey % 5 = 4 THEN 80 + s_suppkey % 9 ELSE 50 + s_suppkey % 37 END AS INT) AS priority,
+  CAST(s_suppkey % 7 AS INT) AS lo, CAST(s_suppkey % 7 + s_suppkey % 3 AS INT) AS hi, CAST(s_suppkey % 2000 AS BIGINT) AS flat, CAST(s_suppkey % 4 AS INT) AS tolerance"""
+_RULED_SQL = f"WITH library AS (SELECT {_RULED} FROM supplier)"
+
+
+def _library(spark: SparkSession, sf_dir: str) -> list[Rule]:
+    """A library of a rule for each supplier; libraries are driver-side data of some hundred rules by what they are."""
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr(*[x.strip() for x in re.split(r",\s+(?=CASE|CAST)", _RULED)]).collect()
+    fee = lambda r: r.rule_type == "fee_formula"
+    return [Rule(r.rule_id, r.rule_type, r.scope, r.priority, flat_paise=r.flat if fee(r) else None, tolerance=r.tolerance, min_days=None if fee(r) else r.lo, max_days=None if fee(r) else r.hi) for r in rows]
 
 
-@query(f"SELECT CAST(rule_id AS BIGINT) AS rule_id, row_number() OVER (ORDER BY priority, scope = 'ALL', rule_id) AS place FROM {_RULES} WHERE rule_id < 9", base=False)
+@query(f"{_RULED_SQL} SELECT CAST(rule_id AS BIGINT) AS rule_id, row_number() OVER (ORDER BY priority, scope = 'ALL', rule_id) AS place FROM library WHERE NOT (scope <> 'ALL' AND priority > 79)", base=False)
 def rule_order(spark, sf_dir):
-    return spark.createDataFrame([(r.rule_id, i + 1) for i, r in enumerate(rules.ordered(LIBRARY))], "rule_id bigint, place bigint")
+    """Precedence of a library without contradictions: scoped rules stay below the general ones."""
+    found = [r for r in _library(spark, sf_dir) if r.scope == "ALL" or r.priority < 80]
+    return spark.createDataFrame([(r.rule_id, i + 1) for i, r in enumerate(rules.ordered(found))], "rule_id bigint, place bigint")
 
 
-@query(f"SELECT CAST(s.rule_id AS BIGINT) AS scoped, CAST(a.rule_id AS BIGINT) AS general FROM {_RULES.replace('AS r(', 'AS s(')} JOIN {_RULES.replace('AS r(', 'AS a(')} ON s.scope <> 'ALL' AND a.scope = 'ALL' AND s.rule_type = a.rule_type AND s.priority > a.priority", base=False)
+@query(f"{_RULED_SQL} SELECT CAST(s.rule_id AS BIGINT) AS scoped, CAST(a.rule_id AS BIGINT) AS general FROM library s JOIN library a ON s.scope <> 'ALL' AND a.scope = 'ALL' AND s.rule_type = a.rule_type AND s.priority > a.priority", base=False)
 def rule_cycles(spark, sf_dir):
-    return spark.createDataFrame(rules.cycles(_MORE), "scoped bigint, general bigint")
+    return spark.createDataFrame(rules.cycles(_library(spark, sf_dir)), "scoped bigint, general bigint")
 
 
-@query(f"SELECT CAST(x.rule_id AS BIGINT) AS a, CAST(y.rule_id AS BIGINT) AS b FROM {_RULES.replace('AS r(', 'AS x(')} JOIN {_RULES.replace('AS r(', 'AS y(')} ON x.rule_id < y.rule_id AND x.rule_type = y.rule_type AND x.scope = y.scope AND x.rule_type = 'timing_window' AND x.lo <= y.hi AND y.lo <= x.hi", base=False)
+@query(f"""{_RULED_SQL} SELECT CAST(x.rule_id AS BIGINT) AS a, CAST(y.rule_id AS BIGINT) AS b FROM library x JOIN library y ON x.rule_id < y.rule_id AND x.rule_type = y.rule_type AND x.scope = y.scope
+  AND CASE WHEN x.rule_type = 'fee_formula' THEN abs(x.flat - y.flat) <= x.tolerance + y.tolerance ELSE x.lo <= y.hi AND y.lo <= x.hi END""", base=False)
 def rule_overlaps(spark, sf_dir):
-    return spark.createDataFrame(rules.overlaps(_MORE), "a bigint, b bigint")
+    return spark.createDataFrame(rules.overlaps(spark, _library(spark, sf_dir)), "a bigint, b bigint")
 
 
 # -- learning
 
-_EVIDENCE = """, parts AS (SELECT batch_id, order_id_claimed AS o_order_id FROM settlements WHERE gross_amount_paise > 0 GROUP BY ALL HAVING count(*) > 1),
-evidence AS (SELECT p.* FROM pairs p WHERE (p.s_id IN (SELECT s_id FROM bank_matches) OR (p.o_order_id, p.s_id) IN (SELECT o_order_id, s_id FROM order_matches))
-  AND (p.batch_id, p.o_order_id) NOT IN (SELECT batch_id, o_order_id FROM parts))"""
+_EVIDENCE = """, parts AS (SELECT batch_id, order_id_claimed AS o_order_id FROM settlements GROUP BY ALL HAVING count(*) > 1),
+evidence AS (SELECT p.*, (p.batch_id, p.o_order_id) IN (SELECT batch_id, o_order_id FROM parts) AS in_parts FROM pairs p
+  WHERE p.s_id IN (SELECT s_id FROM bank_matches) OR (p.o_order_id, p.s_id) IN (SELECT o_order_id, s_id FROM order_matches))"""
 _CANDIDATES = (Rule(11, "fee_formula", "CARD_CREDIT", rate="0.02", gst="0.18", tolerance=2), Rule(12, "fee_formula", "CARD_CREDIT", rate="0.021", gst="0.18", tolerance=2), Rule(13, "timing_window", "CARD_DEBIT", min_days=2, max_days=3))
 
 
@@ -376,14 +408,14 @@ def _evidence(r: Reconciliation) -> DataFrame:
     return learning.evidence(r.orders, r.settlements, r.order_matches(assigned=False), r.bank_matches(subsets=False), C)
 
 
-@query(OUTCOMES + _EVIDENCE + " SELECT o_order_id, s_id, lag_days FROM evidence")
+@query(OUTCOMES + _EVIDENCE + " SELECT o_order_id, s_id, lag_days, in_parts FROM evidence")
 def backtest_evidence(spark, sf_dir):
-    return _evidence(recon(spark, sf_dir)).select("o_order_id", "s_id", "lag_days")
+    return _evidence(recon(spark, sf_dir)).select("o_order_id", "s_id", "lag_days", "in_parts")
 
 
 def _test_sql(rule_id: int, scope: str, usable: str, says: str, off: str) -> str:
-    return f"""SELECT CAST({rule_id} AS BIGINT) AS rule_id, count(*) AS support, count(*) FILTER ({says}) AS correct, count(*) FILTER (NOT ({says})) AS wrong, coalesce(CAST(max({off}) AS BIGINT), 0) AS max_deviation
-  FROM evidence WHERE o_status = 'captured' AND s_instrument = '{scope}' AND {usable}"""
+    return f"""SELECT CAST({rule_id} AS BIGINT) AS rule_id, count(*) AS support, count(*) FILTER ({says}) AS correct, count(*) FILTER (NOT ({says})) AS wrong, (SELECT count(*) FROM evidence) - count(*) AS skipped, coalesce(CAST(max({off}) AS BIGINT), 0) AS max_deviation
+  FROM evidence WHERE NOT in_parts AND o_status = 'captured' AND s_instrument = '{scope}' AND {usable}"""
 
 
 def _rate_off(rate: str) -> str:
@@ -393,31 +425,61 @@ def _rate_off(rate: str) -> str:
 
 @query(OUTCOMES + _EVIDENCE + " " + " UNION ALL ".join([_test_sql(11, "CARD_CREDIT", "o_gross = s_gross", _rate_off("0.02") + " <= 2", _rate_off("0.02")), _test_sql(12, "CARD_CREDIT", "o_gross = s_gross", _rate_off("0.021") + " <= 2", _rate_off("0.021")), _test_sql(13, "CARD_DEBIT", "true", "lag_days BETWEEN 2 AND 3", "0")]))
 def backtest(spark, sf_dir):
-    return learning.backtest(_evidence(recon(spark, sf_dir)), _CANDIDATES, LIBRARY).select("rule_id", "support", "correct", "wrong", "max_deviation")
+    return learning.backtest(_evidence(recon(spark, sf_dir)), _CANDIDATES, LIBRARY).select("rule_id", "support", "correct", "wrong", "skipped", "max_deviation")
 
 
-_PROPOSED = """, proposed AS (SELECT instrument AS fingerprint, CAST(k % 5 AS DOUBLE) / 10 + 0.5 AS confidence, k % 15 AS tolerance FROM keyed WHERE c < 20)"""
+#: A proposal out of each order: what it claims, how sure, how tolerant.
+_PROPOSED = """, proposed AS (SELECT instrument || '/' || (k % 24) AS fingerprint, CAST(k % 5 AS DOUBLE) / 10 + 0.5 AS confidence, k % 15 AS tolerance FROM keyed)"""
+
+
+def _proposed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.expr("cast(substring(order_id, 5) as bigint)")
+    return derive(spark, sf_dir).orders.select(F.concat("instrument", F.lit("/"), (k % 24).cast("string")).alias("fingerprint"), ((k % 5).cast("double") / 10 + 0.5).alias("confidence"), (k % 15).alias("tolerance"))
 
 
 @query(_PROPOSED + " SELECT fingerprint, count(*) AS occurrences, round(avg(confidence), 6) AS confidence, CAST(CASE WHEN count(*) > 1 THEN least(max(tolerance), 10) ELSE max(tolerance) END AS BIGINT) AS tolerance FROM proposed GROUP BY fingerprint")
 def proposal_intake(spark, sf_dir):
-    k = F.expr("cast(substring(order_id, 5) as bigint)")
-    rows = derive(spark, sf_dir).orders.where(k % 100 < 20).select(F.col("instrument").alias("fingerprint"), ((k % 5).cast("double") / 10 + 0.5).alias("confidence"), (k % 15).alias("tolerance"))
-    return learning.intake_table(rows, C)
+    return learning.intake_table(_proposed(spark, sf_dir), C)
+
+
+#: What stands in the gate: a proposal for each part with its evidence out of the part's key.
+_GATED = """CAST(p_partkey AS STRING) AS fingerprint, CAST(1 + p_partkey % 5 AS INT) AS occurrences, CAST(0.6 + (p_partkey % 9) * 0.05 AS DOUBLE) AS confidence, CAST((p_partkey % 3) * 40 AS BIGINT) AS support,
+  CAST((p_partkey % 3) * 40 - (CASE WHEN p_partkey % 4 = 1 AND p_partkey % 3 > 0 THEN p_partkey % 6 ELSE 0 END) AS BIGINT) AS correct,
+  CAST(CASE WHEN p_partkey % 4 = 1 AND p_partkey % 3 > 0 THEN p_partkey % 6 ELSE 0 END AS BIGINT) AS wrong, CAST(p_partkey % 11 AS BIGINT) AS max_deviation, CAST(CASE WHEN p_partkey % 8 = 1 THEN 0 ELSE 5000 END AS BIGINT) AS wrong_money,
+  CAST(CASE WHEN p_partkey % 7 = 0 THEN 1 ELSE 0 END AS INT) AS conflicts"""
+_GATE_SQL = f"""SELECT fingerprint, CAST(occurrences AS BIGINT) AS occurrences, CASE WHEN failed = '' THEN 'promoted' WHEN failed IN ('occurrence', 'confidence', 'support', 'occurrence+confidence', 'occurrence+support', 'confidence+support', 'occurrence+confidence+support') THEN 'pending' ELSE 'rejected' END AS decision, failed FROM (
+  SELECT fingerprint, occurrences, concat_ws('+', CASE WHEN occurrences < 3 THEN 'occurrence' END, CASE WHEN confidence < 0.8 THEN 'confidence' END, CASE WHEN support < 3 AND NOT fatal THEN 'support' END,
+    CASE WHEN fatal OR (support >= 3 AND p < 0.98) THEN 'backtest' END, CASE WHEN conflicts > 0 THEN 'conflict' END) AS failed
+  FROM (SELECT *, wrong > 0 AND wrong_money > 0 AND NOT (wrong > 0 AND max_deviation <= 5) AS fatal, CASE WHEN wrong > 0 AND max_deviation <= 5 THEN 1.0 WHEN support > 0 THEN correct / support ELSE 0.0 END AS p FROM (SELECT {_GATED} FROM part)))"""
 
 
-_GATED = [("a", 3, 0.9, 5, 5, 0, 0, 0, 0), ("b", 1, 0.9, 5, 5, 0, 0, 0, 0), ("c", 4, 0.9, 10, 5, 5, 900, 5000, 0), ("d", 4, 0.9, 10, 8, 2, 4, 5000, 0), ("e", 4, 0.5, 1, 1, 0, 0, 0, 0), ("f", 4, 0.95, 9, 9, 0, 0, 0, 1), ("g", 2, 0.7, 100, 97, 3, 40, 100, 2)]
+def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr(*[x.strip() for x in re.split(r",\s+(?=CAST)", _GATED)])
+    return learning.gate(rows, C).select("fingerprint", "occurrences", "decision", "failed")
 
 
-@query("SELECT fingerprint, CASE WHEN failed = '' THEN 'promoted' WHEN failed IN ('occurrence', 'confidence', 'support', 'occurrence+confidence', 'occurrence+support', 'confidence+support', 'occurrence+confidence+support') THEN 'pending' ELSE 'rejected' END AS decision, failed FROM (SELECT f AS fingerprint, concat_ws('+', CASE WHEN o < 3 THEN 'occurrence' END, CASE WHEN c < 0.8 THEN 'confidence' END, CASE WHEN s < 3 AND NOT fatal THEN 'support' END, CASE WHEN fatal OR (s >= 3 AND p < 0.98) THEN 'backtest' END, CASE WHEN x > 0 THEN 'conflict' END) AS failed FROM (SELECT *, w > 0 AND m > 0 AND NOT (w > 0 AND d <= 5) AS fatal, CASE WHEN w > 0 AND d <= 5 THEN 1.0 WHEN s > 0 THEN k / s ELSE 0.0 END AS p FROM (VALUES " + ", ".join(map(str, _GATED)) + ") AS v(f, o, c, s, k, w, d, m, x)))", base=False)
+@query(_GATE_SQL, base=False)
 def promotion_gate(spark, sf_dir):
-    rows = spark.createDataFrame(_GATED, "fingerprint string, occurrences int, confidence double, support bigint, correct bigint, wrong bigint, max_deviation bigint, wrong_money bigint, conflicts int")
-    return learning.gate(rows, C).select("fingerprint", "decision", "failed")
+    return _decided(spark, sf_dir)
 
 
-#: Links with planted contests: every order of a code is bound to a neighbour's settlements too.
+@query(f"SELECT fingerprint, CAST(occurrences AS BIGINT) AS occurrences, failed FROM ({_GATE_SQL}) WHERE decision = 'rejected' ORDER BY occurrences DESC, fingerprint LIMIT 10", base=False)
+def rejected_proposals(spark, sf_dir):
+    """The ten rejected proposals that were made most often."""
+    return learning.most_frequent(_decided(spark, sf_dir).where("decision = 'rejected'"), 10).select("fingerprint", "occurrences", "failed")
+
+
+@query(f"SELECT fingerprint, CAST(occurrences AS BIGINT) AS occurrences, decision FROM ({_GATE_SQL}) ORDER BY occurrences DESC, fingerprint LIMIT 5", base=False)
+def prior_proposals(spark, sf_dir):
+    """The five most frequent proposals of any status, as a case shows them."""
+    return learning.most_frequent(_decided(spark, sf_dir), 5).select("fingerprint", "occurrences", "decision")
+
+
+#: Links with planted contests: some orders' settlements are bound to a neighbour, too, some orders take all of ten, and a rule's links go to nobody.
 _BOUND = """, bound AS (SELECT batch_id, o_order_id, s_id, rule_id FROM order_matches
-  UNION ALL SELECT m.batch_id, 'ORD-' || (k.k - k.k % 2), m.s_id, m.rule_id FROM order_matches m JOIN keyed k ON k.order_id = m.o_order_id WHERE k.c IN (21, 23) OR k.k % 50 = 0),
+  UNION ALL SELECT m.batch_id, 'ORD-' || (k.k - k.k % 2), m.s_id, m.rule_id FROM order_matches m JOIN keyed k ON k.order_id = m.o_order_id WHERE k.c IN (21, 23) OR k.k % 50 = 0
+  UNION ALL SELECT m.batch_id, 'ORD-' || (k.k - k.k % 10), m.s_id, m.rule_id FROM order_matches m JOIN keyed k ON k.order_id = m.o_order_id WHERE k.c BETWEEN 30 AND 39
+  UNION ALL SELECT m.batch_id, 'ORD-none', m.s_id, m.rule_id FROM order_matches m JOIN keyed k ON k.order_id = m.o_order_id WHERE m.rule_id = 5 AND k.c >= 60),
 contested AS (SELECT s_id FROM bound GROUP BY s_id HAVING count(DISTINCT o_order_id) > 1),
 overbound AS (SELECT o_order_id FROM bound GROUP BY o_order_id HAVING count(DISTINCT s_id) > 2),
 stats AS (SELECT CAST(rule_id AS BIGINT) AS rule_id, count(*) AS times_applied, count(*) FILTER (s_id NOT IN (SELECT s_id FROM contested) AND o_order_id NOT IN (SELECT o_order_id FROM overbound)) AS times_correct FROM bound WHERE rule_id IS NOT NULL GROUP BY rule_id)"""
@@ -426,8 +488,11 @@ stats AS (SELECT CAST(rule_id AS BIGINT) AS rule_id, count(*) AS times_applied,
 def _bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = recon(spark, sf_dir).order_matches(assigned=False).select("batch_id", "o_order_id", "s_id", "rule_id")
     k = F.regexp_extract("o_order_id", r"\d+", 0).try_cast("bigint")
-    more = rows.where((k % 100).isin(21, 23) | (k % 50 == 0)).withColumn("o_order_id", F.concat(F.lit("ORD-"), (k - k % 2).cast("string")))
-    return rows.unionByName(more)
+    to = lambda key: F.concat(F.lit("ORD-"), key.cast("string"))
+    bound_to = F.array_compact(F.array(
+        F.col("o_order_id"), F.when((k % 100).isin(21, 23) | (k % 50 == 0), to(k - k % 2)), F.when((k % 100).between(30, 39), to(k - k % 10)), F.when((F.col("rule_id") == 5) & (k % 100 >= 60), F.lit("ORD-none")),
+    ))
+    return rows.withColumn("o_order_id", F.explode(bound_to))
 
 
 @query(OUTCOMES + _BOUND + " SELECT s_id, count(DISTINCT o_order_id) AS orders FROM bound GROUP BY s_id HAVING count(DISTINCT o_order_id) > 1")
@@ -445,11 +510,37 @@ def rule_stats(spark, sf_dir):
     return learning.rule_stats(_bound(spark, sf_dir))
 
 
-@query(OUTCOMES + _BOUND + " SELECT rule_id, times_applied, times_correct FROM stats WHERE times_applied >= 10 AND times_correct / times_applied < 0.95")
+_GONE = " WHERE times_applied >= 10 AND times_correct / times_applied < 0.95"
+
+
+@query(OUTCOMES + _BOUND + " SELECT rule_id, times_applied, times_correct FROM stats" + _GONE)
 def retirement(spark, sf_dir):
     return learning.retired(learning.rule_stats(_bound(spark, sf_dir)), C).select("rule_id", "times_applied", "times_correct")
 
 
+@query(OUTCOMES + _BOUND + " SELECT m.batch_id, 'settlement' AS record_type, m.s_id AS record_id, 'RULE_RETIRED' AS reason_code, abs(s.net_amount_paise) AS money_at_risk_paise FROM order_matches m JOIN settlements s ON s.settlement_txn_id = m.s_id WHERE m.rule_id IN (SELECT rule_id FROM stats" + _GONE + ")")
+def retired_matches(spark, sf_dir):
+    """Exceptions that the links of retired rules become."""
+    r = recon(spark, sf_dir)
+    return learning.reopened(r.order_matches(assigned=False), learning.retired(learning.rule_stats(_bound(spark, sf_dir)), C), r.settlements)[1]
+
+
+_CASES = """, filed AS (SELECT e.batch_id, e.record_id, e.reason_code, s.order_id_claimed AS claimed, s.settled_date, s.gross_amount_paise AS gross FROM exceptions e JOIN settlements s ON e.record_type = 'settlement' AND s.batch_id = e.batch_id AND s.settlement_txn_id = e.record_id),
+nearby AS (SELECT f.batch_id, f.record_id, o.order_id, LAG_SQL AS lag FROM filed f JOIN ledger o ON o.batch_id = f.batch_id AND (o.order_id = f.claimed OR (o.gross_amount_paise = f.gross AND o.order_date <= f.settled_date))),
+inside AS (SELECT * FROM nearby WHERE lag BETWEEN 0 AND 6)
+SELECT e.batch_id, e.record_type, e.record_id, e.reason_code, coalesce(c.n, 0) AS candidates, c.nearest, c.lag FROM exceptions e
+LEFT JOIN (SELECT batch_id, record_id, least(count(*), 5) AS n, arg_min(order_id, (lag, order_id)) AS nearest, min(lag) AS lag FROM inside GROUP BY ALL) c USING (batch_id, record_id)""".replace("LAG_SQL", lag_sql("o.order_date", "f.settled_date"))
+
+
+@query(OUTCOMES + _CASES)
+def proposer_cases(spark, sf_dir):
+    """What a proposer is shown of each exception: how many candidates, the nearest one and its lag."""
+    r = recon(spark, sf_dir)
+    cases = learning.build_cases(r.exceptions(assigned=False, bank=False), r.orders, r.settlements, (), C)
+    first = F.get("candidates", F.lit(0))
+    return cases.select("batch_id", "record_type", "record_id", "reason_code", F.size("candidates").alias("candidates"), first["order_id"].alias("nearest"), first["lag_days"].alias("lag"))
+
+
 @query(OUTCOMES + " SELECT batch_id, record_id, reason_code, money_at_risk_paise, row_number() OVER (PARTITION BY batch_id ORDER BY money_at_risk_paise DESC, record_id) AS place FROM exceptions WHERE reason_code IN ('FEE_UNEXPLAINED', 'TIMING_UNEXPLAINED', 'AMBIGUOUS_SUBSET', 'NO_SUBSET_FOUND')")
 def escalation_queue(spark, sf_dir):
     return learning.escalation_queue(recon(spark, sf_dir).exceptions(assigned=False, bank=False)).select("batch_id", "record_id", "reason_code", "money_at_risk_paise", "place")
@@ -585,6 +676,64 @@ def money_bridge(spark, sf_dir):
     return summary.money_bridge(found.orders, found.settlements)
 
 
+def _summary_sql(orders: str, settlements: str, leaks: str | None, bank: bool) -> str:
+    over = f"""x.*, {'coalesce(l.over, 0)' if leaks else 'CAST(NULL AS BIGINT)'} AS overcharge, {'coalesce(l.gross_over, 0)' if leaks else 'CAST(NULL AS BIGINT)'} AS gross_overcharge, {'CASE WHEN x.instrument IS NULL THEN b.bank END' if bank else 'CAST(NULL AS BIGINT)'} AS bank_received"""
+    return f""", ko AS (SELECT o.*, EXISTS (SELECT 1 FROM order_matches m WHERE m.batch_id = o.batch_id AND m.o_order_id = o.order_id) AS matched FROM ledger o),
+ks AS (SELECT s.*, o.order_date, o.status, EXISTS (SELECT 1 FROM order_matches m WHERE m.batch_id = s.batch_id AND m.s_id = s.settlement_txn_id) AS matched FROM settlements s LEFT JOIN ledger o ON o.batch_id = s.batch_id AND o.order_id = s.order_id_claimed),
+os AS (SELECT batch_id, instrument, count(*) AS orders_total, count(*) FILTER (matched) AS orders_reconciled, CAST(sum(gross_amount_paise) AS BIGINT) AS gross_sales FROM ko WHERE {orders} GROUP BY GROUPING SETS ((batch_id, instrument), (batch_id))),
+ss AS (SELECT batch_id, instrument, CAST(sum(mdr_paise) AS BIGINT) AS fees, CAST(sum(gst_on_mdr_paise) AS BIGINT) AS gst, CAST(sum(net_amount_paise) AS BIGINT) AS net_settled FROM ks WHERE {settlements} GROUP BY GROUPING SETS ((batch_id, instrument), (batch_id))),
+ls AS (SELECT batch_id, instrument, CAST(sum(leaked) AS BIGINT) AS over, CAST(sum(greatest(leaked, 0)) AS BIGINT) AS gross_over FROM leaks WHERE {leaks or 'true'} GROUP BY GROUPING SETS ((batch_id, instrument), (batch_id))),
+bs AS (SELECT batch_id, CAST(sum(credit_amount_paise) AS BIGINT) AS bank FROM credits GROUP BY 1),
+xs AS (SELECT coalesce(o.batch_id, s.batch_id) AS batch_id, CASE WHEN o.batch_id IS NULL THEN s.instrument ELSE o.instrument END AS instrument, coalesce(orders_total, 0) AS orders_total, coalesce(orders_reconciled, 0) AS orders_reconciled,
+  coalesce(gross_sales, 0) AS gross_sales, coalesce(fees, 0) AS fees, coalesce(gst, 0) AS gst, coalesce(net_settled, 0) AS net_settled FROM os o FULL JOIN ss s ON s.batch_id = o.batch_id AND coalesce(s.instrument, '') = coalesce(o.instrument, ''))
+SELECT {over} FROM xs x LEFT JOIN ls l ON l.batch_id = x.batch_id AND l.instrument IS NOT DISTINCT FROM x.instrument LEFT JOIN bs b ON b.batch_id = x.batch_id"""
+
+
+def _summary(spark: SparkSession, sf_dir: str, filters: summary.Filters) -> DataFrame:
+    r = recon(spark, sf_dir)
+    leaks = audit.with_leakage(audit.audited(r.orders, r.settlements), C).select("batch_id", "instrument", "leaked")
+    return summary.summary(r.orders, r.settlements, r.credits, r.order_matches(assigned=False), leaks, filters)
+
+
+_LEAKS = AUDIT.removeprefix(", ")
+_METHODS, _DATES = "instrument IN ('UPI', 'CARD_CREDIT')", "order_date BETWEEN DATE '1995-03-01' AND DATE '1999-06-30'"
+
+
+@query(OUTCOMES + ", " + _LEAKS + _summary_sql("true", "true", "true", True))
+def summary_whole(spark, sf_dir):
+    """Totals with the bank's total and the overcharge, no filter."""
+    return _summary(spark, sf_dir, summary.Filters())
+
+
+@query(OUTCOMES + ", " + _LEAKS + _summary_sql(_METHODS, _METHODS, _METHODS, False))
+def summary_of_methods(spark, sf_dir):
+    """Under a filter by method the bank's total is unknown."""
+    return _summary(spark, sf_dir, summary.Filters(instruments=("UPI", "CARD_CREDIT")))
+
+
+@query(OUTCOMES + ", " + _LEAKS + _summary_sql(f"{_DATES} AND NOT matched", f"{_DATES} AND NOT matched", None, False))
+def summary_of_open(spark, sf_dir):
+    """Under a filter by date and status the overcharge is unknown, too, and orphans drop out."""
+    return _summary(spark, sf_dir, summary.Filters(date_from="1995-03-01", date_to="1999-06-30", statuses=(summary.EXCEPTION,)))
+
+
+@query(""", ks AS (SELECT s.*, o.order_date, o.status FROM settlements s LEFT JOIN ledger o ON o.batch_id = s.batch_id AND o.order_id = s.order_id_claimed),
+fo AS (SELECT * FROM ledger WHERE F), fs AS (SELECT * FROM ks WHERE F),
+claims AS (SELECT DISTINCT batch_id, order_id_claimed AS order_id FROM fs WHERE gross_amount_paise > 0),
+a AS (SELECT batch_id, CAST(sum(gross_amount_paise) AS BIGINT) AS total_sales, CAST(coalesce(sum(gross_amount_paise) FILTER ((batch_id, order_id) NOT IN (SELECT batch_id, order_id FROM claims)), 0) AS BIGINT) AS never_settled FROM fo GROUP BY 1),
+b AS (SELECT batch_id, CAST(sum(CASE WHEN gross_amount_paise < 0 THEN -gross_amount_paise ELSE 0 END) AS BIGINT) AS chargebacks,
+  CAST(sum(CASE WHEN status = 'refunded_partial' THEN gross_amount_paise - mdr_paise - gst_on_mdr_paise - net_amount_paise ELSE 0 END) AS BIGINT) AS refunds, CAST(sum(mdr_paise) AS BIGINT) AS fees, CAST(sum(gst_on_mdr_paise) AS BIGINT) AS gst,
+  CAST(sum(CASE WHEN status = 'refunded_partial' THEN 0 ELSE gross_amount_paise - mdr_paise - gst_on_mdr_paise - net_amount_paise END) AS BIGINT) AS rounding_drift,
+  CAST(sum(CASE WHEN gross_amount_paise > 0 AND status IS NULL THEN gross_amount_paise ELSE 0 END) AS BIGINT) AS orphans, CAST(sum(net_amount_paise) AS BIGINT) AS net_settled FROM fs GROUP BY 1),
+z AS (SELECT l.batch_id, COLUMNS(* EXCLUDE batch_id) FROM (SELECT DISTINCT batch_id FROM ledger) l LEFT JOIN a USING (batch_id) LEFT JOIN b USING (batch_id))
+SELECT batch_id, coalesce(total_sales, 0) AS total_sales, coalesce(never_settled, 0) AS never_settled, coalesce(chargebacks, 0) AS chargebacks, coalesce(refunds, 0) AS refunds, coalesce(fees, 0) AS fees, coalesce(gst, 0) AS gst, coalesce(rounding_drift, 0) AS rounding_drift,
+  coalesce(orphans, 0) AS orphans, coalesce(net_settled, 0) AS net_settled, coalesce(net_settled - (total_sales - never_settled - chargebacks - refunds - fees - gst - rounding_drift + orphans), 0) AS other FROM z""".replace("WHERE F", f"WHERE {_METHODS} AND {_DATES}").replace("l.batch_id, COLUMNS(* EXCLUDE batch_id)", "*"))
+def money_bridge_filtered(spark, sf_dir):
+    """The bridge of two methods and some years; it still closes."""
+    found = derive(spark, sf_dir)
+    return summary.money_bridge(found.orders, found.settlements, None, summary.Filters(instruments=("UPI", "CARD_CREDIT"), date_from="1995-03-01", date_to="1999-06-30"))
+
+
 # -- lookups
 
 
@@ -603,9 +752,30 @@ def get_transaction(spark, sf_dir):
     return tools(spark, sf_dir).get_transaction("ORD-42")
 
 
-@query(OUTCOMES + " SELECT o_order_id, s_id, match_kind, resolved_by, CAST(rule_id AS BIGINT) AS rule_id FROM order_matches WHERE o_order_id = 'ORD-112' OR s_id = 'ORD-112'")
+@query(OUTCOMES + " SELECT o_order_id, s_id, match_kind, resolved_by, CAST(rule_id AS BIGINT) AS rule_id, (SELECT count(*) FROM exceptions e WHERE e.record_id = m.s_id) AS exceptions FROM order_matches m WHERE o_order_id = (SELECT min(o_order_id) FROM splits)")
 def explain_match(spark, sf_dir):
-    return tools(spark, sf_dir).explain_match("ORD-112").select("o_order_id", "s_id", "match_kind", "resolved_by", "rule_id")
+    """The links of the first order that was paid in parts."""
+    r = recon(spark, sf_dir)
+    first = r.splits.agg(F.min("o_order_id")).first()[0] or ""
+    return tools(spark, sf_dir).explain_match(first).select("o_order_id", "s_id", "match_kind", "resolved_by", "rule_id", "exceptions")
+
+
+@query(OUTCOMES + " SELECT count(*) AS count_matching, CAST(coalesce(sum(money_at_risk_paise), 0) AS BIGINT) AS total_money_at_risk FROM exceptions WHERE batch_id = '1997' AND money_at_risk_paise >= 100000")
+def exception_totals(spark, sf_dir):
+    return tools(spark, sf_dir).exception_totals("1997", least=100_000)
+
+
+@query(OUTCOMES + """ SELECT c.utr, c.credit_amount_paise, coalesce(t.n, 0) AS constituents, coalesce(t.total, 0) AS constituents_total, coalesce(t.total, 0) = c.credit_amount_paise AS reconciles_exactly
+FROM credits c LEFT JOIN (SELECT b.utr, count(*) AS n, CAST(sum(s.net_amount_paise) AS BIGINT) AS total FROM bank_matches b JOIN settlements s ON s.settlement_txn_id = b.s_id GROUP BY b.utr) t USING (utr)""")
+def traced_credits(spark, sf_dir):
+    return tools(spark, sf_dir).traced_totals()
+
+
+@query(" SELECT batch_id, max(k) AS run_id, arg_max(gross_amount_paise, k) AS money FROM keyed GROUP BY batch_id")
+def latest_runs(spark, sf_dir):
+    """The last of each batch's runs, an order standing for a run."""
+    runs = derive(spark, sf_dir).orders.select("batch_id", F.expr("cast(substring(order_id, 5) as bigint)").alias("run_id"), F.col("gross_amount_paise").alias("money"))
+    return scoring.latest_runs(runs)
 
 
 @query(" SELECT count(*) AS transactions, CAST(coalesce(sum(mdr_paise), 0) AS BIGINT) AS mdr, CAST(coalesce(sum(gst_on_mdr_paise), 0) AS BIGINT) AS gst, CAST(coalesce(sum(gross_amount_paise), 0) AS BIGINT) AS gross, CAST(coalesce(sum(net_amount_paise), 0) AS BIGINT) AS net FROM settlements WHERE settled_date BETWEEN DATE '1997-03-01' AND DATE '1997-05-31' AND instrument = 'CARD_CREDIT'")
@@ -620,9 +790,11 @@ def trace_bulk_credit(spark, sf_dir):
     return found.trace_all().join(F.broadcast(first), "utr", "left_semi")  # one row
 
 
-@query(f"SELECT CAST(rule_id AS BIGINT) AS rule_id, rule_type, scope AS scope_instrument, CAST(priority AS BIGINT) AS priority FROM {_RULES} WHERE rule_id < 9", base=False)
+@query(f"{_RULED_SQL} SELECT CAST(rule_id AS BIGINT) AS rule_id, rule_type, scope AS scope_instrument, CAST(priority AS BIGINT) AS priority, CASE WHEN rule_type = 'fee_formula' THEN 'For ' || CASE scope WHEN 'ALL' THEN 'every instrument' ELSE scope END || ', the fee is a flat ' || flat || ' paise plus 0% tax, within ' || tolerance || ' paise.' ELSE 'For ' || CASE scope WHEN 'ALL' THEN 'every instrument' ELSE scope END || ', money arrives ' || lo || ' to ' || hi || ' working days after the order.' END AS meaning FROM library", base=False)
 def learned_rules(spark, sf_dir):
-    return rules.as_table(spark, LIBRARY).select("rule_id", "rule_type", "scope_instrument", "priority")
+    found = tools(spark, sf_dir)
+    found.rules = _library(spark, sf_dir)
+    return found.list_learned_rules().select("rule_id", "rule_type", "scope_instrument", "priority", "meaning")
 
 
 @query(OUTCOMES + " SELECT batch_id, reason_code, count(*) AS events, CAST(sum(money_at_risk_paise) AS BIGINT) AS money, row_number() OVER (PARTITION BY batch_id ORDER BY count(*) DESC, reason_code) AS place FROM exceptions GROUP BY batch_id, reason_code")
@@ -633,8 +805,8 @@ def exception_activity(spark, sf_dir):
 
 @query(f"SELECT decision AS event, count(*) AS events FROM ({ORACLE_SQL['promotion_gate']}) GROUP BY decision", base=False)
 def rule_activity(spark, sf_dir):
-    """Audit events by kind, from the gate's decisions."""
-    return QUERIES["promotion_gate"](spark, sf_dir).groupBy(F.col("decision").alias("event")).agg(F.count("*").alias("events"))
+    """Audit events by kind, of all the gate's decisions."""
+    return _decided(spark, sf_dir).groupBy(F.col("decision").alias("event")).agg(F.count("*").alias("events"))
 
 
 @query(ORACLE_SQL["score_batch"].removeprefix(BASE).replace("SELECT t.batch_id, CASE", "SELECT t.batch_id, row_number() OVER (ORDER BY CAST(t.batch_id AS INTEGER)) AS place, CASE"))

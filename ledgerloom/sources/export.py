@@ -51,9 +51,8 @@ def problems(export: DataFrame) -> list[str]:
         found.append(f"unsupported methods: {', '.join(rows)}")
     payments = export.where("type <> 'refund'").select(F.col("entity_id").alias("payment_id"))
     lost = export.where("type = 'refund'").join(payments, "payment_id", "left_anti")
-    n, some = lost.count(), [str(r[0]) for r in lost.select("payment_id").distinct().orderBy("payment_id").limit(20).collect()]
-    if n:
-        found.append(f"{n} refunds of payments that aren't there, such as {', '.join(some)}")
+    if rows := sorted(str(r[0]) for r in lost.select("payment_id").distinct().collect()):
+        found.append(f"refunds of payments that aren't there: {', '.join(rows)}")
     return found
 
 

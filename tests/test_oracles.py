@@ -12,7 +12,7 @@ from ledgerloom.plans.queries import ORACLE_SQL, QUERIES
 @pytest.fixture(scope="module")
 def duck(sf_dir):
     c = duckdb.connect()
-    for name in ("orders", "customer"):
+    for name in ("orders", "customer", "supplier", "part"):
         c.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
     return c
 
