@@ -2,21 +2,26 @@
 
 Conventions of the input: an assistant's text may hold
 ``<tool_call>{"id": ..., "name": ..., "arguments": {...}}</tool_call>`` blocks; a
-turn of role ``tool`` is ``{"tool_call_id": ..., "content": ...}``; a system
-text may declare ``<tools>[{"name": ..., "parameters": {"properties": {name:
-{"type": ...}}, "required": [...]}}]</tools>``.
+turn of role ``tool`` is ``{"tool_call_id": ..., "content": ...}``; system texts
+may declare ``<tools>[{"name": ..., "parameters": {JSON schema}}]</tools>``.
 
 *Linking.*  Calls and results meet in a hash join on conversation and identifier;
 the first call of an identifier owns it.  *Order.*  A result comes right after
 the turn of its call, in the order of calls; everything else stays in turn
 order: a topological order of "call before result" and of turns.
-*Validation.*  Arguments are checked against the tool's declared schema: required
-parameters, their types, and parameters that aren't declared.  *JSON.*  One
-object for each message, keys sorted, no white space, arguments re-serialised
-with sorted keys.
-
-The result has a row for each message (JSON lines), so no conversation is ever
-gathered into one value or task memory: positions are a window that streams.
+*Validation.*  Arguments are checked against the tool's schema: ``type``, ``enum``,
+``required``, ``properties``, ``items`` and ``additionalProperties`` (a parameter that
+isn't declared is reported unless it is ``true``), down to ``LEVELS`` levels of
+objects and arrays; what a schema says of deeper ones is reported as unchecked.
+A call of a tool that the conversation doesn't declare is reported.  *JSON.*
+One object for each message, keys sorted, no white space, arguments
+re-serialised with sorted keys.
+
+The result has a row for each message (JSON lines).  Only messages that call or
+answer are joined; the others never leave their partition until positions are
+numbered.  Positions are a window over a conversation that streams: no
+conversation is gathered into one value or task memory, but the messages of one
+conversation are numbered by one task.
 
 Defined results: null text is an empty content, null role is "unknown"; rows
 that repeat a turn are messages of their own, ordered by role and text; a null
@@ -33,7 +38,9 @@ from pyspark.sql import functions as F
 
 CALL = r"(?s)<tool_call>(.*?)</tool_call>"
 TOOLS = r"(?s)<tools>(.*?)</tools>"
-_TOOLS_TYPE = "array<struct<name:string,parameters:struct<properties:map<string,struct<type:string>>,required:array<string>>>>"
+#: Levels of objects and arrays that validation goes down.
+LEVELS = 3
+_TOOLS_TYPE = "array<struct<name:string,parameters:string>>"
 #: JSON schema type of a Spark variant's type, by its first word.
 _KINDS = {"BIGINT": "integer", "DOUBLE": "number", "DECIMAL": "number", "STRING": "string", "BOOLEAN": "boolean", "ARRAY": "array", "OBJECT": "object", "VOID": "null"}
 
@@ -47,22 +54,36 @@ def json_kind(value: Column) -> Column:
     return out
 
 
-def argument_problems(arguments: Column, properties: Column, required: Column) -> Column:
-    """What is wrong with a call's arguments (a JSON text) under a tool's schema, as an array."""
-    value = F.try_parse_json(arguments)
-    given = F.coalesce(F.json_object_keys(arguments), F.array().cast("array<string>"))
-    missing = F.transform(F.array_except(F.coalesce(required, F.array().cast("array<string>")), given), lambda p: F.concat(F.lit("missing "), p))
-    names = F.coalesce(F.map_keys(properties), F.array().cast("array<string>"))
-    unknown = F.transform(F.array_except(given, names), lambda p: F.concat(F.lit("undeclared "), p))
-    fields = F.coalesce(F.from_json(arguments, "map<string,string>"), F.create_map().cast("map<string,string>"))
-    raw = F.coalesce(F.from_json(F.to_json(value), "map<string,variant>"), F.create_map().cast("map<string,variant>"))
-
-    def fits(p: Column) -> Column:
-        told, got = F.element_at(properties, p)["type"], json_kind(F.element_at(raw, p))
-        return told.isNull() | (told == got) | ((told == "number") & (got == "integer"))
-
-    wrong = F.transform(F.filter(F.array_intersect(names, F.map_keys(fields)), lambda p: ~fits(p)), lambda p: F.concat(F.lit("type of "), p))
-    return F.concat(F.array_sort(missing), F.array_sort(wrong), F.array_sort(unknown))
+def _strings(*some: Column) -> Column:
+    return F.array(*some).cast("array<string>")
+
+
+def schema_problems(value: Column, schema: Column, name: Column | None = None, levels: int = LEVELS) -> Column:
+    """What is wrong with a JSON text under a JSON schema's text, as an array; ``name`` is the place of the value."""
+    parsed = F.try_parse_json(value)
+    kind, told = json_kind(parsed), F.get_json_object(schema, "$.type")
+    own = F.lit("arguments") if name is None else name
+    child = lambda key: key if name is None else F.concat(name, F.lit("."), key)
+    listed = F.transform(F.from_json(F.get_json_object(schema, "$.enum"), "array<variant>"), lambda v: F.to_json(v))
+    given = F.coalesce(F.json_object_keys(value), _strings())
+    declared = F.from_json(F.get_json_object(schema, "$.properties"), "map<string,string>")
+    needed = F.coalesce(F.from_json(F.get_json_object(schema, "$.required"), "array<string>"), _strings())
+    strict = declared.isNotNull() & (F.coalesce(F.get_json_object(schema, "$.additionalProperties"), F.lit("false")) != "true")
+    found = [
+        F.when(told.isNotNull() & (told != kind) & ~((told == "number") & (kind == "integer")), _strings(F.concat(F.lit("type of "), own))),
+        F.when(listed.isNotNull() & ~F.array_contains(listed, F.to_json(parsed)), _strings(F.concat(F.lit("value of "), own))),
+        F.when(kind == "object", F.transform(F.array_except(needed, given), lambda k: F.concat(F.lit("missing "), child(k)))),
+        F.when((kind == "object") & strict, F.transform(F.array_except(given, F.map_keys(declared)), lambda k: F.concat(F.lit("undeclared "), child(k)))),
+    ]
+    items = F.get_json_object(schema, "$.items")
+    if levels:
+        fields = F.from_json(value, "map<string,variant>")
+        inside = F.transform(F.array_intersect(F.map_keys(declared), given), lambda k: schema_problems(F.to_json(F.element_at(fields, k)), F.element_at(declared, k), child(k), levels - 1))
+        each = F.transform(F.from_json(value, "array<variant>"), lambda x, i: schema_problems(F.to_json(x), items, F.concat(own, F.lit("["), i.cast("string"), F.lit("]")), levels - 1))
+        found += [F.when((kind == "object") & declared.isNotNull(), F.flatten(inside)), F.when((kind == "array") & items.isNotNull(), F.flatten(each))]
+    else:
+        found.append(F.when((kind == "object") & declared.isNotNull() | (kind == "array") & items.isNotNull(), _strings(F.concat(F.lit("unchecked "), own))))
+    return F.concat(*[F.coalesce(f, _strings()) for f in found])
 
 
 def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -75,8 +96,8 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     said = said.withColumn("key", F.when(is_call | is_result, F.xxhash64("conv", "turn", "role", "text")))
 
     # the few turns that call or answer
-    tools = said.where((F.col("role") == "system") & F.contains("text", F.lit("<tools>"))).select("conv", F.explode(F.from_json(F.regexp_extract("text", TOOLS, 1), _TOOLS_TYPE)).alias("tool"))
-    tools = tools.groupBy("conv", F.col("tool.name").alias("name")).agg(F.max_by("tool.parameters", F.to_json("tool.parameters")).alias("schema"))
+    declared = said.where((F.col("role") == "system") & F.contains("text", F.lit("<tools>"))).select("conv", F.explode(F.regexp_extract_all("text", F.lit(TOOLS), F.lit(1))).alias("block"))
+    tools = declared.select("conv", F.explode(F.from_json("block", _TOOLS_TYPE)).alias("tool")).groupBy("conv", F.col("tool.name").alias("name")).agg(F.max(F.coalesce("tool.parameters", F.lit("{}"))).alias("schema"))
     calls = said.where(is_call).select("conv", "turn", "key").distinct()
     blocks = said.where(is_call).select("key", "text").distinct().select("key", F.posexplode(F.regexp_extract_all("text", F.lit(CALL), F.lit(1))).alias("at", "block"))
     calls = calls.join(blocks, "key").withColumns(
@@ -93,12 +114,13 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
         .join(tools.alias("t"), same_as("c", "t", "name"), "left")
         .select("c.*", (F.col("o.own.key").eqNullSafe(F.col("c.key")) & F.col("o.own.at").eqNullSafe(F.col("c.at"))).alias("owns"), F.coalesce("r.answers", F.lit(0)).alias("answers"), F.col("t.schema").alias("schema"))
     )
-    checks = F.when(F.col("schema").isNotNull(), argument_problems(F.col("arguments"), F.col("schema.properties"), F.col("schema.required"))).otherwise(F.array().cast("array<string>"))
+    readable = F.col("sound") & F.col("name").isNotNull()
     problem = F.concat(
-        F.when(~F.col("sound") | F.col("name").isNull(), F.array(F.lit("unreadable call"))).otherwise(F.array().cast("array<string>")),
-        F.when(F.col("sound") & F.col("id").isNotNull() & ~F.col("owns"), F.array(F.lit("repeated identifier"))).otherwise(F.array().cast("array<string>")),
-        F.when(F.col("answers") == 0, F.array(F.lit("call without result"))).otherwise(F.array().cast("array<string>")),
-        checks,
+        F.when(~readable, _strings(F.lit("unreadable call"))).otherwise(_strings()),
+        F.when(F.col("sound") & F.col("id").isNotNull() & ~F.col("owns"), _strings(F.lit("repeated identifier"))).otherwise(_strings()),
+        F.when(F.col("answers") == 0, _strings(F.lit("call without result"))).otherwise(_strings()),
+        F.when(readable & F.col("schema").isNull(), _strings(F.lit("undeclared tool"))).otherwise(_strings()),
+        F.when(F.col("schema").isNotNull(), F.array_sort(schema_problems(F.col("arguments"), F.col("schema")))).otherwise(_strings()),
     )
     canonical = F.coalesce(F.to_json(F.try_parse_json("arguments")), F.to_json(F.struct(F.col("arguments").alias("raw"))))
     one = F.concat(F.lit('{"arguments":'), canonical, F.lit(',"id":'), quoted(F.coalesce("id", F.lit(""))), F.lit(',"name":'), quoted(F.coalesce("name", F.lit(""))), F.lit("}"))
@@ -111,7 +133,9 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
         F.any_value("s.id").alias("result_of"), F.any_value("s.content").alias("content"), F.any_value("s.sound").alias("sound"), F.any_value("o.own").alias("own")
     )
 
-    lines = said.join(of_calls, "key", "left").join(of_results, "key", "left")
+    # messages that neither call nor answer have no key: a join would deal them all to one task
+    keyed = said.where("key IS NOT NULL").join(of_calls, "key", "left").join(of_results, "key", "left")
+    lines = keyed.unionByName(said.where("key IS NULL"), allowMissingColumns=True)
     body = F.when(F.col("calls").isNotNull(), F.trim(F.regexp_replace("text", CALL, ""))).otherwise(F.coalesce("content", "text"))
     message = F.concat(
         F.lit('{"content":'), quoted(body), F.lit(',"role":'), quoted(F.col("role")),

@@ -3,42 +3,32 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_own_dir: str | None = None
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local one only where it is unset (tests)."""
-    global _own_dir
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share.
+
+    Only a local master, where they are one process, gets a folder of its own
+    instead (tests); elsewhere a missing setting is an error.
+    """
     told = spark.conf.get("spark.checkpoint.dir", None)
     if told:
         return told.rstrip("/")
-    if _own_dir is None:
-        _own_dir = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
-    return _own_dir
-
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    spark.conf.set("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="ledgerloom-"))
+    return spark.conf.get("spark.checkpoint.dir")
 
-def compact(df: DataFrame) -> DataFrame:
-    """Few files: at most four tasks for each core, each working through its partitions in turn.
 
-    Partitions keep their size (and so a task its memory); only files and
-    task starts become fewer where a shuffle has far more partitions than cores.
-    """
-    return df.coalesce(4 * max(2, df.sparkSession.sparkContext.defaultParallelism))
-
-
-def write_table(df: DataFrame, name: str, few: bool = True) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder as Parquet and read it back.
-
-    ``few`` lets a task write several partitions, in any order.
-    """
+def write_table(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+    """Cut the lineage: write ``df`` to the shared folder as Parquet and read it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}-{name}-{uuid.uuid4().hex[:12]}"
-    (compact(df) if few else df).write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out._ledgerloom_path = path
     return out
