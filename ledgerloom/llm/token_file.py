@@ -16,7 +16,10 @@ nothing is decoded in blocks.
 
 A shard is one task's run of segments in ascending id order, stored as rows
 (part, sequence, tokens before, segment) of a Parquet table, so any file system
-Spark can write will do.  Ids of a document never cross a segment.
+Spark can write will do.  Segments are stored as they are, uncompressed, and
+have about ``SEGMENT_TOKENS`` ids (some hundred KB): ``tokens_at`` finds the
+segments of the places asked for by their narrow columns alone and reads one
+code a level of each place.  Ids of a document never cross a segment.
 
 Defined results: null and empty text have the end id only; a null id sorts
 first; rows that repeat an id follow each other in the order of their texts'
@@ -25,7 +28,9 @@ hash; an empty table makes no segments.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -37,15 +42,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import write_table
+from .words import CHUNK_BYTES, Numbers, byte_names, chunks
 
 MAGIC, VERSION = b"DACT", 1
 BLOCK_BITS = 512
 #: Tokens after which a segment is closed.
-SEGMENT_TOKENS = 1 << 20
-#: Space-separated chunks a worker remembers before it starts afresh.
-MEMO = 250_000
-#: White space but the space itself.
-WHITE = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
+SEGMENT_TOKENS = 1 << 16
+#: Different chunks a worker remembers before it starts afresh (some 100 MB).
+MEMO = 1_000_000
+#: White space but the space itself and the line's end.
+WHITE = re.compile("[" + "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n") + "]")
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+_LETTER, _STOP, _SPACE, _LINE = 1, 2, 3, 4
 
 
 def pack_segment(ids: np.ndarray, doc_ids: list[int | None], first: np.ndarray) -> bytes:
@@ -118,56 +126,143 @@ class Segment:
 
 
 class ChunkEncoder:
-    """Ids of texts by the tokenizers library, remembered by space-separated chunk.
-
-    The byte-level pattern never joins characters across a space that stands
-    between two others that aren't white space, so such a text's ids are those
-    of its chunks (each with the space before it).  Any other text goes to the
-    library whole, as does one that holds a special token's string.
+    """Ids of texts by the tokenizers library, remembered by chunk.
+
+    The byte-level pattern never joins characters across a space or a line's end
+    that stands alone between two others that aren't white space, nor a run of
+    letters with the stop after it, so such a text's ids are those of its
+    chunks (each with the space before it).  A chunk of letters is one word of
+    the pattern and goes straight to the library's model, its bytes written as
+    the byte level writes them; other chunks go through the whole tokenizer.  A
+    text with any other white space, or that holds a special token's string,
+    goes to the library whole, as do all texts where the file's rules are others
+    than plain byte level.
+
+    Chunks are cut, named and looked up for many texts at once; two independent
+    64-bit names, with the length in one of them, tell chunks apart.
     """
 
+    WORD = re.compile(f" ?[{_LETTERS}]+")
+    OTHER_BASE = 0xD1342543DE82EF95
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def uneven(self, text: str) -> bool:
-        """Whether a space stands at an end or next to other white space."""
-        return "  " in text or text[:1] == " " or text[-1:] == " " or any(w in text and (w + " " in text or " " + w in text) for w in WHITE)
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        rules = json.loads(self.tokenizer.to_str())
+        level = rules["pre_tokenizer"] or {}
+        self.plain = rules["normalizer"] is None and level.get("type") == "ByteLevel" and not level["add_prefix_space"] and level.get("use_regex", True)
+        self.model = self.tokenizer.model
+        # the byte level writes printable Latin-1 as itself and the other bytes as the characters from 256 on
+        other = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+        self.written = {b: 256 + k for k, b in enumerate(other)}
+        self.kind = np.zeros(256, dtype=np.uint8)
+        for kind, some in ((_LETTER, b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"), (_STOP, b".,;:!?"), (_SPACE, b" "), (_LINE, b"\n")):
+            self.kind[list(some)] = kind
+        self.forget()
+
+    def forget(self) -> None:
+        self.places, self.known = Numbers(), 0
+        self.check, self.first, self.count = np.zeros(1024, dtype=np.uint64), np.zeros(1024, dtype=np.int64), np.zeros(1024, dtype=np.int64)
+        self.ids = np.zeros(0, dtype=np.uint32)
+
+    def library(self, chunk: str) -> list[int]:
+        if self.WORD.fullmatch(chunk):
+            return [t.id for t in self.model.tokenize(chunk.encode().decode("latin-1").translate(self.written))]
+        return self.tokenizer.encode(chunk, add_special_tokens=False).ids
+
+    def by_chunks(self, text: str) -> bool:
+        """Whether the text's ids are those of its chunks: each space and line's end stands alone between others."""
+        if not self.plain or WHITE.search(text) or any(s in text for s in self.special):
+            return False
+        return text.strip(" \n") == text and not any(x in text for x in ("  ", "\n\n", " \n", "\n "))
+
+    def cut(self, raw: np.ndarray, texts: np.ndarray) -> np.ndarray:
+        """First byte of each chunk; ``texts`` has the first byte of each text and the end of all."""
+        kind = self.kind[raw]
+        lead = np.flatnonzero((raw >= 0xC3) & (raw <= 0xC9))  # two bytes: Latin letters from U+00C0 to U+024F but for two signs
+        lead = lead[(raw[lead] != 0xC3) | ((raw[lead + 1] != 0x97) & (raw[lead + 1] != 0xB7))]
+        kind[lead] = kind[lead + 1] = _LETTER
+        start = np.zeros(len(raw) + 1, dtype=bool)
+        line = np.flatnonzero(kind == _LINE)
+        start[texts] = start[line] = start[line + 1] = True
+        start[:-1] |= kind == _SPACE
+        begin = np.flatnonzero(start[:-1])
+        end = np.append(begin[1:], len(raw))
+        inner = begin + (kind[begin] == _SPACE)
+        odd = np.append(np.flatnonzero(kind != _LETTER), len(raw))
+        stop = odd[np.searchsorted(odd, inner)]  # where the letters end
+        stop = stop[(stop > inner) & (stop < end)]
+        start[stop[kind[stop] == _STOP]] = True
+        return np.flatnonzero(start[:-1])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        out: list[bytes | None] = [None] * len(texts)
-        cut: list[tuple[int, list[str]]] = []
-        whole: list[int] = []
+        out: list[bytes] = [b""] * len(texts)
+        whole, chunked = [], []
         for i, text in enumerate(texts):
-            if self.uneven(text) or any(s in text for s in self.special):
-                whole.append(i)
-            else:
-                first, *rest = text.split(" ")
-                cut.append((i, [first, *[" " + x for x in rest]]))
-        for i, ids in zip(whole, self._library([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        memo = self.memo
-        new = {c for _, parts in cut for c in parts if c not in memo}
-        for c in [c for c in new if c in self.older]:
-            memo[c] = self.older[c]
-            new.discard(c)
-        fresh = list(new)
-        memo.update(zip(fresh, self._library(fresh), strict=True))
-        for i, parts in cut:
-            out[i] = b"".join([memo[c] for c in parts])
-        if len(memo) > MEMO:
-            self.memo, self.older = {}, memo
+            (chunked if self.by_chunks(text) else whole).append(i)
+        for i, found in zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
+            out[i] = np.array(found.ids, dtype="<u4").tobytes()
+        parts = [(i, part) for i in chunked for part in _parts(texts[i].encode())]
+        for a, b in chunks([len(d) for _, d in parts]):
+            ids, ends = self.joined([d for _, d in parts[a:b]])
+            packed = ids.astype("<u4").tobytes()
+            for (i, _), first, last in zip(parts[a:b], ends[:-1], ends[1:], strict=True):
+                out[i] += packed[4 * first : 4 * last]
         return out
 
+    def joined(self, data: list[bytes]) -> tuple[np.ndarray, list[int]]:
+        """Ids of all texts one after the other, and where each begins and the last ends."""
+        all_bytes = b"".join(data)
+        raw = np.frombuffer(all_bytes, dtype=np.uint8)
+        begin = np.cumsum([0] + [len(d) for d in data])
+        starts = self.cut(raw, begin)
+        ends = np.append(starts[1:], len(raw))
+        name = (byte_names(raw, starts, ends) >> np.uint64(1)).view(np.int64)
+        check = byte_names(raw, starts, ends, self.OTHER_BASE) + (ends - starts).astype(np.uint64)
+        entry = self.places.get(name)
+        entry[self.check[entry] != check] = -1
+        unknown = np.flatnonzero(entry < 0)
+        if len(unknown):
+            _, one, same = np.unique(name[unknown], return_index=True, return_inverse=True)
+            at = unknown[one]
+            found = [self.library(all_bytes[s:e].decode()) for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+            counts = np.array([len(f) for f in found])
+            first = len(self.ids) + np.cumsum(counts) - counts
+            new = self.known + np.arange(len(at))
+            while self.known + len(at) > len(self.first):
+                self.check, self.first, self.count = (np.concatenate((x, np.zeros_like(x))) for x in (self.check, self.first, self.count))
+            self.check[new], self.first[new], self.count[new] = check[at], first, counts
+            self.ids = np.concatenate((self.ids, np.array([i for f in found for i in f], dtype=np.uint32)))
+            self.known += len(at)
+            fresh = self.places.get(name[at]) < 0  # else a name that two chunks share: used now, not remembered
+            self.places.put(name[at[fresh]], new[fresh])
+            entry[unknown] = new[same]
+            clash = unknown[self.check[entry[unknown]] != check[unknown]]
+        else:
+            clash = unknown
+        counts = self.count[entry]
+        total = np.concatenate(([0], np.cumsum(counts)))
+        ids = self.ids[np.repeat(self.first[entry] - total[:-1], counts) + np.arange(total[-1])]
+        if len(clash):  # two chunks of one name in these texts: beyond any chance but by design
+            parts = [np.array(self.library(all_bytes[s:e].decode()), dtype=np.uint32) for s, e in zip(starts, ends, strict=True)]
+            ids, total = np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+        if self.known > MEMO:
+            self.forget()
+        return ids, total[np.searchsorted(starts, begin)].tolist()
+
+
+def _parts(data: bytes) -> Iterator[bytes]:
+    """A very long text in parts that begin with a space, so a chunk is never cut."""
+    at = 0
+    while len(data) - at > 2 * CHUNK_BYTES and (cut := data.find(b" ", at + CHUNK_BYTES)) >= 0:
+        yield data[at:cut]
+        at = cut
+    yield data[at:]
+
 
 _encoders: dict[str, ChunkEncoder] = {}
 
@@ -175,11 +270,13 @@ _encoders: dict[str, ChunkEncoder] = {}
 def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode all texts and write segments; returns the table (part, sequence, before, n_tokens, segment)."""
     own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    ranged = own.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"))
+    keys = F.col("id").asc_nulls_first(), F.xxhash64("text")  # rows that share an id are dealt by their texts
+    ranged = own.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.setdefault(tokenizer_path, None) or ChunkEncoder(tokenizer_path)
-        _encoders[tokenizer_path] = encoder
+        if tokenizer_path not in _encoders:
+            _encoders[tokenizer_path] = ChunkEncoder(tokenizer_path)
+        encoder = _encoders[tokenizer_path]
         end = np.array([end_id], dtype="<u4").tobytes()
         part, sequence, before = TaskContext.get().partitionId(), 0, 0
         ids: list[bytes] = []
@@ -210,24 +307,58 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col:
         if names:
             yield close()
 
-    return write_table(ranged.mapInArrow(encode, "part int, sequence int, before bigint, n_tokens bigint, segment binary"), "token-segments", few=False)
+    return write_table(ranged.mapInArrow(encode, "part int, sequence int, before bigint, n_tokens bigint, segment binary"), "token-segments", compression="none")
 
 
-def read_tokens(segments: DataFrame) -> DataFrame:
-    """Read the segments back: (id, ``start`` over the whole corpus, ``n_tokens``, ``ids_crc32``)."""
-    # a row for each task that wrote: their number is that of shuffle partitions, not of documents
+def _bases(segments: DataFrame) -> dict[int, int]:
+    """Ids before each part: a row for each task that wrote, whose number is that of shuffle partitions, not of documents."""
     totals = sorted(segments.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())
-    base = dict(zip([r["part"] for r in totals], np.cumsum([0] + [r["n"] for r in totals])[:-1].tolist(), strict=True))
+    return dict(zip([r["part"] for r in totals], np.cumsum([0] + [r["n"] for r in totals])[:-1].tolist(), strict=True))
+
+
+def read_tokens(segments: DataFrame) -> DataFrame:
+    """Read the segments back: (id, ``start`` over the whole corpus, ``n_tokens``, ``ids_crc32``, ``first_id``, ``last_id``).
+
+    The first and last id of a document are read where they stand, the sum over all of its ids.
+    """
+    base = _bases(segments)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, before, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                segment = Segment(data)
+            for part, before, data in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+                segment = Segment(data.as_py())
                 ids = segment.ids().astype("<u4")
-                sums = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(segment.first[:-1], segment.first[1:], strict=True)]
+                ends = segment.first.tolist()
+                sums = [zlib.crc32(ids[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                first, last = [segment.token(a) for a in ends[:-1]], [segment.token(b - 1) for b in ends[1:]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(segment.doc_ids, pa.int64()), pa.array(segment.first[:-1] + before + base[part]), pa.array(np.diff(segment.first)), pa.array(sums, pa.int64())],
-                    names=["id", "start", "n_tokens", "ids_crc32"],
+                    [pa.array(segment.doc_ids, pa.int64()), pa.array(segment.first[:-1] + before.as_py() + base[part.as_py()]), pa.array(np.diff(segment.first)), *(pa.array(x, pa.int64()) for x in (sums, first, last))],
+                    names=["id", "start", "n_tokens", "ids_crc32", "first_id", "last_id"],
                 )
 
-    return segments.select("part", "before", "segment").mapInArrow(decode, "id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return segments.select("part", "before", "segment").mapInArrow(decode, "id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, first_id bigint, last_id bigint")
+
+
+def tokens_at(segments: DataFrame, places: DataFrame) -> DataFrame:
+    """(``place``, ``token``): the ids at given places of the whole corpus, by direct access.
+
+    ``places`` has a column ``place``; places outside the corpus and nulls give
+    no row, a repeated one a single row.  Segments are found by their narrow
+    columns; each one that is asked for is read once, with the places in it.
+    """
+    base = _bases(segments)
+    starts = segments.sparkSession.createDataFrame(list(base.items()), "part int, base bigint")
+    own = segments.select("part", "sequence", "before", "n_tokens").join(F.broadcast(starts), "part").withColumn("start", F.col("base") + F.col("before"))  # a row for each task
+    stripe = lambda c: F.floor(c / SEGMENT_TOKENS).cast("bigint")
+    own = own.withColumn("stripe", F.explode(F.sequence(stripe(F.col("start")), stripe(F.col("start") + F.col("n_tokens") - 1))))
+    asked = places.where("place >= 0").select(F.col("place").cast("bigint").alias("place")).distinct().withColumn("stripe", stripe(F.col("place")))
+    found = asked.join(own, "stripe").where("place >= start AND place < start + n_tokens")
+    found = found.groupBy("part", "sequence").agg(F.first("start").alias("start"), F.collect_list("place").alias("places"))  # at most a segment's ids
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, places, data in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+                segment, at = Segment(data.as_py()), places.as_py()
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([segment.token(p - start.as_py()) for p in at], pa.int64())], names=["place", "token"])
+
+    return segments.select("part", "sequence", "segment").join(found, ["part", "sequence"]).select("start", "places", "segment").mapInArrow(read, "place bigint, token bigint")

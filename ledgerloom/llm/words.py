@@ -19,7 +19,6 @@ CHUNK_BYTES = 1 << 20
 
 _U = np.uint64
 _R = _U(0x9E3779B97F4A7C15 | 1)
-_R_INV = _U(pow(int(_R), -1, 1 << 64))
 _IS_SEPARATOR = np.zeros(256, dtype=bool)
 _IS_SEPARATOR[list(SEPARATORS)] = True
 
@@ -34,21 +33,28 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * _U(0xD1342543DE82EF95))
-_powers: tuple[np.ndarray, np.ndarray] | None = None
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """r**i and r**-i mod 2**64 for i < n."""
-    global _powers
-    if _powers is None or len(_powers[0]) < n:
+def powers(n: int, base: int = int(_R)) -> tuple[np.ndarray, np.ndarray]:
+    """r**i and r**-i mod 2**64 for i < n, r being the (odd) base."""
+    if base not in _powers or len(_powers[base][0]) < n:
         size = max(n, CHUNK_BYTES + 4096)
-        up, down = np.full(size, _R, dtype=np.uint64), np.full(size, _R_INV, dtype=np.uint64)
+        up, down = np.full(size, _U(base), dtype=np.uint64), np.full(size, _U(pow(base, -1, 1 << 64)), dtype=np.uint64)
         up[0] = down[0] = 1
         got = np.multiply.accumulate(up), np.multiply.accumulate(down)
         if size > 8 * CHUNK_BYTES:  # for one very long text: not kept
             return got
-        _powers = got
-    return _powers
+        _powers[base] = got
+    return _powers[base]
+
+
+def byte_names(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = int(_R)) -> np.ndarray:
+    """64-bit names of the byte strings raw[starts[i]:ends[i]]; another odd base gives independent ones."""
+    up, down = powers(len(raw) + 1, base)
+    sums = np.zeros(len(raw) + 1, dtype=np.uint64)
+    np.cumsum(_BYTE_VALUE[raw] * up[: len(raw)], dtype=np.uint64, out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts])
 
 
 @dataclass
@@ -79,10 +85,7 @@ def split_words(texts: list[bytes]) -> Words:
     if not sep[0]:
         edge = np.concatenate(([0], edge))
     starts, ends = edge[0::2], edge[1::2]
-    up, down = powers(len(raw))
-    sums = np.cumsum(_BYTE_VALUE[raw] * up[: len(raw)], dtype=np.uint64)
-    before = np.where(starts > 0, sums[starts - 1], _U(0))
-    names = mix((sums[ends - 1] - before) * down[starts])
+    names = byte_names(raw, starts, ends)
     at = np.cumsum([0] + [len(t) + 1 for t in texts])
     return Words(names, np.searchsorted(starts, at).astype(np.int64), starts, ends, data)
 
@@ -134,3 +137,47 @@ def count_words(texts: list[bytes]) -> np.ndarray:
         at = np.cumsum([0] + [len(t) + 1 for t in texts[a:b]])
         out.append(np.diff(np.searchsorted(starts, at)))
     return np.concatenate(out).astype(np.int64) if out else np.empty(0, dtype=np.int64)
+
+
+class Numbers:
+    """A hash table from 64-bit numbers to 32-bit ones, looked up and filled by arrays."""
+
+    def __init__(self, room: int = 1 << 12):
+        self.keys, self.values, self.count = np.full(room, -1, dtype=np.int64), np.zeros(room, dtype=np.int32), 0
+
+    def _first(self, keys: np.ndarray) -> np.ndarray:
+        shift = np.uint64(64 - (len(self.keys).bit_length() - 1))
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """Values of keys (0 or more); -1 where there is none."""
+        at, out, left = self._first(keys), np.full(len(keys), -1, dtype=np.int32), None
+        while len(keys):
+            found = self.keys[at]
+            hit = found == keys
+            if left is None:
+                out[hit] = self.values[at[hit]]
+            else:
+                out[left[hit]] = self.values[at[hit]]
+            on = np.flatnonzero(~hit & (found >= 0))
+            left = on if left is None else left[on]
+            keys, at = keys[on], (at[on] + 1) & (len(self.keys) - 1)
+        return out
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Distinct keys that aren't there yet."""
+        if 2 * (self.count + len(keys)) > len(self.keys):
+            old = self.keys >= 0
+            more = self.keys[old], self.values[old]
+            room = 1 << int(3 * (self.count + len(keys))).bit_length()
+            self.keys, self.values = np.full(room, -1, dtype=np.int64), np.zeros(room, dtype=np.int32)
+            keys, values = np.concatenate((more[0], keys)), np.concatenate((more[1], values))
+            self.count = 0
+        self.count += len(keys)
+        at = self._first(keys)
+        while len(keys):
+            free = np.flatnonzero(self.keys[at] < 0)
+            self.keys[at[free]] = keys[free]
+            mine = self.keys[at] == keys
+            self.values[at[mine]] = values[mine]
+            keys, values, at = keys[~mine], values[~mine], (at[~mine] + 1) & (len(self.keys) - 1)
