@@ -6,16 +6,21 @@ arc, and its path's score, depend on that window only.  Whenever the paths of
 all nodes in the window run back to one boundary, the ids up to it are final
 and leave; memory doesn't depend on the text's length.
 
+Two neighbouring characters that no piece holds side by side are such a
+boundary whatever the paths are: all of them converge there.  A text is cut at
+the boundaries that a pattern can find (before a space, around a line's end,
+between a word and the stop after it), and the lattices of many cuts advance
+together, one code point a step, in numpy arrays (``Lattices``).  A cut of more
+than ``ROW`` code points streams alone (``PieceModel.stream``), committing
+whenever paths converge.  Ids of cuts are remembered in a bounded memo, which
+changes nothing but time.
+
 For a unigram model a path's score is the sum of its pieces' scores.  For a BPE
 model a path is admissible when each piece and the next stay apart under the
 model's merges (then it is the model's own segmentation, which is unique), so
 ids equal those of the model's reference encoder.  A code point that no piece
 covers becomes its UTF-8 byte pieces, or the unknown id where there are none.
 
-No piece of these models runs across the start of a word (a space mark after
-another character), so paths always converge there; ids of the segments between
-such points are remembered in a bounded memo, which changes nothing but time.
-
 Defined results: null and empty text give no ids; spaces become the space mark
 and a mark is put before the text where the model says so; other normalisation
 rules than "identity" are refused, as are models of other kinds.
@@ -26,6 +31,8 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Iterator
+from functools import cached_property
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +40,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import rows_of
+from .words import Numbers, chunks
 
 SPACE = "▁"
-#: Segments a worker remembers before it starts afresh.
-MEMO = 250_000
+#: Cuts of texts a worker remembers, in each of two generations.
+MEMO = 200_000
+#: Most code points of a cut that advances with others, and how many do.
+ROW, ROWS = 64, 8192
+#: Pairs of pieces whose verdict a worker remembers (some 50 MB).
+PAIRS = 1_000_000
+#: Code points of text whose cuts are looked up together.
+TOGETHER = 1 << 19
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+_STOPS = ".,;:!?"
 
 _UNKNOWN_COST = -10.0
 
@@ -67,6 +83,99 @@ def _fields(data: bytes) -> Iterator[tuple[int, bytes | int]]:
             at += size
 
 
+class Lattices:
+    """The lattices of many short texts at once."""
+
+    def __init__(self, model: PieceModel):
+        self.model = model
+        prefixes = {"": 0}
+        for piece in model.ids:
+            for k in range(1, len(piece) + 1):
+                prefixes.setdefault(piece[:k], len(prefixes))
+        steps = [(prefixes[p[:-1]] << 21 | ord(p[-1]), n) for p, n in prefixes.items() if p]
+        self.trie = Numbers()
+        self.trie.put(np.array([k for k, _ in steps], dtype=np.int64), np.array([n for _, n in steps], dtype=np.int32))
+        self.piece_at = np.array([model.ids.get(p, -1) for p in prefixes], dtype=np.int32)
+        self.scores = np.array(model.scores)
+        self.pairs = Numbers()
+
+    def fits(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """Whether pieces stay apart under the merges; each pair is judged once."""
+        key = (before.astype(np.int64) + 1) << 20 | piece
+        known = self.pairs.get(key)
+        if (known < 0).any():
+            if self.pairs.count > PAIRS:
+                self.pairs = Numbers()
+            new = np.unique(key[known < 0])
+            self.pairs.put(new, np.array([self.model.apart((k >> 20) - 1, k & 0xFFFFF) for k in new.tolist()], dtype=np.int32))
+            known = self.pairs.get(key)
+        return known > 0
+
+    def arcs(self, points: np.ndarray, ends: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """All pieces from each place of ``points``, by length: places and pieces."""
+        at, node, places, pieces = np.arange(len(points)), np.zeros(len(points), dtype=np.int64), [], []
+        for k in range(self.model.longest):
+            inside = at + k < ends[at]
+            at, node = at[inside], node[inside]
+            node = self.trie.get(node << 21 | points[at + k]).astype(np.int64)
+            at, node = at[node >= 0], node[node >= 0]
+            piece = self.piece_at[node]
+            places.append(at[piece >= 0])
+            pieces.append(piece[piece >= 0])
+        return places, pieces
+
+    def encode(self, texts: list[str]) -> list[bytes | None]:
+        """Ids of each text; None where a code point has no piece of its own."""
+        sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+        row = np.repeat(np.arange(len(texts)), sizes)
+        ends = np.repeat(np.cumsum(sizes), sizes)
+        places, pieces = self.arcs(points, ends)
+        bare = np.ones(len(points), dtype=bool)
+        bare[places[0]] = False
+        # a node before each code point and one after the last; arcs by the step at which they end, the longest first
+        start = np.concatenate(places[::-1])
+        length = np.repeat(np.arange(len(places), 0, -1), [len(p) for p in places[::-1]])
+        piece = np.concatenate(pieces[::-1])
+        begin = np.cumsum(sizes) - sizes
+        step = (start + length - begin[row[start]]).astype(np.uint16)
+        order = np.argsort(step, kind="stable")
+        bounds = np.searchsorted(step[order], np.arange(1, int(sizes.max(initial=0)) + 2))
+        first, last = (start + row[start])[order], (start + length + row[start])[order]
+        piece = piece[order]
+        n = len(points) + len(texts)
+        root = begin + np.arange(len(texts))
+        came, by, best = np.full(n, -1, dtype=np.int64), np.full(n, -2, dtype=np.int64), np.full(n, -np.inf)
+        by[root], best[root] = -1, 0.0
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            some = np.arange(a, b)[by[first[a:b]] > -2]
+            if self.model.is_bpe:
+                some = some[self.fits(by[first[some]], piece[some])]
+            else:
+                score = best[first[some]] + self.scores[piece[some]]
+                np.maximum.at(best, last[some], score)
+                some = some[score == best[last[some]]]
+            some = some[::-1]  # of several arcs to one node the longest is written last
+            came[last[some]], by[last[some]] = first[some], piece[some]
+        # back from each text's last node
+        at, texts_at, found, of = root + sizes, np.arange(len(texts)), [], []
+        lost = np.zeros(len(texts), dtype=bool)
+        lost[row[bare]] = True
+        on = ~lost & (sizes > 0)
+        at, texts_at = at[on], texts_at[on]
+        while len(at):
+            found.append(by[at])
+            of.append(texts_at)
+            at = came[at]
+            on = at != root[texts_at]
+            at, texts_at = at[on], texts_at[on]
+        ids, of = (np.concatenate(x[::-1]) if x else np.empty(0, dtype=np.int64) for x in (found, of))
+        order = np.argsort(of, kind="stable")
+        packed = ids[order].astype("<i4").tobytes()
+        cuts = 4 * np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(texts)))))
+        return [None if z else packed[a:b] for z, a, b in zip(lost.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+
 class PieceModel:
     """Pieces, scores and rules of a ``.model`` file."""
 
@@ -97,14 +206,29 @@ class PieceModel:
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == self.BYTE}
         self.unknown = next((i for i, k in enumerate(self.kinds) if k == self.UNKNOWN), 0)
         self.longest = max(map(len, self.ids), default=1)
-        self.across = any(SPACE in p.lstrip(SPACE) for p in self.ids)  # a piece that runs into a new word
-        self.newline_pieces = "\n" if any("\n" in p for p in self.ids) else ""
-        self.lengths = {i: len(p) for p, i in self.ids.items()}
         self.raw = [bytes([int(p[3:5], 16)]) if k == self.BYTE else b"" if k == self.CONTROL else " ⁇ ".encode() if k == self.UNKNOWN else p.replace(SPACE, " ").encode() for p, k in zip(self.pieces, self.kinds, strict=True)]
+        self._histories: dict[int, tuple[list[str], list[str], list[float]] | None] = {}
         self._apart: dict[tuple[int, int], bool] = {}
         self._memo: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}  # the memo before it was full
 
+    @cached_property
+    def lattices(self) -> Lattices:
+        return Lattices(self)
+
+    @cached_property
+    def cuts(self) -> re.Pattern | None:
+        """Cuts of a text at places that no piece runs across, or None where pieces leave no such place."""
+        inside = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}  # neighbours within a piece
+        if any(b == SPACE != a for a, b in inside):
+            return None
+        line = "\n" if not any("\n" in x for x in inside) else ""
+        letter = re.compile(f"[{_LETTERS}]")
+        stops = "".join(c for c in _STOPS if not any(x[1] == c and letter.match(x[0]) for x in inside))
+        word = rf"{SPACE}*[{_LETTERS}]+(?=[{SPACE}{line}{stops}]|\Z)"
+        rest = rf"{SPACE}*[^{SPACE}{line}]+"
+        return re.compile("|".join([word, rest, *([line] if line else []), f"{SPACE}+"]))
+
     @classmethod
     def load(cls, path: str) -> PieceModel:
         with open(path, "rb") as f:
@@ -112,35 +236,55 @@ class PieceModel:
 
     # -- BPE: do two pieces stay apart?
 
-    def merged(self, text: str) -> list[str]:
-        """Merge neighbours, best score first, leftmost among equals."""
-        parts = list(text)
-        while True:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                k = self.ids.get(parts[i] + parts[i + 1])
-                if k is not None and (best is None or self.scores[k] > best):
-                    best, at = self.scores[k], i
-            if at < 0:
-                return parts
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    def history(self, piece: int) -> tuple[list[str], list[str], list[float]] | None:
+        """First and last part of a piece's text before each of its merges, and the score of that merge; None if they don't make the piece."""
+        if piece not in self._histories:
+            parts, first, last, scores = list(self.pieces[piece]), [], [], []
+            while True:
+                best, at = -np.inf, -1
+                for i in range(len(parts) - 1):
+                    k = self.ids.get(parts[i] + parts[i + 1])
+                    if k is not None and self.scores[k] > best:
+                        best, at = self.scores[k], i
+                first.append(parts[0])
+                last.append(parts[-1])
+                scores.append(best)
+                if at < 0:
+                    break
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            self._histories[piece] = (first, last, scores) if len(parts) == 1 else None
+        return self._histories[piece]
 
     def apart(self, a: int, b: int) -> bool:
-        """Piece a before piece b is what the merges make of their text (a < 0: b alone)."""
-        known = self._apart.get((a, b))
-        if known is None:
-            left, right = ("" if a < 0 else self.pieces[a]), self.pieces[b]
-            known = self.merged(left + right) == ([left, right] if a >= 0 else [right])
-            if len(self._apart) > 2_000_000:
-                self._apart.clear()
-            self._apart[a, b] = known
-        return known
+        """Piece a before piece b is what the merges make of their text (a < 0: b alone).
+
+        The merges within both go on as if the other weren't there, the best
+        score first and the left one among equals, until a merge across their
+        border would come before the next of either.
+        """
+        right = self.history(b)
+        if a < 0 or right is None:
+            return right is not None
+        left = self.history(a)
+        if left is None:
+            return False
+        ids, scores, i, j = self.ids, self.scores, 0, 0
+        while True:
+            over = ids.get(left[1][i] + right[0][j])
+            if over is not None and scores[over] > left[2][i] and scores[over] >= right[2][j]:
+                return False
+            if left[2][i] == right[2][j] == -np.inf:
+                return True
+            if left[2][i] >= right[2][j]:
+                i += 1
+            else:
+                j += 1
 
     # -- the lattice
 
     def stream(self, text: str) -> Iterator[list[int]]:
         """Ids of ``text`` (already with space marks), in final pieces as paths converge."""
-        ids, longest, scores, apart = self.ids, self.longest, self.scores, self._apart
+        ids, longest, scores, judged = self.ids, self.longest, self.scores, self._apart
         best: dict[int, tuple[float, int, int]] = {0: (0.0, -1, -1)}  # node -> score, start of its arc, id (-1: none or unknown)
         done = 0
 
@@ -168,7 +312,11 @@ class PieceModel:
                     continue
                 score, _, before = best[start]
                 if self.is_bpe:
-                    if apart.get((before, piece), None) or ((before, piece) not in apart and self.apart(before, piece)):
+                    if (before, piece) not in judged:
+                        if len(judged) > 2_000_000:
+                            judged.clear()
+                        judged[before, piece] = self.apart(before, piece)
+                    if judged[before, piece]:
                         found = (0.0, start, piece)
                         break
                 elif found is None or score + scores[piece] > found[0]:
@@ -191,64 +339,56 @@ class PieceModel:
     def fallback(self, char: str) -> list[int]:
         return [self.bytes[b] for b in char.encode()] if self.bytes else [self.unknown]
 
-    def short(self, text: str) -> list[int] | None:
-        """Ids of a BPE text of one window, all nodes held at once; None where a code point has no piece."""
-        ids, apart, n = self.ids, self._apart, len(text)
-        last, came = [-1] * (n + 1), [0] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(end):
-                piece = ids.get(text[start:end])
-                if piece is not None:
-                    before = last[start]
-                    if start and before < 0:
-                        continue
-                    fits = apart.get((before, piece))
-                    if fits is None:
-                        fits = self.apart(before, piece)
-                    if fits:
-                        last[end], came[end] = piece, start
-                        break
-            else:
-                return None
-        out, at = [], n
-        while at:
-            out.append(last[at])
-            at = came[at]
-        return out[::-1]
-
     # -- texts
 
-    def _segment(self, segment: str) -> bytes:
-        found = self._memo.get(segment)
-        if found is None:
-            found = self._older.pop(segment, None)
-            if found is not None:
-                self._memo[segment] = found
-        if found is None:
-            parts = [p for p in re.split("(\n)", segment) if p] if "\n" not in self.newline_pieces else [segment]
-            if len(parts) > 1:  # no piece runs across a line's end
-                found = b"".join(self._segment(p) for p in parts)
-            else:
-                out = self.short(segment) if self.is_bpe and len(segment) <= self.longest else None
-                if out is None:
-                    out = [i for some in self.stream(segment) for i in some]
-                found = np.array(out, dtype="<i4").tobytes()
-            if len(segment) <= 64:
-                if len(self._memo) >= MEMO:
-                    self._memo, self._older = {}, self._memo
-                self._memo[segment] = found
-        return found
+    def stream_ids(self, text: str) -> bytes:
+        return np.array([i for some in self.stream(text) for i in some], dtype="<i4").tobytes()
+
+    def learn(self, cuts: set[str]) -> None:
+        """Bring the ids of all these cuts into the memo."""
+        new, rows = {}, []
+        for cut in cuts:
+            if cut not in self._memo:
+                if cut in self._older:
+                    new[cut] = self._older[cut]
+                elif len(cut) > ROW:
+                    new[cut] = self.stream_ids(cut)
+                else:
+                    rows.append(cut)
+        rows.sort(key=len)  # those that end at one step are side by side
+        for first in range(0, len(rows), ROWS):
+            some = rows[first : first + ROWS]
+            for cut, ids in zip(some, self.lattices.encode(some), strict=True):
+                new[cut] = self.stream_ids(cut) if ids is None else ids
+        if len(self._memo) + len(new) > MEMO:
+            self._memo, self._older = {}, self._memo
+            new |= {cut: self._older[cut] for cut in cuts if cut in self._older}
+        self._memo.update(new)
+
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text as little-endian 32-bit integers, one after the other."""
+        if self.cuts is None:
+            yield from (self.stream_ids(self.marked(t)) for t in texts)
+            return
+        for a, b in chunks([len(t) for t in texts], TOGETHER):
+            if len(texts[a]) > TOGETHER:  # a chunk of its own: its cuts a part at a time
+                cut, out = (m[0] for m in self.cuts.finditer(self.marked(texts[a]))), []
+                while some := list(islice(cut, TOGETHER // 8)):
+                    self.learn(set(some))
+                    out.append(b"".join(map(self._memo.__getitem__, some)))
+                yield b"".join(out)
+                continue
+            cut = [self.cuts.findall(self.marked(t)) for t in texts[a:b]]
+            self.learn(set().union(*cut))
+            yield from (b"".join(map(self._memo.__getitem__, c)) for c in cut)
+
+    def marked(self, text: str) -> str:
+        """The text with space marks."""
+        text = text.replace(" ", SPACE)
+        return SPACE + text if self.prefix and text else text
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian 32-bit integers, one after the other."""
-        if not text:
-            return b""
-        text = text.replace(" ", SPACE)
-        text = SPACE + text if self.prefix else text
-        if self.across:
-            return np.array([i for some in self.stream(text) for i in some], dtype="<i4").tobytes()
-        memo = self._memo
-        return b"".join([memo.get(s) or self._segment(s) for s in re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", text)])
+        return next(self.encode_all([text]))
 
     def decode(self, ids: list[int]) -> str:
         raw = self.raw
@@ -276,7 +416,7 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
         for batch in batches:
             for first in range(0, batch.num_rows, 1000):
                 part = batch.slice(first, 1000)
-                packed = [model.encode(t or "") for t in part.column(1).to_pylist()]
+                packed = list(model.encode_all([t or "" for t in part.column(1).to_pylist()]))
                 offsets = np.cumsum([0] + [len(p) // 4 for p in packed]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), dtype="<i4"), pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], names=["id", "ids"])
