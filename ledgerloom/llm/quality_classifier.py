@@ -1,23 +1,25 @@
 """Quality classifier: random-indexing word vectors, pooled, then a small network.
 
 1. *Random indexing over all documents.*  Every word has a fixed sparse random
-   index vector (two signed places of ``DIM``, from its name).  The context
-   vector of a word is the sum of the index vectors of its neighbours up to two
-   words away, over the whole corpus.  Words share ``BUCKETS`` rows by hash, so
-   the matrix has one size however large the corpus: tasks sum their part, Spark
-   adds the parts, and only the finished matrix reaches the driver.
+   index vector (two signed places of ``DIM``, from its whole name).  The context
+   vector of a word is the sum of the index vectors of its neighbours up to
+   ``REACH`` words away, over the whole corpus.  Words share ``BUCKETS`` context
+   rows by hash, so that matrix has one size however large the corpus: tasks
+   sum their part in whole numbers, Spark adds the parts, and only the finished
+   matrix reaches the driver.
 2. *Pooling.*  A document's features are the mean of its words' context vectors
-   (each scaled to length one), the mean of its words' own index vectors, and
-   the means of a few word-shape marks that random indexing treats as words too
-   (capitals, doubled words, trailing punctuation ...).  Whole texts always.
+   (each scaled to length one), the mean of its words' index vectors, and its
+   coherence: how well the vectors of words up to ``REACH`` apart agree (mean
+   products of their index and of their context vectors).  Whole texts always.
 3. *Network.*  Two layers in numpy, fitted on a bounded sample of labelled rows
    (``MAX_TRAIN``, the only sampled step, as a fit may be), then one temperature
    on rows kept aside from the fit, so that scores are calibrated.
 
 Defined results: null or empty text has features zero and still gets a score;
-rows that repeat an id are scored row by row; with no labelled rows or only one
-class the score is the share of label 1 (0.5 without any); an empty table gives
-no rows.  Labels, language, source and id are never features.
+rows that repeat an id are scored row by row, and so are ties: equal texts have
+equal scores; with no labelled rows or only one class the score is the share of
+label 1 (0.5 without any); an empty table gives no rows; other columns are
+ignored.  Labels, language, source and id are never features.
 """
 
 from __future__ import annotations
@@ -33,116 +35,92 @@ from .arrow import list_array, texts_of
 from .words import chunks, mix, split_words
 
 BUCKETS = 1 << 15
-DIM = 32
+DIM = 64
 REACH = 2
 #: Labelled rows the network is fitted on, at most.
 MAX_TRAIN = 20_000
 HIDDEN = 24
+FEATURES = 2 * DIM + 2 * REACH
 _SLICES = 32
 
 _U = np.uint64
-_UPPER = np.zeros(256, dtype=bool)
-_UPPER[65:91] = True
-_LOWER = np.zeros(256, dtype=bool)
-_LOWER[97:123] = True
-_LOWER[0x80:] = True
-_DIGIT = np.zeros(256, dtype=bool)
-_DIGIT[48:58] = True
-_MARK = np.zeros(256, dtype=bool)
-_MARK[list(b"#*$%&|<>{}[]=\\^~_@")] = True
-_STOP = np.zeros(256, dtype=bool)
-_STOP[list(b".,;:?!")] = True
-SHAPES = ("capitals", "marked", "digits", "doubled", "seen_two_before", "bang", "stopped", "long", "short", "bare", "long_text", "short_text")
-FEATURES = 2 * DIM + len(SHAPES)
-
-
-def _places(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two (place, sign) pairs of the index vector of each bucket: [n, 2] each."""
-    h = mix(bucket.astype(np.uint64) + _U(0xA5A5A5A5))
-    place = np.stack([h % _U(DIM), (h >> _U(20)) % _U(DIM)], axis=1).astype(np.int64)
-    sign = np.stack([(h >> _U(40)) & _U(1), (h >> _U(41)) & _U(1)], axis=1).astype(np.float32) * 2 - 1
-    return place, sign
-
-
-def _index_matrix() -> np.ndarray:
-    place, sign = _places(np.arange(BUCKETS))
-    out = np.zeros((BUCKETS, DIM), dtype=np.float32)
-    np.add.at(out, (np.arange(BUCKETS)[:, None], place), sign)
-    return out
+
+
+def _places(names: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
+    """The index vectors of words: (places, signs) of their first and of their second entry."""
+    h = mix(names + _U(0xA5A5A5A5))
+    sign = lambda bit: ((h >> _U(bit)) & _U(1)).astype(np.int8) * 2 - 1
+    return ((h % _U(DIM)).astype(np.int64), sign(40)), (((h >> _U(20)) % _U(DIM)).astype(np.int64), sign(41))
 
 
 def context_sums(docs: DataFrame) -> np.ndarray:
-    """Context vectors [BUCKETS, DIM] summed over all rows of ``docs(id, text)``."""
+    """Context vectors [BUCKETS, DIM] summed over all rows of ``docs(id, text)``, in whole numbers."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, sign = _places(np.arange(BUCKETS))
-        total = np.zeros(BUCKETS * DIM, dtype=np.float64)
+        total = np.zeros(BUCKETS * DIM, dtype=np.int64)
         for batch in batches:
             texts = texts_of(batch.column(0))
             for a, b in chunks([len(t) for t in texts]):
                 w = split_words(texts[a:b])
-                bucket = (w.names % _U(BUCKETS)).astype(np.int64)
+                row = (w.names % _U(BUCKETS)).astype(np.int64) * DIM
                 doc = w.docs()
                 at, what = [], []
                 for away in range(1, REACH + 1):
-                    same = np.flatnonzero(doc[away:] == doc[:-away])
-                    left, right = bucket[same], bucket[same + away]
-                    for i in (0, 1):
-                        at += [left * DIM + place[right, i], right * DIM + place[left, i]]
-                        what += [sign[right, i], sign[left, i]]
-                total += np.bincount(np.concatenate(at), weights=np.concatenate(what), minlength=len(total))
-        rows = BUCKETS // _SLICES
-        parts = total.astype(np.float32).reshape(_SLICES, rows * DIM)
-        yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["slice", "sums"])
+                    left = np.flatnonzero(doc[away:] == doc[:-away])
+                    for place, sign in _places(w.names):
+                        at += [row[left] + place[left + away], row[left + away] + place[left]]
+                        what += [sign[left + away], sign[left]]
+                total += np.bincount(np.concatenate(at), weights=np.concatenate(what), minlength=len(total)).astype(np.int64)
+        parts = total.reshape(_SLICES, -1)
+        small = np.abs(parts).max(initial=0) < 1 << 31
+        packed = [p.astype("<i4" if small else "<i8").tobytes() for p in parts]
+        yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES), pa.int32()), pa.array(packed, pa.binary())], names=["slice", "sums"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
+        size = BUCKETS // _SLICES * DIM
         for batch in batches:
-            for k, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                got = np.frombuffer(part, dtype=np.float32).astype(np.float64)
+            for k, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                part = part.as_py()
+                got = np.frombuffer(part, dtype="<i4" if len(part) == 4 * size else "<i8").astype(np.int64)
                 sums[k] = sums[k] + got if k in sums else got
-        yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int32()), pa.array([v.astype(np.float32).tobytes() for v in sums.values()], pa.binary())], names=["slice", "sums"])
+        yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["slice", "sums"])
 
     # every slice has one fixed size; a task holds the slices it was dealt and nothing else
     parts = docs.select("text").mapInArrow(gather, "slice int, sums binary")
     added = parts.repartition(_SLICES, "slice").mapInArrow(add, "slice int, sums binary").collect()
-    out = np.zeros((_SLICES, BUCKETS // _SLICES * DIM), dtype=np.float32)
+    out = np.zeros((_SLICES, BUCKETS // _SLICES * DIM), dtype=np.int64)
     for k, part in added:
-        out[k] = np.frombuffer(part, dtype=np.float32)
+        out[k] = np.frombuffer(part, dtype=np.int64)
     return out.reshape(BUCKETS, DIM)
 
 
+def context_vectors(sums: np.ndarray) -> np.ndarray:
+    """Context vectors of length one (or zero)."""
+    return (sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+
+
 def pooled(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
-    """Features [documents, FEATURES]; ``vectors`` holds context and index vectors side by side."""
+    """Features [documents, FEATURES] from context vectors of length one."""
     out = np.zeros((len(texts), FEATURES), dtype=np.float32)
     for a, b in chunks([len(t) for t in texts], 1 << 19):
         w = split_words(texts[a:b])
-        counts = w.counts
-        has = np.flatnonzero(counts)
+        has = np.flatnonzero(w.counts)
         if not len(has):
             continue
-        n = counts[has, None].astype(np.float32)
-        first = w.offsets[:-1][has]
-        bucket = (w.names % _U(BUCKETS)).astype(np.int64)
-        out[a + has, : 2 * DIM] = np.add.reduceat(vectors[bucket], first, axis=0) / n
-        raw = np.frombuffer(w.data, dtype=np.uint8)
-        length = w.ends - w.starts
-
-        def amount(table: np.ndarray, raw=raw, w=w) -> np.ndarray:
-            sums = np.concatenate(([0], np.cumsum(table[raw], dtype=np.int32)))
-            return sums[w.ends] - sums[w.starts]
-
-        marks, doc, last = amount(_MARK), w.docs(), raw[w.ends - 1]
-        doubled, before = np.zeros(len(length), dtype=bool), np.zeros(len(length), dtype=bool)
-        doubled[1:] = (w.names[1:] == w.names[:-1]) & (doc[1:] == doc[:-1])
-        before[2:] = (w.names[2:] == w.names[:-2]) & (doc[2:] == doc[:-2])
-        shapes = np.stack(
-            [(amount(_UPPER) > amount(_LOWER)) & (length > 1), (marks > 0), amount(_DIGIT) > 0, doubled, before, last == 33, _STOP[last], length > 12, length < 3, marks == length],
-            axis=1,
-        ).astype(np.float32)
-        out[a + has, 2 * DIM : 2 * DIM + shapes.shape[1]] = np.add.reduceat(shapes, first, axis=0) / n
-        size = np.log1p(n[:, 0])
-        out[a + has, -2], out[a + has, -1] = np.maximum(size - 6, 0) / 4, np.maximum(4 - size, 0) / 4
+        n, doc = np.maximum(w.counts, 1), w.docs()
+        context = vectors[(w.names % _U(BUCKETS)).astype(np.int64)]
+        out[a + has, :DIM] = np.add.reduceat(context, w.offsets[:-1][has], axis=0) / n[has, None]
+        entries = _places(w.names)
+        index = sum(np.bincount(doc * DIM + place, weights=sign, minlength=(b - a) * DIM) for place, sign in entries)
+        out[a:b, DIM : 2 * DIM] = index.reshape(-1, DIM) / n[:, None]
+        for away in range(1, REACH + 1):
+            left = np.flatnonzero(doc[away:] == doc[:-away])
+            right = left + away
+            agree = sum((p[left] == q[right]) * (s[left] * t[right]) for p, s in entries for q, t in entries) / 2
+            close = np.einsum("ij,ij->i", context[left], context[right])
+            for k, product in enumerate((agree, close)):
+                out[a:b, 2 * DIM + 2 * (away - 1) + k] = np.bincount(doc[left], weights=product, minlength=b - a) / np.maximum(w.counts - away, 1)
     return out
 
 
@@ -214,10 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     ``labels`` (id, label) must hold only rows that may be learned from.
     """
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    sums = context_sums(own)
-    length = np.linalg.norm(sums, axis=1, keepdims=True)
-    vectors = np.concatenate([sums / np.maximum(length, 1e-9), _index_matrix()], axis=1).astype(np.float32)
-    sent = docs.sparkSession.sparkContext.broadcast(vectors)  # BUCKETS x 2 DIM floats, one size always
+    sent = docs.sparkSession.sparkContext.broadcast(context_vectors(context_sums(own)))  # BUCKETS x DIM floats, one size always
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
