@@ -19,7 +19,7 @@ from .mixing import mix
 from .ngram_jaccard import ngram_jaccard
 from .quality_classifier import quality_classifier
 from .quality_rules import quality_rules
-from .sentencepiece_model import decode_pieces, encode_pieces
+from .sentencepiece_model import decoding, encoding
 from .shared import read_table
 from .substring_dedup import substring_dedup
 from .token_file import read_tokens, write_tokens
@@ -52,19 +52,18 @@ def piece_model_path() -> str:
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Encode every whole text, decode the ids again, and report both."""
+    """Encode every whole text, decode the ids again, and report both; the operator's two passes run in one worker."""
     path = piece_model_path()
-    back = decode_pieces(encode_pieces(read_table(spark, sf_dir, "documents"), path), path)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(1)
-            values, offsets = rows_of(lists, np.uint32)
-            sums = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        for batch in decoding(path)(encoding(path)(batches)):
+            values, offsets = rows_of(batch.column(1), np.uint32)
+            sums = [zlib.crc32(values[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             texts = [hashlib.sha256(t).hexdigest() for t in texts_of(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(sums, pa.int64()), pa.array(texts)], names=["doc_id", "n_ids", "ids_crc32", "decoded_sha256"])
 
-    return back.mapInArrow(digest, "doc_id bigint, n_ids bigint, ids_crc32 bigint, decoded_sha256 string")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.mapInArrow(digest, "doc_id bigint, n_ids bigint, ids_crc32 bigint, decoded_sha256 string")
 
 
 #: What the planted calls may be: a tool with required, listed, nested and repeated arguments.

@@ -30,7 +30,7 @@ from __future__ import annotations
 
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cached_property
 from itertools import islice
 
@@ -407,29 +407,29 @@ def _model(path: str) -> PieceModel:
     return _loaded[path]
 
 
-def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id and ``ids`` (array of int).  ``model_path`` is read on every executor."""
-    id_type = docs.schema[id_col].dataType.simpleString()
+Batches = Iterator[pa.RecordBatch]
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def encoding(model_path: str) -> Callable[[Batches], Batches]:
+    """A pass over batches (id, text) that makes them (id, ids); ``model_path`` is read where it runs."""
+
+    def encode(batches: Batches) -> Batches:
         model = _model(model_path)
         for batch in batches:
-            for first in range(0, batch.num_rows, 1000):
-                part = batch.slice(first, 1000)
+            for first in range(0, batch.num_rows, 500):
+                part = batch.slice(first, 500)
                 packed = list(model.encode_all([t or "" for t in part.column(1).to_pylist()]))
                 offsets = np.cumsum([0] + [len(p) // 4 for p in packed]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), dtype="<i4"), pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], names=["id", "ids"])
 
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(encode, f"id {id_type}, ids array<int>").withColumnRenamed("id", id_col)
+    return encode
 
 
-def decode_pieces(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """One row per row of ``encoded``: id, ``ids`` and the ``text`` they stand for (null ids: empty)."""
-    id_type = encoded.schema[id_col].dataType.simpleString()
+def decoding(model_path: str) -> Callable[[Batches], Batches]:
+    """A pass over batches (id, ids) that makes them (id, ids, text)."""
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def decode(batches: Batches) -> Batches:
         model = _model(model_path)
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
@@ -438,5 +438,18 @@ def decode_pieces(encoded: DataFrame, model_path: str, id_col: str = "doc_id", i
                 texts = [model.decode(values[a:b].tolist()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(texts, pa.string())], names=["id", "ids", "text"])
 
+    return decode
+
+
+def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id and ``ids`` (array of int).  ``model_path`` is read on every executor."""
+    id_type = docs.schema[id_col].dataType.simpleString()
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return own.mapInArrow(encoding(model_path), f"id {id_type}, ids array<int>").withColumnRenamed("id", id_col)
+
+
+def decode_pieces(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """One row per row of ``encoded``: id, ``ids`` and the ``text`` they stand for (null ids: empty)."""
+    id_type = encoded.schema[id_col].dataType.simpleString()
     own = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
-    return own.mapInArrow(decode, f"id {id_type}, ids array<int>, text string").toDF(id_col, "ids", "text")
+    return own.mapInArrow(decoding(model_path), f"id {id_type}, ids array<int>, text string").toDF(id_col, "ids", "text")
