@@ -14,12 +14,18 @@ of ``LONG`` words or more take no further part.  Whether there is a symbol
 boundary at a word then depends on the ``LOSS`` words on either side only, so
 equal substrings have the same boundaries but for their outermost ``LOSS`` words.
 
-*Reveal.*  Every window has an anchor: of the boundaries within its consistent
-interior, the one whose phrase (``PHRASE`` words from there on) has the least
-name.  The anchor depends on the window's words only, so two equal windows meet
-at the phrase's name.  Consecutive windows with one phrase are one row (a passage
-that repeats a few words over and over is one, too): about one row for 12 words
-of text, shuffled once by the phrase's name.
+*Reveal.*  Every window has an anchor: of the symbol boundaries within its
+consistent interior, the one whose *phrase*, the symbols that lie in the
+``PHRASE`` words from there on, has the least name.  A phrase's name is a digest
+of its symbols, and it lies in the interior with all of them, so it depends on the
+window's words only and two equal windows meet at it.  Consecutive windows with
+one phrase are one row (a passage that repeats a few words over and over is one,
+too), shuffled once by the phrase's name.
+
+*Combine.*  Of equal windows in one batch of documents, all but those with the
+smallest id are removed there and then: whatever other batches hold, a smaller id
+has them.  Only the others are shuffled, so a passage that a third of all
+documents share sends each of its windows once for each batch, not for each document.
 
 *Verify.*  Rows that meet compare their windows' names; the smallest id having
 each window decides.  A phrase of more than ``CROWD`` rows is not compared in
@@ -41,13 +47,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow import texts_of
 from .shared import write_table
-from .words import chunks, mix, split_words, whole, window_names
+from .words import chunks, mix, powers, split_words, whole, window_names
 
 WINDOW = 50
 ROUNDS = 3
@@ -55,6 +62,8 @@ LONG = 4
 #: Words from a window's edge within which boundaries may depend on what is outside.
 LOSS = (LONG - 1) * (ROUNDS + 1)
 PHRASE = 16
+#: Text of a batch whose equal windows are combined before they are shuffled.
+COMBINE_BYTES = 16 << 20
 #: Rows of one phrase that a task compares at once, and windows that it remembers of a phrase with more.
 CROWD = 1 << 16
 CROWD_WINDOWS = 1 << 21
@@ -63,10 +72,10 @@ _U = np.uint64
 _FAR = _U(0xFFFFFFFFFFFFFFFF)
 
 
-def boundaries(names: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """First words of the symbols that are left after all rounds."""
+def symbols(names: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The symbols that are left after all rounds: first word, name and number of words of each."""
     if not len(names):
-        return np.empty(0, dtype=np.int64)
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
     new = np.ones(len(names), dtype=bool)
     new[1:] = (names[1:] != names[:-1]) | (doc[1:] != doc[:-1])
     start = np.flatnonzero(new)
@@ -82,25 +91,29 @@ def boundaries(names: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS) -> np.n
         left = np.ones(len(symbol), dtype=bool)
         left[pair + 1] = False
         symbol, size, start, own = symbol[left], size[left], start[left], own[left]
-    return start
-
-
-def anchors(names: np.ndarray, doc: np.ndarray, starts: np.ndarray, phrases: np.ndarray) -> np.ndarray:
-    """For each window start, the word at which its anchor begins, or -1."""
-    worth = np.full(len(names) + WINDOW, _FAR, dtype=np.uint64)
-    at = boundaries(names, doc)
-    at = at[at < len(phrases)]
-    worth[at] = phrases[at]
-    best = np.arange(len(worth))
-    reach, span = 1, WINDOW - LOSS - max(LOSS, PHRASE) + 1  # the anchor lies in the interior and its phrase in the window
-    while reach < span:
+    return start, symbol, size
+
+
+def phrase_names(start: np.ndarray, symbol: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each symbol, a digest of the symbols from it on that end within ``PHRASE`` words (its own at least)."""
+    first = np.arange(len(start))
+    after = np.maximum(np.searchsorted(start + size, start + PHRASE, side="right"), first + 1)
+    up, down = powers(len(start) + 1)
+    sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(symbol * up[: len(start)], dtype=np.uint64)))
+    return mix((sums[after] - sums[first]) * down[: len(start)] + (after - first).astype(np.uint64))
+
+
+def anchors(n_words: int, starts: np.ndarray, at: np.ndarray, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each window start, whether it has an anchor, and the name of the anchor's phrase."""
+    worth = np.full(n_words + WINDOW, _FAR, dtype=np.uint64)
+    worth[at] = phrases
+    reach, span = 1, WINDOW - 2 * LOSS - PHRASE + 1  # the phrase lies in the interior
+    while reach < span:  # the least within ``reach`` words from each word on
         step = min(reach, span - reach)
-        ahead = best[step:]
-        here = best[: len(ahead)]
-        best = np.where(worth[here] <= worth[ahead], here, ahead)
+        worth = np.minimum(worth[: len(worth) - step], worth[step:])
         reach += step
-    found = best[starts + LOSS]
-    return np.where(worth[found] == _FAR, -1, found)
+    found = worth[starts + LOSS]
+    return found != _FAR, found
 
 
 def anchored_rows(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -111,10 +124,10 @@ def anchored_rows(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray,
         if not len(starts):
             continue
         doc = w.docs()
-        phrases = window_names(w.names, PHRASE)
-        anchor = anchors(w.names, doc, starts, phrases)
+        at, symbol, size = symbols(w.names, doc)
+        has, phrase = anchors(len(w.names), starts, at, phrase_names(at, symbol, size))
         windows = window_names(w.names, WINDOW)[starts]
-        key = np.where(anchor >= 0, phrases[np.maximum(anchor, 0)], windows)
+        key = np.where(has, phrase, windows)
         own = doc[starts]
         new = np.ones(len(starts), dtype=bool)
         new[1:] = (key[1:] != key[:-1]) | (own[1:] != own[:-1])
@@ -122,6 +135,19 @@ def anchored_rows(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray,
         yield a + own[first], key[first], starts[first] - w.offsets[own[first]], np.diff(np.append(first, len(starts))), windows
 
 
+def combined(key: np.ndarray, ids: np.ndarray, at: np.ndarray, counts: np.ndarray, windows: np.ndarray) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """Rows of a batch (phrase, id, mark and first window, windows) as rows still to compare, and spans (id, mark and first, last) that a smaller id of the batch has."""
+    order = np.lexsort((ids, key))
+    ends = np.cumsum(counts)
+    place = np.repeat((ends - counts)[order] - np.concatenate(([0], np.cumsum(counts[order])[:-1])), counts[order]) + np.arange(len(windows))
+    key, ids, at, counts, windows = key[order], ids[order], at[order], counts[order], windows[place]
+    removed = removed_windows(key, ids, counts, windows)
+    row, first, last = spans_of(at & 0xFFFFFFFF, counts, removed)
+    gone = ids[row], at[row] >> 32 << 32 | first, last
+    row, first, last = spans_of(at & 0xFFFFFFFF, counts, ~removed)
+    return (key[row], ids[row], at[row] >> 32 << 32 | first, last - first + 1, windows[~removed]), gone
+
+
 def removed_windows(key: np.ndarray, ids: np.ndarray, counts: np.ndarray, windows: np.ndarray) -> np.ndarray:
     """For rows sorted by (key, id): which windows a smaller id has under the same key."""
     new = np.ones(len(key), dtype=bool)
@@ -147,7 +173,10 @@ def removed_windows(key: np.ndarray, ids: np.ndarray, counts: np.ndarray, window
 
 
 def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows to remove, from rows sorted by (key, id); those of a crowd that find no room come with their key and name."""
+    """Windows to remove, from rows sorted by (key, id); those of a crowd that find no room come with their key and name.
+
+    Rows with a last window are spans that are decided already.
+    """
     names = ["id", "mark", "first", "last", "key", "window"]
     none = pa.nulls
 
@@ -197,6 +226,12 @@ def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen, seen_ids = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
     full = False  # some windows of this crowd found no room: no more are taken in
     for batch in batches:
+        decided = batch.column(4).is_valid()
+        if decided.true_count:
+            some = batch.filter(decided)
+            at, n = some.column(2).to_numpy(), some.num_rows
+            yield pa.RecordBatch.from_arrays([some.column(1), pa.array(at >> 32), pa.array((at & 0xFFFFFFFF).astype(np.int32)), some.column(4), none(n, pa.int64()), none(n, pa.int64())], names=names)
+            batch = batch.filter(pc.invert(decided))
         if not batch.num_rows:
             continue
         key = batch.column(0).to_numpy()
@@ -269,14 +304,24 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = own.withColumn("mark", mark)
 
     def anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "id", "at", "windows", "last"]
         for batch in batches:
-            ids, marks = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
-            for at, key, first, counts, windows in anchored_rows(texts_of(batch.column(1))):
+            all_ids, marks = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
+            texts = texts_of(batch.column(1))
+            for a, b in chunks([len(t) for t in texts], COMBINE_BYTES):
+                found = list(anchored_rows(texts[a:b]))
+                if not found:
+                    continue
+                of, key, first, counts, windows = (np.concatenate(x) for x in zip(*found, strict=True))
+                (key, ids, at, counts, windows), gone = combined(key, all_ids[a + of], (marks[a + of] << 32) | first, counts, windows)
                 ends = np.cumsum(counts).astype(np.int64) * 8
                 named = pa.Array.from_buffers(pa.binary(), len(key), [None, pa.py_buffer(np.concatenate(([0], ends)).astype(np.int32)), pa.py_buffer(windows.tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[at]), pa.array((marks[at] << 32) | first), named], names=["key", "id", "at", "windows"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids), pa.array(at), named, pa.nulls(len(key), pa.int32())], names=names)
+                if len(gone[0]):  # decided; they travel with the rest, dealt by their ids
+                    n = len(gone[0])
+                    yield pa.RecordBatch.from_arrays([pa.array(mix(gone[0].astype(np.uint64)).view(np.int64)), pa.array(gone[0]), pa.array(gone[1]), pa.nulls(n, pa.binary()), pa.array(gone[2].astype(np.int32))], names=names)
 
-    rows = own.where("id IS NOT NULL").select("id", "text", "mark").mapInArrow(anchor, "key bigint, id bigint, at bigint, windows binary")
+    rows = own.where("id IS NOT NULL").select("id", "text", "mark").mapInArrow(anchor, "key bigint, id bigint, at bigint, windows binary, last int")
     rows = rows.repartition("key").sortWithinPartitions("key", "id")
 
     met = write_table(rows.mapInArrow(meet, "id bigint, mark bigint, first int, last int, key bigint, window bigint"), "substring-spans")
@@ -297,5 +342,6 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
     for name, column in zip(carried, carry, strict=True):
         schema = schema.add(name, docs.schema[column].dataType)
-    joined = own.join(spans.hint("shuffle_hash"), ["id", "mark"], "left").select("id", "text", "spans", *carried)
+    joined = own.where("id IS NOT NULL").join(spans.hint("shuffle_hash"), ["id", "mark"], "left")
+    joined = joined.unionByName(own.where("id IS NULL"), allowMissingColumns=True).select("id", "text", "spans", *carried)
     return joined.mapInArrow(trim, schema).toDF(id_col, "n_words", "n_removed", "kept_text", *carry)
