@@ -15,7 +15,7 @@ from ledgerloom.llm.ngram_jaccard import keep_representatives
 from ledgerloom.llm.quality_classifier import keep_quality
 from ledgerloom.llm.queries import held_out, piece_model_path
 from ledgerloom.llm.sentencepiece_model import encode_pieces
-from ledgerloom.llm.shared import compact, read_table, write_table
+from ledgerloom.llm.shared import drop_table, read_table, write_table
 from ledgerloom.llm.substring_dedup import substring_dedup
 
 
@@ -26,19 +26,19 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest id of each class of five-word shingle sets linked at 0.8 or more."""
-    return compact(keep_representatives(docs))
+    return keep_representatives(docs)
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without words of 50-word windows that an earlier document has; n_chars follows the text."""
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
     cut = substring_dedup(docs, carry=others).withColumnRenamed("kept_text", "text")
-    return compact(cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns))
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the entropy-balanced mix takes them."""
-    return compact(take(docs))
+    return take(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,5 +62,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = write_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs, done = write_table(stage(spark, docs, sf_dir), f"pipeline-{name}"), docs
+        drop_table(done)  # nothing reads a stage's input once its output is written
     return docs
