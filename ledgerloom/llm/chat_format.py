@@ -46,12 +46,9 @@ _KINDS = {"BIGINT": "integer", "DOUBLE": "number", "DECIMAL": "number", "STRING"
 
 
 def json_kind(value: Column) -> Column:
-    """JSON schema type of a variant."""
-    word = F.regexp_extract(F.schema_of_variant(value), r"^\w+", 0)
-    out = F.lit("other")
-    for spark, kind in _KINDS.items():
-        out = F.when(word == spark, kind).otherwise(out)
-    return out
+    """JSON schema type of a variant; null of null."""
+    kinds = F.create_map(*[F.lit(x) for pair in _KINDS.items() for x in pair])
+    return F.coalesce(F.element_at(kinds, F.regexp_extract(F.schema_of_variant(value), r"^\w+", 0)), F.when(value.isNotNull(), "other"))
 
 
 def _strings(*some: Column) -> Column:
@@ -60,10 +57,14 @@ def _strings(*some: Column) -> Column:
 
 def schema_problems(value: Column, schema: Column, name: Column | None = None, levels: int = LEVELS) -> Column:
     """What is wrong with a JSON text under a JSON schema's text, as an array; ``name`` is the place of the value."""
-    parsed = F.try_parse_json(value)
-    kind, told = json_kind(parsed), F.get_json_object(schema, "$.type")
-    own = F.lit("arguments") if name is None else name
-    child = lambda key: key if name is None else F.concat(name, F.lit("."), key)
+    # one element, so that what is in it is an expression once and not wherever it is used
+    bound = F.struct(value.alias("value"), schema.alias("schema"), (F.lit("arguments") if name is None else name).alias("own"), json_kind(F.try_parse_json(value)).alias("kind"))
+    return F.flatten(F.transform(F.array(bound), lambda x: _problems(x["value"], x["schema"], x["own"], x["kind"], name is None, levels)))
+
+
+def _problems(value: Column, schema: Column, own: Column, kind: Column, top: bool, levels: int) -> Column:
+    told = F.get_json_object(schema, "$.type")
+    child = lambda key: key if top else F.concat(own, F.lit("."), key)
     listed = F.transform(F.from_json(F.get_json_object(schema, "$.enum"), "array<variant>"), lambda v: F.to_json(v))
     given = F.coalesce(F.json_object_keys(value), _strings())
     declared = F.from_json(F.get_json_object(schema, "$.properties"), "map<string,string>")
@@ -71,16 +72,18 @@ def schema_problems(value: Column, schema: Column, name: Column | None = None, l
     strict = declared.isNotNull() & (F.coalesce(F.get_json_object(schema, "$.additionalProperties"), F.lit("false")) != "true")
     found = [
         F.when(told.isNotNull() & (told != kind) & ~((told == "number") & (kind == "integer")), _strings(F.concat(F.lit("type of "), own))),
-        F.when(listed.isNotNull() & ~F.array_contains(listed, F.to_json(parsed)), _strings(F.concat(F.lit("value of "), own))),
+        F.when(listed.isNotNull() & ~F.array_contains(listed, F.to_json(F.try_parse_json(value))), _strings(F.concat(F.lit("value of "), own))),
         F.when(kind == "object", F.transform(F.array_except(needed, given), lambda k: F.concat(F.lit("missing "), child(k)))),
         F.when((kind == "object") & strict, F.transform(F.array_except(given, F.map_keys(declared)), lambda k: F.concat(F.lit("undeclared "), child(k)))),
     ]
     items = F.get_json_object(schema, "$.items")
     if levels:
-        fields = F.from_json(value, "map<string,variant>")
-        inside = F.transform(F.array_intersect(F.map_keys(declared), given), lambda k: schema_problems(F.to_json(F.element_at(fields, k)), F.element_at(declared, k), child(k), levels - 1))
+        both = F.struct(F.from_json(value, "map<string,variant>").alias("fields"), declared.alias("declared"))
+        inside = F.flatten(F.transform(F.array(both), lambda b: F.flatten(F.transform(
+            F.array_intersect(F.map_keys(b["declared"]), given), lambda k: schema_problems(F.to_json(F.element_at(b["fields"], k)), F.element_at(b["declared"], k), child(k), levels - 1)
+        ))))
         each = F.transform(F.from_json(value, "array<variant>"), lambda x, i: schema_problems(F.to_json(x), items, F.concat(own, F.lit("["), i.cast("string"), F.lit("]")), levels - 1))
-        found += [F.when((kind == "object") & declared.isNotNull(), F.flatten(inside)), F.when((kind == "array") & items.isNotNull(), F.flatten(each))]
+        found += [F.when((kind == "object") & declared.isNotNull(), inside), F.when((kind == "array") & items.isNotNull(), F.flatten(each))]
     else:
         found.append(F.when((kind == "object") & declared.isNotNull() | (kind == "array") & items.isNotNull(), _strings(F.concat(F.lit("unchecked "), own))))
     return F.concat(*[F.coalesce(f, _strings()) for f in found])
