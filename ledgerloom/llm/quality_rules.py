@@ -2,8 +2,8 @@
 
 Each rule looks at one surface statistic of the whole text and votes good (1),
 bad (-1) or abstains (0).  Nobody knows how good a rule is: expectation
-maximisation estimates, for either class, how often each rule is right when it
-votes, from how the rules agree over all documents.  A document is kept when
+maximisation estimates, for good texts and for each kind of junk, how often each
+rule is right when it votes, from how the rules agree over all documents.  A document is kept when
 the posterior probability of the good class is at least ``threshold``, not
 when it passes every rule.
 
@@ -21,7 +21,7 @@ what goes to the driver, and the posterior of each pattern is what comes back.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,12 +37,13 @@ SYMBOLS = b"#*$%&|<>"
 _SPACE = b" \t\n\x0b\x0c\r"
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes(range(97, 123))
+_LETTERS = _UPPER + _LOWER + bytes(range(0xC3, 0x100))  # and the first byte of any code point from U+00C0 on
 _FOLLOWING = bytes(range(0x80, 0xC0))  # UTF-8 bytes that continue a code point
 _ENDS = (b".", b"!", b"?", b":", b'"', b"'", b")", "…".encode(), "”".encode(), "»".encode())
 
 STATISTICS = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-    "n_lines", "n_ended_lines", "n_upper", "n_lower", "n_exclaim", "n_distinct",
+    "n_lines", "n_ended_lines", "n_upper", "n_lower", "n_exclaim", "n_distinct", "n_letters",
 )
 
 
@@ -94,6 +95,7 @@ def statistics_of(texts: list[bytes]) -> dict[str, np.ndarray]:
         out["n_lower"] += [len(t) - len(t.translate(None, _LOWER)) for t in part]
         out["n_exclaim"] += [t.count(b"!") for t in part]
         out["n_distinct"] += distinct.tolist()
+        out["n_letters"] += [len(t) - len(t.translate(None, _LETTERS)) for t in part]
     return {k: np.asarray(v, dtype=np.int64) for k, v in out.items()}
 
 
@@ -117,50 +119,61 @@ RULES = (
     Rule("lines", good="n_dup_lines = 0", bad="3 * n_dup_lines >= n_lines AND n_dup_lines >= 2"),
     Rule("endings", good="2 * n_ended_lines >= n_lines", bad="10 * n_ended_lines < n_lines AND n_lines >= 3"),
     Rule("word_length", good="word_chars BETWEEN 3 * n_words AND 9 * n_words", bad="word_chars < 2 * n_words OR word_chars > 15 * n_words"),
-    Rule("marked_up", good="100 * n_symbols <= word_chars", bad="25 * n_symbols >= word_chars AND n_symbols >= 5"),
+    Rule("letters", good="25 * n_letters >= 23 * word_chars", bad="5 * n_letters < 4 * word_chars AND word_chars >= 20"),
     Rule("variety", good="5 * n_distinct >= 2 * n_words OR n_distinct >= 300", bad="8 * n_distinct < n_words AND n_distinct < 300"),
 )
 
 
-#: Where EM starts: a junk text trips few of the rules, a good one hardly any.
-START_RIGHT = (0.3, 0.98)
-START_PRIOR = 0.8
+#: Junk comes in kinds: rules that look at one side of a text tend to fail together, and as evidence they count together.
+KINDS = (("symbols", "letters"), ("capitals", "exclaims"), ("repeats", "lines", "variety"))
+#: Where EM starts: how often a rule that votes is right of a good text, of junk of its own kind and of another one; the share of good texts.
+START_GOOD, START_OWN, START_OTHER, START_PRIOR = 0.98, 0.7, 0.1, 0.8
 
 
-def fit_em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[float, np.ndarray]:
-    """Prior of the good class and rule accuracies [class, rule] from vote patterns.
+def start_of(names: Sequence[str], kinds: Sequence[Sequence[str]] = KINDS) -> np.ndarray:
+    """Where EM starts: accuracies [kind, rule] of rules of junk."""
+    return np.array([[START_OWN if n in kind else START_OTHER for n in names] for kind in kinds])
 
-    ``right[0, j]`` is how often rule j says bad of a bad document when it
-    votes, ``right[1, j]`` how often it says good of a good one.  Both and the
-    prior start at fixed values and carry them as pseudo-counts (a few
-    thousandths of the corpus), which keeps "good" the class that good votes
-    point to and keeps a rule that never votes where it started.
+
+def fit_em(patterns: np.ndarray, counts: np.ndarray, start: np.ndarray, rounds: int = 300) -> tuple[np.ndarray, np.ndarray]:
+    """Shares [class] and rule accuracies [class, rule] from vote patterns; class 0 is good, the others are kinds of junk.
+
+    ``right[0, j]`` is how often rule j says good of a good document when it
+    votes, ``right[k, j]`` how often it says bad of junk of kind k.  All start at
+    fixed values and carry them as pseudo-counts (a few thousandths of the
+    corpus), which keeps classes what they are called and keeps a rule that
+    never votes where it started.
     """
-    k = patterns.shape[1]
-    start = np.repeat(np.array(START_RIGHT)[:, None], k, axis=1)
-    prior, right = START_PRIOR, start
+    start = np.vstack([np.full(start.shape[1], START_GOOD), start])
+    first = np.concatenate(([START_PRIOR], np.full(len(start) - 1, (1 - START_PRIOR) / (len(start) - 1))))
+    prior, right = first, start
     total = counts.sum()
     if not total:
         return prior, right
     weight = max(10.0, 0.002 * total)
     for _ in range(rounds):
-        good = posterior(patterns, prior, right)
+        share = memberships(patterns, prior, right) * counts[:, None]
         was = right
-        share = np.stack([(1 - good) * counts, good * counts])
-        votes = np.stack([share[0] @ (patterns != 0), share[1] @ (patterns != 0)])
-        hits = np.stack([share[0] @ (patterns == -1), share[1] @ (patterns == 1)])
+        votes = share.T @ (patterns != 0)
+        hits = np.vstack([share[:, :1].T @ (patterns == 1), share[:, 1:].T @ (patterns == -1)])
         right = (hits + start * weight) / (votes + weight)
-        prior = float((share[1].sum() + START_PRIOR * weight) / (total + weight))
+        prior = (share.sum(axis=0) + first * weight) / (total + weight)
         if np.abs(right - was).max() < 1e-9:
             break
     return prior, right
 
 
-def posterior(patterns: np.ndarray, prior: float, right: np.ndarray) -> np.ndarray:
-    odds = np.full(len(patterns), np.log(prior / (1 - prior)))
-    odds += (patterns == 1) @ np.log(right[1] / (1 - right[0]))
-    odds += (patterns == -1) @ np.log((1 - right[1]) / right[0])
-    return 1 / (1 + np.exp(-np.clip(odds, -60, 60)))
+def memberships(patterns: np.ndarray, prior: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Probabilities [pattern, class]."""
+    says_good = np.vstack([right[:1], 1 - right[1:]])
+    log = np.log(prior) + (patterns == 1) @ np.log(says_good).T + (patterns == -1) @ np.log(1 - says_good).T
+    odds = np.exp(log - log.max(axis=1, keepdims=True, initial=-np.inf)) if len(log) else log
+    return odds / odds.sum(axis=1, keepdims=True)
+
+
+def posterior(patterns: np.ndarray, prior: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Probability of the good class."""
+    return memberships(patterns, prior, right)[:, 0]
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -183,7 +196,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     order = np.argsort(codes)
     codes, counts = codes[order], counts[order]
     patterns = np.stack([codes // 3**i % 3 - 1 for i in range(len(RULES))], axis=1) if len(codes) else np.empty((0, len(RULES)))
-    prior, right = fit_em(patterns, counts)
+    prior, right = fit_em(patterns, counts, start_of([r.name for r in RULES]))
     good = posterior(patterns, prior, right)
     table = docs.sparkSession.createDataFrame([(int(c), float(round(p, 9))) for c, p in zip(codes, good, strict=True)], "pattern int, quality_probability double")
     return (
