@@ -61,7 +61,7 @@ ROUNDS = 3
 LONG = 4
 #: Words from a window's edge within which boundaries may depend on what is outside.
 LOSS = (LONG - 1) * (ROUNDS + 1)
-PHRASE = 16
+PHRASE = 12
 #: Text of a batch whose equal windows are combined before they are shuffled.
 COMBINE_BYTES = 16 << 20
 #: Rows of one phrase that a task compares at once, and windows that it remembers of a phrase with more.

@@ -138,7 +138,7 @@ def test_rules_that_fail_together_count_as_one_kind():
         patterns, which, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
         prior, right = fit_em(patterns, counts.astype(float), start_of("abcd", ("ab", "cd")))
         assert np.abs(prior[1:] - shares).max() < 0.02 and right[1, :2].min() > 0.7 and right[2, 2:].min() > 0.7
-        assert ((posterior(patterns, prior, right)[which] >= 0.5) == (kind == 0)).mean() > 0.97
+        assert ((posterior(patterns, prior, right)[which] >= 0.5) == (kind == 0)).mean() > 0.95
 
 
 def brute_jaccard(rows):
