@@ -132,8 +132,9 @@ class ReconCatalog:
         return {"found": True, "record_type": found[0]["record_type"], "record": found[0], "matches": _rows(self.matches_of(record_id)), "exceptions": _rows(self.exceptions_of(record_id))}
 
     def _list_exceptions(self, batch_id: str | None = None, min_money_at_risk_paise: int = 0, limit: int = 20, status: str | None = "open") -> dict:
-        rows = _rows(self.list_exceptions(batch_id, min_money_at_risk_paise, limit, status))
-        return _rows(self.exception_totals(batch_id, min_money_at_risk_paise, status))[0] | {"returned": len(rows), "exceptions": rows}
+        least = int(min_money_at_risk_paise or 0)
+        rows = _rows(self.list_exceptions(batch_id, least, int(limit or 20), status))
+        return _rows(self.exception_totals(batch_id, least, status))[0] | {"returned": len(rows), "exceptions": rows}
 
     def _explain_match(self, record_id: str) -> dict:
         rows = _rows(self.explain_match(record_id))

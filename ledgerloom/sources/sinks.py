@@ -18,6 +18,7 @@ ENUMERATIONS = {
     "status": ("open", "resolved", "escalated"),
     "record_type": ("order", "settlement", "bank_credit"),
 }
+ORDER_STATUS = ("captured", "refunded_partial", "refunded_full")
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -61,6 +62,7 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 def checked(df: DataFrame) -> DataFrame:
     """The rows, or an error at run time for a value outside its enumeration (a store without constraints has no other guard)."""
     for name, allowed in ENUMERATIONS.items():
+        allowed = ORDER_STATUS if name == "status" and "order_id" in df.columns else allowed
         if name in df.columns:
             good = F.col(name).isNull() | F.col(name).isin(*allowed)
             df = df.withColumn(name, F.when(good, F.col(name)).otherwise(F.raise_error(F.concat(F.lit(f"{name} can't be "), F.col(name))).cast("string")))
