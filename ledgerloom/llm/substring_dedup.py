@@ -293,11 +293,21 @@ def cut(text: bytes, spans: list[int]) -> tuple[int, int, bytes]:
     return n, int(gone.sum()), b"".join(parts)
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: id, ``n_words``, ``n_removed``, ``kept_text`` (the text without the removed words).
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id, ``n_words``, ``n_removed``, ``kept_text`` (the text without the removed words)."""
+    return _cut_texts(docs, id_col, text_col, ()).toDF(id_col, "n_words", "n_removed", "kept_text")
 
-    ``carry`` names further columns to pass through.
-    """
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, with their texts cut; null texts become empty."""
+    carry = tuple(c for c in docs.columns if c not in (id_col, text_col))
+    found = _cut_texts(docs, id_col, text_col, carry)
+    own = {id_col: "id", text_col: "kept_text"} | {c: f"carried_{i}" for i, c in enumerate(carry)}
+    return found.select(*[F.col(own[c]).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+
+
+def _cut_texts(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...]) -> DataFrame:
+    """(id, n_words, n_removed, kept_text) and the columns ``carry`` under names of their own."""
     carried = [f"carried_{i}" for i in range(len(carry))]
     own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(n) for c, n in zip(carry, carried, strict=True)))
     mark = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND((1 << 31) - 1)  # tells texts of one id apart
@@ -344,4 +354,4 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         schema = schema.add(name, docs.schema[column].dataType)
     joined = own.where("id IS NOT NULL").join(spans.hint("shuffle_hash"), ["id", "mark"], "left")
     joined = joined.unionByName(own.where("id IS NULL"), allowMissingColumns=True).select("id", "text", "spans", *carried)
-    return joined.mapInArrow(trim, schema).toDF(id_col, "n_words", "n_removed", "kept_text", *carry)
+    return joined.mapInArrow(trim, schema)
