@@ -16,7 +16,7 @@ from ledgerloom.llm.quality_classifier import keep_quality
 from ledgerloom.llm.queries import held_out, piece_model_path
 from ledgerloom.llm.sentencepiece_model import encode_pieces
 from ledgerloom.llm.shared import drop_table, read_table, write_table
-from ledgerloom.llm.substring_dedup import substring_dedup
+from ledgerloom.llm.substring_dedup import without_repeats
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,9 +31,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without words of 50-word windows that an earlier document has; n_chars follows the text."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    cut = substring_dedup(docs, carry=others).withColumnRenamed("kept_text", "text")
-    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return without_repeats(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
