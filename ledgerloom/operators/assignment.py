@@ -15,7 +15,7 @@ from ..config import Config
 from ..functions.predicates import Rule
 from ..sources.sinks import drop_kept, kept
 from .rules import expected_net, expected_window, explaining_rule
-from .solvers import disambiguate, solve_component, subset_sums
+from .solvers import disambiguate, solve_edges, subset_sums
 
 
 #: Edges that one task joins up in memory (16 bytes each); beyond that rounds over tables do the same.
@@ -126,16 +126,15 @@ def star_bindings(pairs: DataFrame, config: Config) -> DataFrame:
 
 
 def solved_bindings(pairs: DataFrame, config: Config) -> DataFrame:
-    """Bindings of every component by the Hungarian method or min-cost flow."""
+    """Bindings of every component by the Hungarian method or min-cost flow, over its pairs alone."""
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        orders, settlements = sorted(set(rows["o_order_id"])), sorted(set(rows["s_id"]))
-        cost = np.full((len(orders), len(settlements)), 1e6)
-        at = {k: i for i, k in enumerate(orders)}, {k: i for i, k in enumerate(settlements)}
-        for r in rows.itertuples():
-            cost[at[0][r.o_order_id], at[1][r.s_id]] = r.cost
-        method, bound = solve_component(cost, config.sink_cost, config.max_bindings)
-        return pd.DataFrame([(rows["component"].iloc[0], orders[i], settlements[j], float(cost[i, j]), method) for i, j in bound], columns=["component", "o_order_id", "s_id", "cost", "method"])
+        orders, o = np.unique(rows["o_order_id"].to_numpy(dtype=str), return_inverse=True)
+        settlements, s = np.unique(rows["s_id"].to_numpy(dtype=str), return_inverse=True)
+        edges = list(zip(o.tolist(), s.tolist(), rows["cost"].tolist(), strict=True))
+        method, bound = solve_edges(len(orders), len(settlements), edges, config.sink_cost, config.max_bindings)
+        cost = {(i, j): c for i, j, c in edges}
+        return pd.DataFrame([(rows["component"].iloc[0], str(orders[i]), str(settlements[j]), cost[i, j], method) for i, j in bound], columns=["component", "o_order_id", "s_id", "cost", "method"])
 
     return pairs.select("component", "o_order_id", "s_id", "cost").groupBy("component").applyInPandas(solve, "component string, o_order_id string, s_id string, cost double, method string")
 

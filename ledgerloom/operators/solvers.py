@@ -56,9 +56,12 @@ def assign_square(cost: np.ndarray, sink: float) -> list[tuple[int, int]]:
     return [(i, j) for i, j in enumerate(hungarian(padded)[:n]) if j < m]
 
 
-def assign_flow(cost: np.ndarray, sink: float, capacity: int) -> list[tuple[int, int]]:
-    """Min-cost flow: every settlement binds to an order of ``capacity`` or bypasses at the sink's cost."""
-    n, m = cost.shape
+def assign_sparse(n: int, m: int, edges: Sequence[tuple[int, int, float]], bypass: float, capacity: int, unit: int) -> list[tuple[int, int]]:
+    """Min-cost flow over the given (order, settlement, cost) edges alone, costs cut to whole parts of ``unit``.
+
+    Every settlement binds to an order, which takes ``capacity`` of them, or
+    bypasses at its cost; an edge that isn't below that is never taken.
+    """
     source, target = n + m, n + m + 1
     graph: list[list[int]] = [[] for _ in range(n + m + 2)]
     to, room, price = [], [], []
@@ -73,11 +76,11 @@ def assign_flow(cost: np.ndarray, sink: float, capacity: int) -> list[tuple[int,
     bindings = {}
     for j in range(m):
         edge(source, n + j, 1, 0)
-        edge(n + j, target, 1, int(sink * 1000))
-        for i in range(n):
-            if cost[i, j] < sink:
-                bindings[len(to)] = (i, j)
-                edge(n + j, i, 1, int(cost[i, j] * 1000))
+        edge(n + j, target, 1, int(bypass * unit))
+    for i, j, cost in sorted(edges):
+        if cost < bypass:
+            bindings[len(to)] = (i, j)
+            edge(n + j, i, 1, int(cost * unit))
     for i in range(n):
         edge(i, target, capacity, 0)
     height = [0] * len(graph)
@@ -104,11 +107,28 @@ def assign_flow(cost: np.ndarray, sink: float, capacity: int) -> list[tuple[int,
     return sorted(b for e, b in bindings.items() if not room[e])
 
 
-def solve_component(cost: np.ndarray, sink: float, capacity: int) -> tuple[str, list[tuple[int, int]]]:
-    n, m = cost.shape
+#: Orders of an even component up to which a dense matrix is solved.
+DENSE = 64
+
+
+def solve_edges(n: int, m: int, edges: Sequence[tuple[int, int, float]], sink: float, capacity: int) -> tuple[str, list[tuple[int, int]]]:
+    """(method, bound pairs) of a component of n orders and m settlements.
+
+    In an even one each side may stay open at the sink's cost, so a pair binds
+    below twice that.  As many orders as settlements stay open then, so the same
+    cheapest cost is found with one binding an order and a bypass at twice the
+    sink, over the edges alone: that is how large ones are solved.
+    """
     if not n or not m:
         return "none", []
-    return ("hungarian", assign_square(cost, sink)) if n == m else ("mincostflow", assign_flow(cost, sink, capacity))
+    if n != m:
+        return "mincostflow", assign_sparse(n, m, edges, sink, capacity, 1000)
+    if n > DENSE:
+        return "hungarian", assign_sparse(n, m, edges, 2 * sink, 1, 1_000_000)
+    cost = np.full((n, m), 1e6)
+    for i, j, c in edges:
+        cost[i, j] = c
+    return "hungarian", assign_square(cost, sink)
 
 
 @dataclass(frozen=True)
@@ -229,4 +249,4 @@ def disambiguate(found: Found, groups: Sequence[str], days: Sequence) -> tuple[t
     return None, 0.0, "AMBIGUOUS_SUBSET"
 
 
-__all__ = ["Found", "assign_flow", "assign_square", "disambiguate", "hungarian", "solve_component", "subset_sums"]
+__all__ = ["Found", "assign_sparse", "assign_square", "disambiguate", "hungarian", "solve_edges", "subset_sums"]

@@ -6,7 +6,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from ledgerloom.operators.solvers import Found, assign_flow, assign_square, disambiguate, hungarian, solve_component, subset_sums
+from ledgerloom.operators import solvers
+from ledgerloom.operators.solvers import Found, assign_sparse, assign_square, disambiguate, hungarian, solve_edges, subset_sums
 
 
 @given(st.integers(1, 5), st.randoms())
@@ -31,7 +32,7 @@ def flow_cost(bound, cost, sink):
 @settings(max_examples=60, deadline=None)
 def test_flow_is_cheapest(n, m, draw):
     cost = np.array([[draw.randint(0, 90) for _ in range(m)] for _ in range(n)], dtype=float)
-    got = assign_flow(cost, 50, 2)
+    got = assign_sparse(n, m, [(i, j, cost[i, j]) for i in range(n) for j in range(m)], 50, 2, 1000)
     best = min(
         flow_cost([(i, j) for j, i in enumerate(c) if i is not None], cost, 50)
         for c in product([None, *range(n)], repeat=m)
@@ -41,7 +42,28 @@ def test_flow_is_cheapest(n, m, draw):
 
 
 def test_an_empty_side_is_no_method():
-    assert solve_component(np.zeros((0, 3)), 50, 2) == ("none", [])
+    assert solve_edges(0, 3, [], 50, 2) == ("none", [])
+
+
+@given(st.integers(1, 6), st.randoms())
+@settings(max_examples=60, deadline=None)
+def test_even_components_cost_the_same_by_edges_and_by_matrix(n, draw):
+    edges = [(i, j, draw.randint(0, 130)) for i in range(n) for j in range(n) if draw.random() < 0.6]
+    price = {(i, j): c for i, j, c in edges}
+    open_cost = lambda bound: sum(price[b] for b in bound) + 100 * (n - len(bound))
+    dense = solve_edges(n, n, edges, 50, 2)
+    keep, solvers.DENSE = solvers.DENSE, 0
+    try:
+        sparse = solve_edges(n, n, edges, 50, 2)
+    finally:
+        solvers.DENSE = keep
+    assert dense[0] == sparse[0] == "hungarian" and open_cost(dense[1]) == open_cost(sparse[1]) and all(price[b] < 100 for b in sparse[1])
+
+
+def test_a_large_component_is_solved_over_its_edges():
+    n = 1500
+    edges = [(i, (i + d) % n, 10.0 + 7 * d) for i in range(n) for d in (0, 1)]
+    assert solve_edges(n, n, edges, 50, 2)[1] == [(i, i) for i in range(n)]
 
 
 def brute(amounts, target, delta):
