@@ -170,6 +170,7 @@ def allotted(docs: DataFrame, weights: Sequence[float], cap: float, id_col: str,
     sources = write_table(solved.unionByName(fixed), "mix-sources")
     sources = F.broadcast(sources) if sources.count() <= BROADCAST_SOURCES else sources
     drop_table(cells)
+    drop_table(targets)
     joined = sizes.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select(
         "id", "d.source", "mark", "size", "rows", "source_size", "target", F.element_at("rates", F.col("class") + 1).alias("rate"), F.pmod(F.xxhash64("id", "mark"), F.ceil(F.col("n_docs") / GROUP)).alias("part")
     )

@@ -7,10 +7,12 @@ sets is at least ``threshold``.
 1. Equal sets become one node with a multiplicity, so copies never pair up.
 2. MinHash bands (32 of 4 values) put nodes into buckets; a pair at 0.8 misses
    all of them with a chance of 5e-8.
-3. Within a bucket, pairs are compared 32 MinHash values at a time and dropped
-   as soon as the posterior probability of reaching the threshold falls below
-   ``tolerance``.  Only edges that connect the survivors leave the task, one
-   for each node at most; their components are the candidate clusters.
+3. Pairs of a bucket are compared 32 MinHash values at a time and dropped as soon
+   as the posterior probability of reaching the threshold falls below
+   ``tolerance``.  Each node meets the bucket's least one first; those that stay are
+   connected by it and needn't meet each other, so only the others are compared
+   with the whole bucket, in blocks.  Only connecting edges leave a task; their
+   components are the candidate clusters.
 4. The shingles of clustered nodes are sent to their cluster once (large
    clusters in pairs of blocks), all pairs of it are pruned the same way, and
    the rest is verified exactly.  Tasks return link counts and connecting
@@ -192,34 +194,50 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     signed = write_table(own.mapInArrow(sign, f"id {id_type}, key bigint, n int, sig binary, bands array<bigint>"), "jaccard-signed")
     nodes = write_table(signed.where("n > 0").groupBy("key").agg(F.min("n").alias("n"), F.min("id").alias("min_id"), F.count("*").alias("mult"), F.min(F.struct("sig", "bands")).alias("s")).select("key", "n", "min_id", "mult", "s.sig", "s.bands"), "jaccard-nodes")
 
-    # buckets of two nodes or more
+    # buckets of two nodes or more: each node first meets the bucket's least one
     banded = nodes.select("key", F.explode("bands").alias("bucket"))
-    full = banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    placed = banded.join(full, "bucket").join(nodes.select("key", "sig"), "key")
-    placed = with_blocks(placed, F.ceil(F.col("size") / BUCKET_BLOCK), "key").select("bucket", "lo", "hi", "block", "key", "sig")
+    full = banded.groupBy("bucket").agg(F.count("*").alias("size"), F.min("key").alias("pivot")).where("size > 1")
+    placed = banded.join(full, "bucket").where("key <> pivot").join(nodes.select("key", "sig"), "key")
+    placed = placed.join(nodes.select(F.col("key").alias("pivot"), F.col("sig").alias("pivot_sig")), "pivot")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, other = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint8).reshape(-1, VALUES) for k in (4, 5))
+            same = np.cumsum((one == other).reshape(len(one), -1, STEP).sum(axis=2), axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array((same >= np.array(least)).all(axis=1))], names=["bucket", "size", "key", "pivot", "sig", "near"])
+
+    met = write_table(placed.select("bucket", "size", "key", "pivot", "sig", "pivot_sig").mapInArrow(meet, "bucket bigint, size bigint, key bigint, pivot bigint, sig binary, near boolean"), "jaccard-met")
+    # what is near the pivot is connected by it; only what isn't has to meet the whole bucket
+    apart = met.where("NOT near AND size > 2")
+    rest = apart.groupBy("bucket").agg(F.ceil(F.count("*") / BUCKET_BLOCK).cast("int").alias("rest_blocks"))
+    block = lambda n: F.pmod(F.xxhash64("key", F.lit(17)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    blocks = met.where("size > 2").join(rest, "bucket").withColumn("all_blocks", F.ceil(F.col("size") / BUCKET_BLOCK).cast("int"))
+    columns = ["bucket", "lo", "hi", "far", "key", "sig"]
+    some = blocks.where("NOT near").withColumn("far", F.lit(True)).withColumn("lo", block("rest_blocks")).withColumn("hi", every("all_blocks")).select(columns)
+    all_ = blocks.withColumn("far", F.lit(False)).withColumn("hi", block("all_blocks")).withColumn("lo", every("rest_blocks")).select(columns)
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, bounds in runs(batches, 3):
-            lo, hi, block, key = (_numbers(rows.column(k)) for k in (1, 2, 3, 4))
+            far, key = _numbers(rows.column(3)), _numbers(rows.column(4))
             sig = np.frombuffer(b"".join(rows.column(5).to_pylist()), dtype=np.uint8).reshape(-1, VALUES)
             aa, bb = [], []
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                if lo[a] == hi[a]:
-                    i, j = surviving(sig[a:b], None, least)
-                    i, j = i + a, j + a
-                else:
-                    x, y = a + np.flatnonzero(block[a:b] == lo[a]), a + np.flatnonzero(block[a:b] == hi[a])
-                    i, j = surviving(sig[x], sig[y], least)
-                    i, j = x[i], y[j]
-                if len(i):
-                    p, q = forest(key[i], key[j]) if len(i) > 1 else (key[i], key[j])
+                x, y = a + np.flatnonzero(far[a:b]), a + np.flatnonzero(~far[a:b])
+                i, j = surviving(sig[x], sig[y], least)
+                i, j = x[i], y[j]
+                other = key[i] != key[j]
+                if other.any():
+                    p, q = forest(key[i[other]], key[j[other]])
                     aa.append(p)
                     bb.append(q)
             if aa:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(aa)), pa.array(np.concatenate(bb))], names=["a", "b"])
 
-    keyed = placed.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
-    clusters = write_table(components(keyed.mapInArrow(prune, "a bigint, b bigint")).select(F.col("id").alias("key"), F.col("component").alias("cluster")), "jaccard-clusters")
+    keyed = some.unionByName(all_).repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+    links = met.where("near").select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct().unionByName(keyed.mapInArrow(prune, "a bigint, b bigint"))
+    clusters = write_table(components(links).select(F.col("id").alias("key"), F.col("component").alias("cluster")), "jaccard-clusters")
+    drop_table(met)
 
     # exact verification within clusters
     sized = clusters.join(nodes.select("key", "n", "min_id", "mult", "sig"), "key")

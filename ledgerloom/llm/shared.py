@@ -27,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
 def write_table(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder as Parquet and read it back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}-{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/ledgerloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out._ledgerloom_path = path
@@ -36,9 +36,16 @@ def write_table(df: DataFrame, name: str, compression: str | None = None) -> Dat
 
 def drop_table(df: DataFrame) -> None:
     """Delete a table of ``write_table`` once nothing reads it any more."""
-    spark, path = df.sparkSession, getattr(df, "_ledgerloom_path", None)
-    if path is None:
-        return
+    if path := getattr(df, "_ledgerloom_path", None):
+        _delete(df.sparkSession, path)
+
+
+def drop_all_tables(spark: SparkSession) -> None:
+    """Delete all tables that this application has written, once none of its results is read any more."""
+    _delete(spark, f"{shared_dir(spark)}/ledgerloom-{spark.sparkContext.applicationId}")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     with contextlib.suppress(Exception):
         where = jvm.org.apache.hadoop.fs.Path(path)

@@ -183,6 +183,19 @@ def test_jaccard_of_a_crowd_in_blocks(spark, monkeypatch):
     assert [r["doc_id"] for r in keep_representatives(frame(spark, rows)).collect()] == [0]
 
 
+def test_families_that_share_buckets(spark, monkeypatch):
+    """Two families nearly alike: what isn't near a bucket's least node still meets all the others."""
+    from ledgerloom.llm import ngram_jaccard as nj
+
+    monkeypatch.setattr(nj, "BUCKET_BLOCK", 4)
+    base, rows = [f"b{i}" for i in range(240)], []
+    for family in range(3):
+        own = [w if i % 60 != 7 * family + 5 or not family else f"f{family}x{i}" for i, w in enumerate(base)]
+        own = own[: 240 - 12 * family]
+        rows += [(len(rows) + i, " ".join([*own[: 9 * i], f"own{family}-{i}", *own[9 * i + 1 :]]), "s") for i in range(14)]
+    assert Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in ngram_jaccard(frame(spark, rows)).collect()) == brute_jaccard(rows)
+
+
 def test_exact_intersections_both_ways():
     draw = np.random.default_rng(1)
     sets = [np.unique(draw.integers(0, 300, 150).astype(np.uint64)) for _ in range(30)]
