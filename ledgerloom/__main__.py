@@ -13,6 +13,7 @@ from .operators import audit, scoring
 from .operators.catalog import TOOLS, ReconCatalog
 from .plans.report import as_json, render
 from .plans.run import run_batch
+from .sources.sinks import drop_all_kept
 from .sources.store import Store, batch_folder
 
 
@@ -96,6 +97,7 @@ def main(argv: list[str] | None = None) -> None:
         library = store.load_library()
         catalog = ReconCatalog(*store.ledgers(), **results(store), rules=library.rules, config=config, proposals=library.proposals, stats=library.stats, scores=store.table("run_metrics"))
         print(json.dumps(catalog.answer(told.tool, **dict(a.split("=", 1) for a in told.arguments)), default=str, ensure_ascii=False, indent=2))
+    drop_all_kept(spark)
 
 
 if __name__ == "__main__":

@@ -39,7 +39,7 @@ def shared_folder(spark: SparkSession) -> str:
 def kept(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write to the shared folder and read back, so that a lost executor costs a re-read."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}-{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_folder(spark)}/ledgerloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._ledgerloom_path = path
@@ -52,6 +52,11 @@ def drop_kept(df: DataFrame) -> None:
         delete_path(df.sparkSession, path)
 
 
+def drop_all_kept(spark: SparkSession) -> None:
+    """Delete all that this application has kept, once none of its results is read any more."""
+    delete_path(spark, f"{shared_folder(spark)}/ledgerloom-{spark.sparkContext.applicationId}")
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Rows by key, the last loaded one winning; within ``new`` a later file replaces an earlier one by ``load_seq``."""
     both = old.withColumn("_load", F.lit(-1).cast("bigint")).unionByName(new.withColumn("_load", F.col("load_seq").cast("bigint") if "load_seq" in new.columns else F.lit(0).cast("bigint")).drop("load_seq"))
