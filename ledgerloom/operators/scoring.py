@@ -28,17 +28,16 @@ def score_batches(matches: DataFrame, exceptions: DataFrame, truth: DataFrame, c
 
     ``matches`` has (batch_id, kind, left_id, right_id, money).
     """
-    true = truth_pairs(truth)
     keys = ["batch_id", "kind", "left_id", "right_id"]
-    claimed = matches.select(keys).distinct()
-    right = claimed.join(true, keys, "left_semi")
-    false = matches.join(true, keys, "left_anti")
-    count = lambda df, name, *more: df.groupBy("batch_id").agg(F.count("*").alias(name), *more)
-    out = true.select("batch_id").distinct()
-    for part in (
-        count(claimed, "claimed"), count(right, "correct"), count(true, "true_pairs"), count(false, "false_positives", F.sum("money").alias("false_money")), count(exceptions, "open_exceptions", F.sum("money_at_risk_paise").alias("open_money")),
-    ):
-        out = out.join(part, "batch_id", "left")
+    claimed = matches.groupBy(*keys).agg(F.count("*").alias("rows"), F.sum("money").alias("money"))
+    both = claimed.join(truth_pairs(truth).withColumn("true", F.lit(True)), keys, "full")
+    is_claim, is_true = F.col("rows").isNotNull(), F.col("true").isNotNull()
+    wrong = is_claim & ~is_true
+    links = both.groupBy("batch_id").agg(
+        F.count_if(is_claim).alias("claimed"), F.count_if(is_claim & is_true).alias("correct"), F.count_if(is_true).alias("true_pairs"), F.sum(F.when(wrong, F.col("rows"))).alias("false_positives"), F.sum(F.when(wrong, F.col("money"))).alias("false_money")
+    ).where("true_pairs > 0")
+    opened = exceptions.groupBy("batch_id").agg(F.count("*").alias("open_exceptions"), F.sum("money_at_risk_paise").alias("open_money"))
+    out = links.join(opened, "batch_id", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     share = lambda a, b: F.when(zero(b) > 0, F.round(zero(a) / zero(b), 6)).otherwise(0.0)
     return out.select(

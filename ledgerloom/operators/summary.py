@@ -122,14 +122,14 @@ def money_bridge(orders: DataFrame, settlements: DataFrame, order_matches: DataF
 
 def run_metrics(orders: DataFrame, settlements: DataFrame, credits: DataFrame, order_matches: DataFrame, bank_matches: DataFrame, exceptions: DataFrame) -> DataFrame:
     """One row per batch: records, links, distinct records matched, match rate, exceptions and money at risk."""
-    count = lambda df, name, *more: df.groupBy("batch_id").agg(F.count("*").alias(name), *more)
-    sides = order_matches.select("batch_id", F.col("s_id")).unionByName(bank_matches.select("batch_id", "s_id")).distinct()
-    out = count(orders, "orders")
-    for part in (
-        count(settlements, "settlements"), count(credits, "credits"), count(order_matches, "order_matches", F.count_distinct("o_order_id").alias("orders_matched")), count(bank_matches, "bank_matches"),
-        count(sides, "settlements_matched"), count(exceptions, "exceptions", F.sum("money_at_risk_paise").alias("money_at_risk_paise")),
-    ):
-        out = out.join(part, "batch_id", "left")
-    out = out.na.fill(0)
+    tagged = lambda df, name, money=None: df.select("batch_id", F.lit(name).alias("tag"), (F.col(money) if money else F.lit(0)).cast("bigint").alias("money"))
+    orders_matched = order_matches.select("batch_id", "o_order_id").distinct()
+    sides = order_matches.select("batch_id", "s_id").unionByName(bank_matches.select("batch_id", "s_id")).distinct()
+    parts = {"orders": orders, "settlements": settlements, "credits": credits, "order_matches": order_matches, "orders_matched": orders_matched, "bank_matches": bank_matches, "settlements_matched": sides}
+    rows = tagged(exceptions, "exceptions", "money_at_risk_paise")
+    for name, df in parts.items():
+        rows = rows.unionByName(tagged(df, name))
+    # one pass over tagged rows, one row a batch
+    out = rows.groupBy("batch_id").agg(*[F.count_if(F.col("tag") == name).alias(name) for name in [*parts, "exceptions"]], F.sum("money").alias("money_at_risk_paise")).where("orders > 0")
     rate = (F.col("orders_matched") + F.col("settlements_matched")) / (F.col("orders") + F.col("settlements") + F.col("credits"))
     return out.withColumn("match_rate", F.round(rate, 6))
