@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .config import load
 from .operators import audit, scoring
 from .operators.catalog import TOOLS, ReconCatalog
+from .operators.summary import bridge_sentence, money_bridge
 from .plans.report import as_json, render
 from .plans.run import run_batch
 from .sources.sinks import drop_all_kept
@@ -90,7 +91,8 @@ def main(argv: list[str] | None = None) -> None:
     elif told.command == "contract":
         for b in told.batch or [None]:
             orders, settlements, _ = store.ledgers(b)
-            parts = {"Contract": audit.compare_to_contract(orders, settlements, config), "Leakage": audit.leakage_by_instrument(orders, settlements, config), "Worst offenders": audit.worst_offenders(orders, settlements, config)}
+            bridge = money_bridge(orders, settlements)
+            parts = {"Contract": audit.contract_report(audit.compare_to_contract(orders, settlements, config)), "Money bridge": bridge_sentence(bridge), "Leakage": audit.leakage_by_instrument(orders, settlements, config), "Worst offenders": audit.worst_offenders(orders, settlements, config)}
             for title, df in parts.items():
                 print(as_json(df) if told.json else render(df, f"{title}, batch {b or 'all'}") + "\n")
     else:

@@ -71,4 +71,12 @@ def compare_to_contract(orders: DataFrame, settlements: DataFrame, config: Confi
 
 
 def fee_shape(rate: Column, flat: Column) -> Column:
-    return F.when(flat.isNotNull(), F.format_string("flat %dp", flat)).when(rate.isNotNull(), F.format_string("%s%%", F.round(rate * 100, 4).cast("string")))
+    """A flat amount in paise, or a percentage without needless zeros."""
+    percent = F.regexp_replace(F.format_string("%.4f", rate * 100), r"\.?0+$", "")
+    return F.when(flat.isNotNull(), F.format_string("flat %dp", flat)).when(rate.isNotNull(), F.concat(percent, F.lit("%")))
+
+
+def contract_report(comparison: DataFrame) -> DataFrame:
+    """Rows of ``compare_to_contract`` in words: what was contracted, what was observed, and the verdict."""
+    verdict = F.when(F.col("agrees").isNull(), "no data").when(F.col("agrees"), "matches contract").otherwise("DEVIATES FROM CONTRACT")
+    return comparison.select("batch_id", "instrument", fee_shape(F.col("agreed_rate"), F.col("agreed_flat")).alias("contracted"), fee_shape(F.col("rate"), F.col("flat_paise")).alias("observed"), F.coalesce("n", F.lit(0)).alias("n"), verdict.alias("verdict"))

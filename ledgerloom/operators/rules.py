@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.money import expected_net as expected_net_of
+from ..functions.money import within_tolerance
 from ..functions.predicates import Rule
 
 
@@ -67,7 +68,7 @@ def verdict(rule: Rule, rules: Sequence[Rule]) -> Column:
         said = F.col("o_order_id") == F.col("s_claimed")
     elif rule.rule_type == "fee_formula":
         same = o.isNull() | s.isNull() | (o == s)
-        said = F.when(same, F.abs(F.col("s_net") - rule.net_of(F.coalesce(o, s))) <= rule.tolerance)
+        said = F.when(same, within_tolerance(F.col("s_net"), rule.net_of(F.coalesce(o, s)), rule.tolerance))
     elif rule.rule_type == "timing_window":
         said = F.col("lag_days").between(rule.min_days, rule.max_days)
     else:

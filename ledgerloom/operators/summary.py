@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.money import short_rupees
+
 
 def _zero(c):
     return F.coalesce(c, F.lit(0)).cast("bigint")
@@ -120,6 +122,15 @@ def money_bridge(orders: DataFrame, settlements: DataFrame, order_matches: DataF
     return out.withColumn("other", F.expr("net_settled - (total_sales - never_settled - chargebacks - refunds - fees - gst - rounding_drift + orphans)"))
 
 
+def bridge_sentence(bridge: DataFrame) -> DataFrame:
+    """The bridge of each batch in a line: from sales to what arrived, steps of nothing left out."""
+    steps = {"never_settled": "never settled", "chargebacks": "charged back", "refunds": "refunded", "fees": "fees", "gst": "tax on fees", "rounding_drift": "drift"}
+    told = [F.when(F.col(c) != 0, F.concat(short_rupees(F.col(c)), F.lit(f" {words}"))) for c, words in steps.items()]
+    back = F.when(F.col("orphans") != 0, F.concat(F.lit("plus "), short_rupees(F.col("orphans")), F.lit(" of orders that aren't in the ledger")))
+    less = F.concat_ws(", ", *told, back)
+    return bridge.select("batch_id", F.concat(short_rupees(F.col("total_sales")), F.lit(" sold, less "), less, F.lit(": "), short_rupees(F.col("net_settled")), F.lit(" settled")).alias("sentence"))
+
+
 def run_metrics(orders: DataFrame, settlements: DataFrame, credits: DataFrame, order_matches: DataFrame, bank_matches: DataFrame, exceptions: DataFrame) -> DataFrame:
     """One row per batch: records, links, distinct records matched, match rate, exceptions and money at risk."""
     tagged = lambda df, name, money=None: df.select("batch_id", F.lit(name).alias("tag"), (F.col(money) if money else F.lit(0)).cast("bigint").alias("money"))

@@ -7,10 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.predicates import Rule
-from ledgerloom.operators import catalog, learning, matching, rules, scoring
+from ledgerloom.operators import audit, catalog, learning, matching, rules, scoring
 from ledgerloom.operators import assignment
 from ledgerloom.operators.assignment import components
-from ledgerloom.operators.summary import Filters, money_bridge
+from ledgerloom.operators.summary import Filters, bridge_sentence, money_bridge
 from ledgerloom.plans.batch import LIBRARY, Reconciliation
 from ledgerloom.plans.queries import scored_matches
 from ledgerloom.plans.report import as_json, render
@@ -144,6 +144,14 @@ def test_the_bridge_closes_under_filters(ledgers):
         assert {r["other"] for r in money_bridge(ledgers.orders, ledgers.settlements, None, filters).collect()} == {0}
 
 
+def test_reports_in_words(spark):
+    rows = spark.createDataFrame([("1", "UPI", 3, 0.0, None, 0.0, None, True), ("1", "CARD_CREDIT", 9, 0.02, None, 0.0215, None, False), ("1", "NETBANKING", None, None, 1200, None, None, None)], "batch_id string, instrument string, n bigint, agreed_rate double, agreed_flat bigint, rate double, flat_paise bigint, agrees boolean")
+    told = {r["instrument"]: tuple(r)[2:] for r in audit.contract_report(rows).collect()}
+    assert told == {"UPI": ("0%", "0%", 3, "matches contract"), "CARD_CREDIT": ("2%", "2.15%", 9, "DEVIATES FROM CONTRACT"), "NETBANKING": ("flat 1200p", None, 0, "no data")}
+    bridge = spark.createDataFrame([("1", 1_000_000, 200_000, 0, 0, 1000, 180, 0, 5000, 803_820)], "batch_id string, total_sales bigint, never_settled bigint, chargebacks bigint, refunds bigint, fees bigint, gst bigint, rounding_drift bigint, orphans bigint, net_settled bigint")
+    assert bridge_sentence(bridge).first()["sentence"] == "₹10.0K sold, less ₹2.0K never settled, ₹10.00 fees, ₹1.80 tax on fees, plus ₹50.00 of orders that aren't in the ledger: ₹8.0K settled"
+
+
 def test_truth_files_are_read(spark, tmp_path):
     (tmp_path / "truth.csv").write_text("order_id,settlement_txn_id,utr,case_type,trap_type\no1,s1,u1,clean,\no2,UNSETTLED,,missing_settlement,\nORPHAN,s3,u1,orphan_settlement,twin\n")
     truth = scoring.read_truth(spark, str(tmp_path / "truth.csv"), "3")
