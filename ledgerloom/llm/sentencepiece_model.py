@@ -44,11 +44,11 @@ from .words import Numbers, chunks
 
 SPACE = "▁"
 #: Cuts of texts a worker remembers, in each of two generations.
-MEMO = 200_000
+MEMO = 150_000
 #: Most code points of a cut that advances with others, and how many do.
 ROW, ROWS = 64, 8192
 #: Pairs of pieces whose verdict a worker remembers (some 50 MB).
-PAIRS = 1_000_000
+PAIRS = 700_000
 #: Code points of text whose cuts are looked up together.
 TOGETHER = 1 << 19
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"

@@ -63,7 +63,7 @@ LONG = 4
 LOSS = (LONG - 1) * (ROUNDS + 1)
 PHRASE = 12
 #: Text of a batch whose equal windows are combined before they are shuffled.
-COMBINE_BYTES = 16 << 20
+COMBINE_BYTES = 6 << 20
 #: Rows of one phrase that a task compares at once, and windows that it remembers of a phrase with more.
 CROWD = 1 << 16
 CROWD_WINDOWS = 1 << 21
