@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from ..config import Config
 from ..functions.predicates import Rule
 from ..sources.sinks import drop_kept, kept
+from .matching import candidate_pairs
 from .rules import expected_net, expected_window, explaining_rule
 from .solvers import disambiguate, solve_edges, subset_sums
 
@@ -125,18 +126,56 @@ def star_bindings(pairs: DataFrame, config: Config) -> DataFrame:
     return star.where(F.col("cost") < limit).withColumn("rank", rank).where(F.col("rank") <= most)
 
 
+def usable_pairs(orders: DataFrame, settlements: DataFrame, rules: Sequence[Rule], config: Config) -> DataFrame:
+    """Candidate pairs that can bind: (block, component, even, o_order_id, s_id, cost).
+
+    Orders alike in date, amount, instrument and status have the same candidates
+    at the same costs, and so do settlements alike, so candidates, costs and
+    components are found between such classes.  A pair from the sink's cost on
+    (twice that in an even component) never binds; without those, components
+    fall into blocks whose solutions don't touch.
+    """
+
+    def in_classes(rows: DataFrame, key: str, side: str, alike: Sequence[str]) -> DataFrame:
+        """A class goes by its least node, so that the least class of a component is its least node, too."""
+        return kept(rows.select(F.concat(F.lit(f"{side}:"), F.min(key).over(Window.partitionBy(*alike))).alias("class"), F.col(key).alias("id"), *alike), "classes")
+
+    def classes(rows: DataFrame, key: str) -> DataFrame:
+        return rows.drop("id").distinct().withColumnRenamed("class", key)
+
+    o = in_classes(orders, "order_id", "o", ["batch_id", "order_date", "gross_amount_paise", "instrument", "status"])
+    s = in_classes(settlements, "settlement_txn_id", "s", ["batch_id", "settled_date", "gross_amount_paise", "net_amount_paise", "instrument"])
+    near = candidate_pairs(classes(o, "order_id"), classes(s, "settlement_txn_id").withColumn("order_id_claimed", F.lit(None).cast("string")), config)
+    # costs are sums of parts that aren't negative: where instrument and status already cost too much, the others don't matter
+    mismatch, limit = config.weight_instrument * config.mismatch_cost, 2 * config.sink_cost
+    told = F.when(F.col("o_instrument") != F.col("s_instrument"), mismatch).otherwise(0.0) + F.when(F.col("o_status") == "refunded_full", mismatch).otherwise(0.0)
+    near = kept(near.select(F.col("o_order_id").alias("a"), F.col("s_id").alias("b"), F.when(told <= limit, F.round(pair_cost(rules, config), 6)).alias("cost")), "class-pairs")
+    members = o.select("class", "id").unionByName(s.select("class", "id"))
+    # an id in two classes ties them together
+    known = members.select("class", F.concat(F.substring("class", 1, 2), "id").alias("node")).distinct()
+    tied = known.join(known.groupBy("node").agg(F.min("class").alias("b"), F.count("*").alias("n")).where("n > 1"), "node").select(F.col("class").alias("a"), "b").where("a <> b")
+    own = kept(components(near.select("a", "b").unionByName(tied)), "class-components")
+    side = F.substring("class", 1, 1)
+    size = members.join(own.withColumnRenamed("node", "class"), "class").groupBy("component").agg((F.count_if(side == "o") == F.count_if(side == "s")).alias("even"))
+    open_ = near.where(F.col("cost") <= limit).join(own.withColumnRenamed("node", "a"), "a").join(size, "component").where(F.col("even") | (F.col("cost") < config.sink_cost))
+    open_ = kept(open_, "usable")
+    block = components(open_.select("a", "b").unionByName(tied)).select(F.col("node").alias("a"), F.col("component").alias("block"))
+    out = open_.join(block, "a").join(o.select(F.col("class").alias("a"), F.col("id").alias("o_order_id")), "a").join(s.select(F.col("class").alias("b"), F.col("id").alias("s_id")), "b")
+    return out.select("block", "component", "even", "o_order_id", "s_id", "cost")
+
+
 def solved_bindings(pairs: DataFrame, config: Config) -> DataFrame:
-    """Bindings of every component by the Hungarian method or min-cost flow, over its pairs alone."""
+    """Bindings of every component by the Hungarian method or min-cost flow, block by block over the pairs of ``usable_pairs`` alone."""
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         orders, o = np.unique(rows["o_order_id"].to_numpy(dtype=str), return_inverse=True)
         settlements, s = np.unique(rows["s_id"].to_numpy(dtype=str), return_inverse=True)
         edges = list(zip(o.tolist(), s.tolist(), rows["cost"].tolist(), strict=True))
-        method, bound = solve_edges(len(orders), len(settlements), edges, config.sink_cost, config.max_bindings)
+        method, bound = solve_edges(len(orders), len(settlements), edges, config.sink_cost, config.max_bindings, bool(rows["even"].iloc[0]))
         cost = {(i, j): c for i, j, c in edges}
         return pd.DataFrame([(rows["component"].iloc[0], str(orders[i]), str(settlements[j]), cost[i, j], method) for i, j in bound], columns=["component", "o_order_id", "s_id", "cost", "method"])
 
-    return pairs.select("component", "o_order_id", "s_id", "cost").groupBy("component").applyInPandas(solve, "component string, o_order_id string, s_id string, cost double, method string")
+    return pairs.groupBy("block").applyInPandas(solve, "component string, o_order_id string, s_id string, cost double, method string")
 
 
 def solved_subsets(rows: DataFrame, keys: Sequence[str], target: str, amount: str, delta: int, most: int) -> DataFrame:

@@ -70,7 +70,7 @@ class Reconciliation:
 
     @cached_property
     def assigned(self) -> DataFrame:
-        return kept(A.solved_bindings(A.with_component(self.candidates, self.members), self.config), "assigned")
+        return kept(A.solved_bindings(A.usable_pairs(self.open_orders, self.open_settlements, self.rules, self.config), self.config), "assigned")
 
     @cached_property
     def bank_hits(self) -> DataFrame:

@@ -56,6 +56,23 @@ def test_an_injected_wrong_match_is_caught(spark, ledgers):
     assert scores.agg(F.sum("false_positives")).first()[0] == 1
 
 
+@pytest.mark.parametrize(("extra", "method", "bound"), [(0, "hungarian", 120), (5, "mincostflow", 123)])
+def test_the_solver_gets_the_pairs_that_can_bind_and_no_component_as_a_whole(spark, monkeypatch, extra, method, bound):
+    """Orders are candidates of all settlements up to their amount, but only equal amounts are explained, three orders each."""
+    day, n, groups = dt.date(1995, 1, 2), 120, []
+    orders = [("1995", f"O{i:03}", day, 100_000 + 10 * (i // 3), "UPI", "captured") for i in range(n)]
+    paid = [orders[i][3] for i in range(n)] + [100_000] * extra
+    settlements = [(f"S{i:03}", "1995", "GHOST", day + dt.timedelta(days=1), a, a, "UPI") for i, a in enumerate(paid)]
+    orders = spark.createDataFrame(orders, "batch_id string, order_id string, order_date date, gross_amount_paise bigint, instrument string, status string")
+    settlements = spark.createDataFrame(settlements, "settlement_txn_id string, batch_id string, order_id_claimed string, settled_date date, gross_amount_paise bigint, net_amount_paise bigint, instrument string")
+    solve = assignment.solved_bindings
+    monkeypatch.setattr(assignment, "solved_bindings", lambda pairs, config: groups.append(pairs.groupBy([c for c in ("block", "component") if c in pairs.columns][0]).count().agg(F.max("count")).first()[0]) or solve(pairs, config))
+    r = Reconciliation(orders, settlements, None, LIBRARY, C)
+    found = r.assigned.collect()
+    assert r.candidates.count() > n * n // 2 and groups == [3 * (3 + extra)]
+    assert {(x["component"], x["method"], x["cost"]) for x in found} == {("o:O000", method, 0.0)} and len(found) == len({x["s_id"] for x in found}) == bound
+
+
 def test_running_twice_replaces(spark, ledgers, tmp_path):
     rows = ledgers.settlements.select("batch_id", "settlement_txn_id")
     replace_batches(rows, str(tmp_path / "t"))
