@@ -1,4 +1,5 @@
 import datetime as dt
+import tracemalloc
 from itertools import chain, combinations, permutations, product
 
 import numpy as np
@@ -109,6 +110,28 @@ def test_positive_sums_match_brute_force(amounts, target, delta):
     assert set(subset_sums(amounts, target, delta, 10**6).solutions) == brute(amounts, target, delta)
 
 
+@given(st.lists(st.integers(-6, 12), max_size=8), st.integers(-10, 40), st.integers(0, 3), st.integers(1, 6))
+@settings(max_examples=200, deadline=None)
+def test_few_amounts_are_summed_for_what_the_bitset_finds(amounts, target, delta, most):
+    few = subset_sums(amounts, target, delta, most)
+    keep, solvers.FEW = solvers.FEW, -1
+    try:
+        assert few == subset_sums(amounts, target, delta, most)
+    finally:
+        solvers.FEW = keep
+
+
+def test_a_large_amount_alone_takes_no_bitset():
+    """A claim or two for each of a million orders: megabytes and milliseconds for each are hours in all."""
+    tracemalloc.start()
+    try:
+        assert subset_sums([39_000_000], 39_000_000, 0, 5).solutions == [(0,)]
+        assert subset_sums([15_600_000, 23_400_000], 39_000_000, 0, 5).solutions == [(0, 1)]
+        assert tracemalloc.get_traced_memory()[1] < 100_000
+    finally:
+        tracemalloc.stop()
+
+
 DAY = dt.datetime(2025, 1, 1)
 
 
