@@ -371,9 +371,13 @@ _RULED = """CAST(s_suppkey AS INT) AS rule_id, CASE WHEN s_suppkey % 3 = 0 THEN
 _RULED_SQL = f"WITH library AS (SELECT {_RULED} FROM supplier)"
 
 
+def _ruled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr(*[x.strip() for x in re.split(r",\s+(?=CASE|CAST)", _RULED)])
+
+
 def _library(spark: SparkSession, sf_dir: str) -> list[Rule]:
     """A library of a rule for each supplier; libraries are driver-side data of some hundred rules by what they are."""
-    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr(*[x.strip() for x in re.split(r",\s+(?=CASE|CAST)", _RULED)]).collect()
+    rows = _ruled(spark, sf_dir).collect()
     fee = lambda r: r.rule_type == "fee_formula"
     return [Rule(r.rule_id, r.rule_type, r.scope, r.priority, flat_paise=r.flat if fee(r) else None, tolerance=r.tolerance, min_days=None if fee(r) else r.lo, max_days=None if fee(r) else r.hi) for r in rows]
 
@@ -393,7 +397,10 @@ def rule_cycles(spark, sf_dir):
 @query(f"""{_RULED_SQL} SELECT CAST(x.rule_id AS BIGINT) AS a, CAST(y.rule_id AS BIGINT) AS b FROM library x JOIN library y ON x.rule_id < y.rule_id AND x.rule_type = y.rule_type AND x.scope = y.scope
   AND CASE WHEN x.rule_type = 'fee_formula' THEN abs(x.flat - y.flat) <= x.tolerance + y.tolerance ELSE x.lo <= y.hi AND y.lo <= x.hi END""", base=False)
 def rule_overlaps(spark, sf_dir):
-    return spark.createDataFrame(rules.overlaps(spark, _library(spark, sf_dir)), "a bigint, b bigint")
+    """Pairs grow with the square of the rules that share a window, so neither they nor the rules go through the driver."""
+    fee = F.col("rule_type") == "fee_formula"
+    columns = {"scope_instrument": F.col("scope"), "status": F.lit("active"), "rate": F.lit(None).cast("string"), "gst": F.lit("0"), "flat_paise": F.when(fee, F.col("flat")), "tolerance_paise": F.col("tolerance"), "min_days": F.when(~fee, F.col("lo")), "max_days": F.when(~fee, F.col("hi"))}
+    return rules.overlapping(_ruled(spark, sf_dir).withColumns(columns))
 
 
 # -- learning

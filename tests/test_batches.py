@@ -12,7 +12,7 @@ from ledgerloom.operators import assignment
 from ledgerloom.operators.assignment import components
 from ledgerloom.operators.summary import Filters, bridge_sentence, money_bridge
 from ledgerloom.plans.batch import LIBRARY, Reconciliation
-from ledgerloom.plans.queries import scored_matches
+from ledgerloom.plans.queries import QUERIES, scored_matches
 from ledgerloom.plans.report import as_json, render
 from ledgerloom.plans.run import Library, run_batch, run_sequence, withdraw
 from ledgerloom.sources.derive import DERIVED_CONFIG as C
@@ -73,6 +73,17 @@ def test_the_solver_gets_the_pairs_that_can_bind_and_no_component_as_a_whole(spa
     assert {(x["component"], x["method"], x["cost"]) for x in found} == {("o:O000", method, 0.0)} and len(found) == len({x["s_id"] for x in found}) == bound
 
 
+def test_overlaps_are_found_where_they_are_and_collected_by_none(spark, tmp_path, monkeypatch):
+    """Pairs of a large library don't pass the driver; the ranges' ends, tolerances and windows that end before they begin count as the definition says."""
+    some = [Rule(1, "fee_formula", flat_paise=100, tolerance=2), Rule(2, "fee_formula", flat_paise=105, tolerance=3), Rule(3, "fee_formula", flat_paise=109, tolerance=0), Rule(4, "fee_formula", "UPI", flat_paise=100, tolerance=9)]
+    some += [Rule(5, "timing_window", min_days=1, max_days=2), Rule(6, "timing_window", min_days=2, max_days=4), Rule(7, "timing_window", min_days=3, max_days=3), Rule(8, "timing_window", min_days=3, max_days=3), Rule(9, "timing_window", min_days=5, max_days=2)]
+    some += [Rule(10, "fee_formula", flat_paise=100, tolerance=2), Rule(11, "fee_formula", flat_paise=100, status="retired"), Rule(12, "exact_id")]
+    assert rules.overlaps(spark, some) == [(1, 2), (1, 10), (2, 10), (5, 6), (6, 7), (6, 8), (7, 8)]
+    spark.range(300).withColumnRenamed("id", "s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    monkeypatch.setattr(type(spark.range(1)), "collect", lambda df: pytest.fail("collected"))
+    assert QUERIES["rule_overlaps"](spark, str(tmp_path)).count() > 300
+
+
 def test_running_twice_replaces(spark, ledgers, tmp_path):
     rows = ledgers.settlements.select("batch_id", "settlement_txn_id")
     replace_batches(rows, str(tmp_path / "t"))
