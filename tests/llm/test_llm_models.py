@@ -308,6 +308,14 @@ def test_layouts_of_a_host_get_wrappers_of_their_own(spark):
     assert got[50] == "a third layout alone"
 
 
+def test_every_layout_of_a_host_gets_a_wrapper(spark):
+    """However many there are, and whichever round finds it."""
+    page = lambda k, i: f"<body class=b{k}><div class=x{k}>top {k}</div><div class=y{k}><p>story {i} of many words {i * 7}</p><p>and its end {i * 3}</p></div><div class=z{k}>Powered by engine {k}</div></body>"
+    rows = [(i, f"http://{'ab'[i % 2]}.example/{i}", page(i // 2 % (4 + 5 * (i % 2)), i)) for i in range(110)]
+    got = {r["page_id"]: r["text"] for r in extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {i: f"story {i} of many words {i * 7}\n\nand its end {i * 3}" for i in range(110)}
+
+
 def test_simple_tree_matching_is_largest():
     tree = lambda spec: Skeleton.of_rows([s[0] for s in spec], [0] * len(spec), [s[1] for s in spec])
     a = tree([(1, -1), (2, 0), (3, 0), (4, 0), (3, 1)])
